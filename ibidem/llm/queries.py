@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import eliasfano, packing, quality, simhash
 
 
 def queries() -> dict:
-    return {"op10_simhash_near_dedup": simhash.op10}
+    return {
+        "op1_quality_mcd": quality.op1,
+        "op2_elias_fano_ids": eliasfano.op2,
+        "op7_best_fit_packing": packing.op7,
+        "op10_simhash_near_dedup": simhash.op10,
+    }
 
 
 def oracle_sql() -> dict:
