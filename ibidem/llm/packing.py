@@ -113,7 +113,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def pack(cut: DataFrame, capacity: int = 1024, rows_a_part: int = 50_000) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 1024, rows_a_part: int = 2_000, most_parts: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to pieces that have a length. `cut` is written to the shared folder first."""
     spark = cut.sparkSession
     parts = materialize(cut, "pieces")
@@ -121,7 +121,7 @@ def pack(cut: DataFrame, capacity: int = 1024, rows_a_part: int = 50_000) -> Dat
     runs = plan(histogram, capacity)
     # Ranks: a length, which may hold a third of the pieces, is split by a salt; its pieces are numbered within the salt
     # and counted on from the salts before.
-    salts = max(1, -(-sum(histogram.values()) // rows_a_part))
+    salts = max(1, min(-(-sum(histogram.values()) // rows_a_part), most_parts))
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
