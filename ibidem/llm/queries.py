@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import eliasfano, packing, quality, simhash
+from . import decontaminate, eliasfano, packing, quality, simhash, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_mcd": quality.op1,
         "op2_elias_fano_ids": eliasfano.op2,
+        "op3_url_rules": urlfilter.op3,
+        "op4_spaced_seed_decontamination": decontaminate.op4,
+        "op6_warc_normaliser": warc.op6,
         "op7_best_fit_packing": packing.op7,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_url_rules": urlfilter.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL}
