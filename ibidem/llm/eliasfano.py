@@ -169,7 +169,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return row
 
         for part in parts:
-            docs_, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            docs_, texts = part.column(0).to_pylist(), part.column(1)
             for a, b in batches(texts):
                 for doc, ids in zip(docs_[a:b], encoder(tokenizer_path).encode(texts[a:b]), strict=True):
                     size = len(ids) // 4 + 1

@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
 
         tail = end_id.to_bytes(4, "little")
         for part in parts:
-            names, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            names, texts = part.column(0).to_pylist(), part.column(1)
             for a, b in batches(texts):
                 rows: list[tuple] = []
                 for doc, ids in zip(names[a:b], encoder(tokenizer_path).encode(texts[a:b]), strict=True):

@@ -1,111 +1,81 @@
-"""Encoding with the `tokenizers` library, with a bounded memory of word encodings per worker.
+"""Encoding with the `tokenizers` library, each distinct piece of a batch once.
 
 Byte-level BPE never merges across a pre-token, and no pre-token holds a non-space followed by white space. Where a text
 has no two white-space signs in a row, cutting it before each space or line feed is cutting at pre-token borders, so the
-ids of the pieces, joined, are the ids of the text. Most pieces repeat: each is encoded once and then looked up. Arrow
-splits, numbers and joins the pieces; other texts are cut by a regular expression at borders that are safe there too.
+ids of the pieces, joined, are the ids of the text. Most pieces repeat: the distinct ones of a batch are encoded as one
+text, their ids are told apart by the bytes they stand for, and Arrow joins them into the ids of the texts. Texts with
+other white space are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CUT = re.compile(r"(?<=[!-~\w])(?=[ \n])")
-#: White space in a row, at an end, or other than space and line feed: such a text is cut by CUT.
-IRREGULAR = re.compile(r"\s\s|[^\S \n]|\s\Z|\A\s|[\x1c-\x1f\x85]")
+#: White space in a row or at an end, and any sign other than space and line feed that a tokenizer may take for white space.
+IRREGULAR = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids.
-
-    `remember` bounds each of the two generations of known pieces: when the young one is full it becomes the old one, and
-    what is still in use is copied over, so frequent words stay and memory stays bounded.
-    """
+    """Texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has one sign for each byte
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
+        self.feed = len(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str | None]) -> list[memoryview | bytes]:
+    def encode(self, texts: pa.Array) -> list[memoryview | bytes]:
         """The ids of each text as bytes; null counts as empty."""
-        if len(self.young) > self.remember:
-            self.old, self.young = self.young, {}
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         out: list = [b""] * len(texts)
-        even = [i for i, t in enumerate(texts) if t and not IRREGULAR.search(t)]
-        at = set(even)
-        odd = [i for i, t in enumerate(texts) if t and i not in at]
-        if even:
-            rows = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in even], pa.large_string()), "\n", " \n"), " ")
+        filled = pc.not_equal(texts, "")
+        odd = pc.and_(filled, pc.match_substring_regex(texts, IRREGULAR))
+        even = np.flatnonzero(pc.and_not(filled, odd).to_numpy(zero_copy_only=False))
+        if len(even):
+            rows = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
             coded = rows.values.dictionary_encode()
             first = np.zeros(len(coded), bool)  # a text's first piece has no space before it
             first[rows.offsets.to_numpy()[:-1]] = True
             number = coded.indices.to_numpy().astype(np.int64) * 2 + first
-            used = np.unique(number)
-            names = coded.dictionary.to_pylist()
-            keys = [w if k & 1 or w[:1] == "\n" else " " + w for k, w in zip(used.tolist(), (names[k >> 1] for k in used.tolist()), strict=True)]
-            self._know(keys)
-            joined = pa.array(map(self.young.__getitem__, keys), pa.large_binary(), size=len(keys)).take(pa.array(np.searchsorted(used, number)))
+            seen = np.zeros(2 * len(coded.dictionary), bool)
+            seen[number] = True
+            used = np.flatnonzero(seen)
+            place = np.cumsum(seen) - 1
+            joined = self._pieces(coded.dictionary.take(pa.array(used >> 1)), (used & 1).astype(bool)).take(pa.array(place[number]))
             _, offsets, data = joined.buffers()
             ends = np.frombuffer(offsets, np.int64)[: len(joined) + 1][rows.offsets.to_numpy()].tolist()
-            view = memoryview(data).cast("B") if data else memoryview(b"")
-            for k, i in enumerate(even):
+            view = memoryview(data).cast("B")
+            for k, i in enumerate(even.tolist()):
                 out[i] = view[ends[k] : ends[k + 1]]
-        if odd:
-            pieces = [CUT.split(texts[i]) for i in odd]
-            self._know({p for row in pieces for p in row})
-            for i, row in zip(odd, pieces, strict=True):
-                out[i] = b"".join(map(self.young.__getitem__, row))
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i].as_py() for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
-    def _know(self, pieces) -> None:
-        young, old, plain, bare, other = self.young, self.old, [], [], []
-        for p in pieces:
-            if p in young:
-                continue
-            if p in old:
-                young[p] = old[p]
-            elif not (p[-1].isalnum() or "!" <= p[-1] <= "~"):
-                other.append(p)
-            elif p[0] in " \n":
-                plain.append(p)
-            elif p[0].isspace():
-                other.append(p)
-            else:
-                bare.append(p)
-        for k in range(0, len(plain), 20_000):
-            self._learn(plain[k : k + 20_000], plain[k : k + 20_000])
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids  # stands before a piece without a space, and goes again
-        for k in range(0, len(bare), 20_000):
-            self._learn(bare[k : k + 20_000], ["\n" + p for p in bare[k : k + 20_000]], 4 * len(feed))
-        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            young[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, names: list[str], pieces: list[str], skip: int = 0) -> None:
-        """Encodes pieces that have pre-token borders at both ends as one text, and deals the ids out by their bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum(self.n_bytes[ids])
-        borders = np.cumsum([len(p.encode()) for p in pieces])
-        at = np.minimum(np.searchsorted(ends, borders), len(ends) - 1)
-        if not (ends[at] == borders).all():  # e.g. an added token with white space of its own
-            for n, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-                self.young[n] = np.array(e.ids, dtype="<u4").tobytes()
-            return
-        data, start = ids.tobytes(), 0
-        for n, end in zip(names, ((at + 1) * 4).tolist(), strict=True):
-            self.young[n] = data[start + skip : end]
-            start = end
+    def _pieces(self, names: pa.Array, first) -> pa.Array:
+        """The ids of pieces; a first piece gets a line feed before it, whose ids go again, and others their space."""
+        before = np.where(first, "\n", np.where(pc.starts_with(names, "\n").to_numpy(zero_copy_only=False), "", " "))
+        spaced = pc.binary_join_element_wise(pa.array(before, pa.large_string()), names, pa.scalar("", pa.large_string()))
+        _, offsets, data = spaced.buffers()
+        borders = np.frombuffer(offsets, np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
+        text = str(memoryview(data)[borders[0] : borders[-1]], "utf-8")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+        at = np.minimum(np.searchsorted(ends, borders - borders[0]), len(ends) - 1)
+        if not (ends[at] == borders - borders[0]).all():  # e.g. an added token with white space of its own
+            alone = self.tokenizer.encode_batch_fast(pc.if_else(pa.array(first), names, spaced).to_pylist(), add_special_tokens=False)
+            return pa.array([np.array(e.ids, dtype="<u4").tobytes() for e in alone], pa.large_binary())
+        keep = np.ones(len(ids), bool)
+        for k in range(self.feed):
+            keep[at[:-1][first] + k] = False
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        return pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer((kept[at] * 4).astype(np.int64)), pa.py_buffer(ids[keep].tobytes())])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -121,13 +91,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches(texts: list[str | None], most_chars: int = 8_000_000):
-    """Index ranges of consecutive texts of about most_chars in all, so that memory doesn't follow the Arrow batch."""
-    start, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n >= most_chars:
-            yield start, i + 1
-            start, n = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def batches(texts: pa.Array, most_bytes: int = 16_000_000):
+    """Index ranges of consecutive texts of about most_bytes in all, so that memory doesn't follow the Arrow batch."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + most_bytes, side="right")))
+        yield start, end
+        start = end
