@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, eliasfano, packing, quality, simhash, urlfilter, warc
+from . import decontaminate, eliasfano, packing, quality, simhash, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_elias_fano_ids": eliasfano.op2,
         "op3_url_rules": urlfilter.op3,
         "op4_spaced_seed_decontamination": decontaminate.op4,
+        "op5_crf_toxicity": toxicity.op5,
         "op6_warc_normaliser": warc.op6,
         "op7_best_fit_packing": packing.op7,
         "op10_simhash_near_dedup": simhash.op10,
