@@ -2,7 +2,7 @@
 
 Labels are of documents. Words and word beginnings that occur in toxic documents and hardly elsewhere, beyond chance, mark
 the tokens of toxic documents as toxic; these labelled tokens train a two-state chain with features for words, their
-beginnings of three to six letters, a bias and transitions, by gradient ascent on the conditional likelihood. For any text,
+beginnings of four to six letters, a bias and transitions, by gradient ascent on the conditional likelihood. For any text,
 the forward-backward algorithm gives every token's marginal probability of being toxic; tokens at or above one half form
 the offending spans, and the expected number of toxic tokens, through a logistic curve fitted on the labelled documents,
 gives the document's score.
@@ -31,7 +31,9 @@ THRESHOLD = 0.7
 #: Log-likelihood ratio, beyond the logarithm of the number of candidates, from which a word or beginning marks tokens, and
 #: the share of its documents that are toxic.
 CHANCE, PURITY = 3.0, 0.9
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (4, 5, 6)
+#: Marginals below this are the bias of the field, which would add up over long texts; they don't count.
+FLOOR = 0.05
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„¿¡…–—"
 
 
@@ -146,7 +148,7 @@ class Field:
         first = np.ones(len(doc), bool)
         first[1:] = doc[1:] != doc[:-1]
         p = marginals(scores[number], first, self.transition)
-        return np.bincount(doc, p, minlength=len(texts)), doc, start, size, p
+        return np.bincount(doc, np.where(p >= FLOOR, p, 0), minlength=len(texts)), doc, start, size, p
 
     def score(self, expected):
         import numpy as np
@@ -179,7 +181,7 @@ def fit(texts: list, toxic: list[int], rounds: int = 40) -> Field | None:
         c = counts[0][f]
         if t / (t + c) >= PURITY and t * math.log(t / ((t + c) * rate)) + (c * math.log(c / ((t + c) * (1 - rate))) if c else 0) >= least:
             marks.add(f)
-    marked = np.array([any(f in marks and (f[0] == "=" or len(f) > BEGINNINGS[0]) for f in o) for o in own])
+    marked = np.array([any(f in marks for f in o) for o in own])
     label = marked[number] & y[doc]
     if not label.any():
         return None
