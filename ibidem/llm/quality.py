@@ -134,14 +134,21 @@ def estimates(vectors: DataFrame) -> DataFrame:
     spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
     start = quartiles.select("grp", "n", *[F.col(f"q{i}")[1].alias(f"m_{i}") for i in range(p)], *[(F.col(f"q{i}")[1] * F.col(f"q{j}")[1] + (spread(i) * spread(j) if i == j else F.lit(0.0))).alias(f"m_{i}_{j}") for i in range(p) for j in range(i, p)])
     now = materialize(_factored(start, 1.0), "mcd")
+    beside = _beside(now)
     for _ in range(STEPS):
-        far = vectors.join(now.select("grp", "centre", "factor"), "grp").withColumn("d2", _distance())
-        limit = far.groupBy("grp").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit"))
-        near = far.join(limit, "grp").where("d2 <= limit")
+        far = vectors.join(beside(now.select("grp", "centre", "factor")), "grp").withColumn("d2", _distance())
+        limit = materialize(far.groupBy("grp").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit")), "mcd")
+        near = far.join(beside(limit), "grp").where("d2 <= limit")
         now = materialize(_factored(_moments(near), CONSISTENT), "mcd")
     return now
 
 
+def _beside(groups: DataFrame, most: int = 20_000):
+    """How to join a row for each group: by broadcast while there are few groups, so that a large group isn't shuffled to one
+    task; else as Spark plans it, where adaptive execution splits large groups."""
+    return F.broadcast if groups.limit(most + 1).count() <= most else lambda frame: frame
+
+
 def annotate(docs: DataFrame, carry: list[str] | None = None, cutoff: float = CUTOFF) -> DataFrame:
     """row (a struct of the carried columns, all by default), base, base_failed, distance and kept of every document."""
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row"), F.struct("lang", "source").alias("key"), F.col("text"))
@@ -156,9 +163,10 @@ def annotate(docs: DataFrame, carry: list[str] | None = None, cutoff: float = CU
     own, lang = name(F.col("key.lang"), F.col("key.source")), name(F.col("key.lang"))
     groups = lang_of.select("key", F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("of_lang") >= LEAST_ROWS, lang).otherwise(F.lit("all")).alias("grp"))
     groups = materialize(groups, "groups")
-    placed = found.join(groups, found["key"].eqNullSafe(groups["key"]), "left").drop(groups["key"])
+    beside = _beside(groups)
+    placed = found.join(beside(groups), found["key"].eqNullSafe(groups["key"]), "left").drop(groups["key"])
     fitted = estimates(placed.where("base.n_words >= 50").select("grp", *[f"x{i}" for i in range(len(STATISTICS))]))
-    judged = placed.join(fitted, "grp", "left").withColumn("distance", F.when(F.col("n") >= LEAST_ESTIMATE, _distance()))
+    judged = placed.join(beside(fitted), "grp", "left").withColumn("distance", F.when(F.col("n") >= LEAST_ESTIMATE, _distance()))
     outlier = F.coalesce(F.col("distance") > cutoff, F.lit(False))
     return judged.select("row", "base", "base_failed", "distance", (~F.col("base_failed") & ~outlier).alias("kept"))
 
