@@ -153,7 +153,7 @@ class Field:
     def score(self, expected):
         import numpy as np
 
-        return 1 / (1 + np.exp(-(self.slope * np.log(expected + 1e-3) + self.offset)))
+        return 1 / (1 + np.exp(-(self.slope * np.log(expected + 0.1) + self.offset)))
 
 
 def fit(texts: list, toxic: list[int], rounds: int = 40) -> Field | None:
@@ -206,7 +206,7 @@ def fit(texts: list, toxic: list[int], rounds: int = 40) -> Field | None:
         move = 0.25 * (state[0] / (1 - 0.9**r)) / (np.sqrt(state[1] / (1 - 0.99**r)) + 1e-8)
         w, bias, trans = w + move[:-5], bias + move[-5], trans + move[-4:].reshape(2, 2)
     field = Field({f: float(w[k]) for f, k in known.items()}, float(bias), trans, 1.0, 0.0)
-    x = np.log(field.read(pa.array(texts, pa.large_string()))[0] + 1e-3)
+    x = np.log(field.read(pa.array(texts, pa.large_string()))[0] + 0.1)
     field.slope, field.offset = _curve(x, y)
     return field
 
