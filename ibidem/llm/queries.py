@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, eliasfano, packing, quality, simhash, toxicity, urlfilter, warc
+from . import decontaminate, eliasfano, extract, packing, quality, simhash, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_crf_toxicity": toxicity.op5,
         "op6_warc_normaliser": warc.op6,
         "op7_best_fit_packing": packing.op7,
+        "op8_text_density": extract.op8,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
