@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, eliasfano, extract, packing, quality, simhash, toxicity, urlfilter, warc
+from . import decontaminate, eliasfano, extract, packing, quality, simhash, suffixtree, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_warc_normaliser": warc.op6,
         "op7_best_fit_packing": packing.op7,
         "op8_text_density": extract.op8,
+        "op9_suffix_tree_lm": suffixtree.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
