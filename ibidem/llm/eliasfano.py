@@ -135,7 +135,7 @@ class Shard:
         return [None] * self.n_null + [self._signed(int(x)) for x in self.names.all().tolist()]
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, ids_a_shard: int = 4_000_000) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, ids_a_shard: int = 2_000_000) -> DataFrame:
     """Encodes documents (doc_id, text) and writes them to files under path; the files' names, documents and ids, in order."""
     ship(docs.sparkSession)
 

@@ -64,8 +64,11 @@ class Encoder:
         spaced = pc.binary_join_element_wise(pa.array(before, pa.large_string()), names, pa.scalar("", pa.large_string()))
         _, offsets, data = spaced.buffers()
         borders = np.frombuffer(offsets, np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
-        text = str(memoryview(data)[borders[0] : borders[-1]], "utf-8")
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = [np.zeros(0, "<u4")]
+        for k in range(0, len(names), 50_000):  # the library's own results take some hundred bytes an id
+            text = str(memoryview(data)[borders[k] : borders[min(k + 50_000, len(names))]], "utf-8")
+            ids.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4"))
+        ids = np.concatenate(ids)
         ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
         at = np.minimum(np.searchsorted(ends, borders - borders[0]), len(ends) - 1)
         if not (ends[at] == borders - borders[0]).all():  # e.g. an added token with white space of its own
@@ -91,7 +94,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches(texts: pa.Array, most_bytes: int = 16_000_000):
+def batches(texts: pa.Array, most_bytes: int = 8_000_000):
     """Index ranges of consecutive texts of about most_bytes in all, so that memory doesn't follow the Arrow batch."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
