@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-MOST_TOXIC, MOST_CLEAN = 1000, 2000
+MOST_TOXIC, MOST_CLEAN = 700, 1400
 THRESHOLD = 0.7
 #: Log-likelihood ratio, beyond the logarithm of the number of candidates, from which a word or beginning marks tokens, and
 #: the share of its documents that are toxic.
