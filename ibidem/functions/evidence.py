@@ -1,7 +1,6 @@
 """Evidence about a quotation and the deterministic verdict drawn from it."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -256,7 +255,6 @@ def evidence_count(*parts: Column) -> Column:
 def similarity_udf():
     """SC25, as an Arrow UDF: 1 where the folded quotation lies in the folded text, else the best ratio over windows of its
     length, stepping a quarter of it and ending at the first of 0.90. Meant for the one best candidate of a claim."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
@@ -282,7 +280,6 @@ def similarity_udf():
 
 def translation_udf():
     """SC29: struct(content, semantic, added, verdict) of original, translation and quotation, all in plain words."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("content double, semantic double, added int, verdict string")

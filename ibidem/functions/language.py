@@ -67,10 +67,14 @@ def script_of(text: Column) -> Column:
     return F.when(best["n"] >= 3, best["code"])
 
 
+def _among(words):
+    return lambda w: F.array_contains(constants(words), w)
+
+
 def profile_of(text: Column) -> Column:
     """The modern language whose stop words are most frequent; null where none occurs. Stands in for a statistical detector."""
     words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " +")
-    every = [F.struct(F.size(F.filter(words, lambda w, p=p: F.array_contains(constants(p), w))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, p) in enumerate(PROFILES.items())]
+    every = [F.struct(F.size(F.filter(words, _among(p))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, p) in enumerate(PROFILES.items())]
     best = F.array_max(F.array(*every))
     return F.when(best["n"] > 0, best["code"])
 
