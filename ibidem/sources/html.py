@@ -51,7 +51,7 @@ def headed_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     tag = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>|<a\s[^>]*href=\"[^\"]+\"[^>]*>.*?</a>"
     parts = F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(0))
     start = F.struct(F.lit(None).cast("string").alias("heading"), F.array().cast("array<struct<heading:string,href:string,label:string>>").alias("out"))
-    text = lambda x: collapse(F.regexp_replace(x, r"<[^>]+>", " "))
+    text = lambda x: collapse(decode_entities(F.regexp_replace(x, r"<[^>]+>", " ")))
     step = lambda a, x: F.when(x.rlike(r"(?i)^<h"), F.struct(text(x).alias("heading"), a["out"].alias("out"))).otherwise(F.struct(a["heading"].alias("heading"), F.concat(a["out"], F.array(F.struct(a["heading"].alias("heading"), F.regexp_extract(x, r'(?i)href="([^"]+)"', 1).alias("href"), text(x).alias("label")))).alias("out")))
     carried = pages.select(key, F.aggregate(parts, start, step)["out"].alias("_l"))
     return carried.select(key, F.posexplode("_l").alias("position", "_e")).select(key, "position", "_e.*")
