@@ -4,8 +4,9 @@ Texts are lower-cased and cut into runs of letters and digits. A seed looks at t
 ignores the others, so an overlap with a changed word still has seeds that agree. Hashes of every position of every text
 under every mask are joined with those of the benchmark; each hit names an item and a diagonal (place in the document less
 place in the item). Around it the tokens of text and item on that diagonal are compared, and the best stretch is taken
-under +1 for an equal and -4 for a different token, so that four in five are equal throughout. An item counts as leaked
-where the stretch holds at least LEAST equal tokens, or the whole item up to a fifth if it is shorter.
+under +1 for an equal and -4 for a different token, so that four in five are equal throughout; of stretches of one score
+that with more equal tokens. An item counts as leaked where the stretch holds at least LEAST equal tokens, or the whole
+item up to a fifth if it is shorter.
 
 The benchmark's hashes are broadcast while they're at most `most_seeds` rows; a larger benchmark is joined by shuffle on
 the hash. Documents aren't shuffled in the first case: only hits with the tokens around them leave the scan.
@@ -68,7 +69,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most_see
         score = s["score"] + F.when(same, 1).otherwise(-4)
         fresh = score < 0
         count = s["equal"] + same.cast("int")
-        better = score > s["best"]
+        better = (score > s["best"]) | ((score == s["best"]) & (count > s["best_equal"]))
         pick = lambda new, old: F.when(better, new).otherwise(old)
         return F.struct(
             (s["i"] + 1).alias("i"), F.greatest(score, F.lit(0)).alias("score"), F.when(fresh, s["i"] + 1).otherwise(s["begin"]).alias("begin"), F.when(fresh, 0).otherwise(count).alias("equal"),
