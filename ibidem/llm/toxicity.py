@@ -19,8 +19,6 @@ labels are left out; an empty table gives an empty result; other columns pass th
 from __future__ import annotations
 
 import math
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +66,10 @@ def marginals(score, first, transition):
     blocks are joined in order, then messages run within them."""
     import numpy as np
 
-    return _messages(score, first, transition)[0] if len(score) else np.zeros(0)
+    return _messages(score, first, transition, False)[0] if len(score) else np.zeros(0)
 
 
-def _messages(score, first, transition):
+def _messages(score, first, transition, with_pairs: bool = True):
     """Marginals, and the summed joint probabilities of neighbouring states within chains (2 x 2)."""
     import numpy as np
 
@@ -119,6 +117,8 @@ def _messages(score, first, transition):
         now /= now.sum(axis=0)
     both = forward * backward
     p = (both[1] / both.sum(axis=0)).T.ravel()[:n]
+    if not with_pairs:
+        return p, None
     before = np.concatenate([into[:, None], forward[:, :-1]], axis=1)
     joint = before[:, None] * step * backward[None]
     joint = joint / joint.sum(axis=(0, 1))
@@ -167,31 +167,39 @@ def fit(texts: list, toxic: list[int], rounds: int = 40) -> Field | None:
     if not y.any() or y.all():
         return None
     names, number, doc, _, _ = tokens(pa.array(texts, pa.large_string()))
-    own = [features(x.strip(PUNCTUATION)) for x in names]
-    pairs = np.unique(doc.astype(np.int64) * len(names) + number)
-    counts: list[Counter] = [Counter(), Counter()]
-    held: list[set] = []
-    for d, part in zip(*_runs(pairs // len(names), pairs % len(names)), strict=True):
-        held = {f for i in part.tolist() for f in own[i]}
-        counts[int(y[d])].update(held)
-    rate = y.mean()
-    least = CHANCE + math.log(1 + sum(t + counts[0][f] > 2 for f, t in counts[1].items()))
-    marks = set()
-    for f, t in counts[1].items():
-        c = counts[0][f]
-        if t / (t + c) >= PURITY and t * math.log(t / ((t + c) * rate)) + (c * math.log(c / ((t + c) * (1 - rate))) if c else 0) >= least:
-            marks.add(f)
-    marked = np.array([any(f in marks for f in o) for o in own])
+    bare = [x.strip(PUNCTUATION) for x in names]
+    kinds = [_numbered([f"={x}" for x in bare]), *(_numbered([x[:k] if len(x) >= k else "" for x in bare]) for k in BEGINNINGS)]
+    rate, candidates, scores = y.mean(), 1, []
+    for own, of in kinds:  # documents with each feature, by class; strings are kept once a kind
+        pairs = np.unique(doc.astype(np.int64) * len(own) + of[number])
+        toxic_too = y[pairs // len(own)]
+        t, c = (np.bincount(pairs[which] % len(own), minlength=len(own)) for which in (toxic_too, ~toxic_too))
+        n = np.maximum(t + c, 1)
+        ratio = t * np.log(np.maximum(t, 1e-9) / (n * rate)) + c * np.log(np.maximum(c, 1e-9) / (n * (1 - rate)))
+        scores.append(np.where((t > 0) & (t >= PURITY * n) & (own != ""), ratio, -np.inf))
+        candidates += int(((t > 0) & (n > 2)).sum())
+    least = CHANCE + math.log(candidates)
+    marked = np.any([score[of] >= least for score, (_, of) in zip(scores, kinds, strict=True)], axis=0)
     label = marked[number] & y[doc]
     if not label.any():
         return None
-    seen = Counter(f for i in np.unique(number[label]).tolist() for f in own[i])
-    known = {f: k for k, f in enumerate(sorted(f for f in seen if len(f) > 1))}
-    # Each distinct token's features as rows of a sparse matrix, the bias last.
-    pairs_of = [(i, known[f]) for i, o in enumerate(own) for f in o if f in known]
-    token_of, feature_of = (np.array(x, np.int64) for x in zip(*pairs_of, strict=True))
+    hit = np.unique(number[label])
+    known: list[str] = []
+    token_of, feature_of = [], []
+    for own, of in kinds:  # features of the toxic tokens' names; any other token has the bias alone
+        own_hit = np.bincount(of[hit], minlength=len(own)) > 0
+        own_hit[own == ""] = own_hit[own == "="] = False
+        place = np.cumsum(own_hit) - 1 + len(known)
+        with_feature = np.flatnonzero(own_hit[of])
+        token_of.append(with_feature)
+        feature_of.append(place[of[with_feature]])
+        known += own[own_hit].tolist()
+    token_of, feature_of = np.concatenate(token_of), np.concatenate(feature_of)
+    del kinds, scores, bare
     first = np.ones(len(doc), bool)
     first[1:] = doc[1:] != doc[:-1]
+    begins = np.flatnonzero(first)
+    cuts = [*begins[np.unique(np.searchsorted(begins, np.arange(0, len(doc), 200_000)).clip(max=len(begins) - 1))].tolist(), len(doc)]
     w, bias, trans = np.zeros(len(known)), -3.0, np.zeros((2, 2))
     true_tokens = np.bincount(number, label, len(names))
     inner = ~first[1:]
@@ -199,14 +207,17 @@ def fit(texts: list, toxic: list[int], rounds: int = 40) -> Field | None:
     state = [np.zeros(len(known) + 5), np.zeros(len(known) + 5)]
     for r in range(1, rounds + 1):
         score = bias + np.bincount(token_of, w[feature_of], len(names))
-        p, joint = _messages(score[number], first, trans)
+        p, joint = np.empty(len(doc)), np.zeros((2, 2))
+        for a, b in zip(cuts, cuts[1:], strict=False):  # whole documents, some hundred thousand tokens at a time
+            p[a:b], pairs_here = _messages(score[number[a:b]], first[a:b], trans)
+            joint += pairs_here
         by_token = true_tokens - np.bincount(number, p, len(names))
         gradient = np.concatenate([np.bincount(feature_of, by_token[token_of], len(known)) - 0.1 * w, [by_token.sum()], (true_pairs - joint - 0.1 * trans).ravel()])
         state = [0.9 * state[0] + 0.1 * gradient, 0.99 * state[1] + 0.01 * gradient**2]
         move = 0.25 * (state[0] / (1 - 0.9**r)) / (np.sqrt(state[1] / (1 - 0.99**r)) + 1e-8)
         w, bias, trans = w + move[:-5], bias + move[-5], trans + move[-4:].reshape(2, 2)
-    field = Field({f: float(w[k]) for f, k in known.items()}, float(bias), trans, 1.0, 0.0)
-    x = np.log(field.read(pa.array(texts, pa.large_string()))[0] + 0.1)
+    field = Field({f: float(w[k]) for k, f in enumerate(known)}, float(bias), trans, 1.0, 0.0)
+    x = np.log(np.concatenate([field.read(pa.array(texts[k : k + 200], pa.large_string()))[0] for k in range(0, len(texts), 200)]) + 0.1)
     field.slope, field.offset = _curve(x, y)
     return field
 
@@ -234,12 +245,13 @@ def _no_copies(number, doc, n: int):
     return np.flatnonzero(~copies).tolist()
 
 
-def _runs(keys, values):
-    """Values grouped by their ascending keys."""
+def _numbered(values: list[str]):
+    """The distinct values, and the number of each value among them."""
     import numpy as np
 
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    return (keys[np.concatenate([[0], cuts])] if len(keys) else keys), (np.split(values, cuts) if len(keys) else [])
+    own: dict[str, int] = {}
+    of = np.fromiter((own.setdefault(v, len(own)) for v in values), np.int64, len(values))
+    return np.array(list(own), object), of
 
 
 def _curve(x, y):
@@ -291,7 +303,7 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("marginal", pa.float64())]))
         for part in parts:
             at = part.schema.get_field_index("text")
-            for a, b in batches(part.column(at)):
+            for a, b in batches(part.column(at), 2_000_000):
                 own = part.slice(a, b - a)
                 if held.value is None:
                     expected, score, spans = np.zeros(b - a), np.zeros(b - a), pa.array([[]] * (b - a), kind)
