@@ -28,11 +28,12 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str], qu
     can meet, not the corpus. Document lengths and their mean come from the same scan.
     """
     wanted = queries.select(query_key, F.explode(tokens(query, least)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    sized = docs.select(*key, F.size(tokens(text, least)).alias("dl"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     terms = wanted.select("term").distinct()
-    held = docs.select(*key, tokens(text, least).alias("_t")).select(*key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    held = held.join(terms, "term", "left_semi").groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    # One pass over the documents: of each its length and the terms that queries have. Where the queries' vocabulary is
+    # small, Spark broadcasts it.
+    sized = docs.select(*key, tokens(text, least).alias("_t")).select(*key, F.size("_t").alias("dl"), "_t")
+    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    held = sized.select(*key, "dl", F.explode("_t").alias("term")).join(terms, "term", "left_semi").groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
     frequency = held.groupBy("term").agg(F.count("*").alias("df"))
     weights = frequency.crossJoin(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     met = wanted.join(weights, "term").join(held, "term")

@@ -13,7 +13,7 @@ from ibidem.operators import retrieval as R
 from ibidem.operators import tables as D
 from ibidem.operators.chunk import chunks
 from ibidem.sources import html as H
-from ibidem.sources.files import table
+from ibidem.sources.files import spread, table
 
 from . import catalog as C
 from .registry import query
@@ -42,7 +42,7 @@ def _claims(spark, sf_dir):
 
 @query("chunk_words", f"WITH {CHUNKS} SELECT doc_id, chunk, text FROM c")
 def _(spark, sf_dir):
-    return chunks(table(spark, sf_dir, "documents"))
+    return chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query("normalize_text", f"SELECT doc_id, {FOLD.format('text')} AS folded FROM documents")
@@ -52,13 +52,13 @@ def _(spark, sf_dir):
 
 @query("exact_quote_hits", "SELECT item_id, doc_id FROM (SELECT item_id, lower(trim(regexp_replace(strip_accents(text), '\\s+', ' ', 'g'))) AS q FROM benchmark) b JOIN (SELECT doc_id, lower(trim(regexp_replace(strip_accents(text), '\\s+', ' ', 'g'))) AS t FROM documents) d ON contains(t, q)")
 def _(spark, sf_dir):
-    folded = lambda name: table(spark, sf_dir, name).withColumn("f", T.fold(F.col("text")))
+    folded = lambda name: spread(table(spark, sf_dir, name)).withColumn("f", T.fold(F.col("text")))
     return R.containing(folded("benchmark").withColumnRenamed("f", "q"), folded("documents").select("doc_id", "f"), "item_id", ["doc_id"], "q", "f")
 
 
 @query("bm25_top5", f"WITH {BM25} SELECT item_id, doc_id, chunk, score, rank FROM t WHERE rank <= 5")
 def _(spark, sf_dir):
-    found = R.bm25(table(spark, sf_dir, "benchmark"), chunks(table(spark, sf_dir, "documents")), "item_id", ["doc_id", "chunk"], F.col("text"), F.col("text"))
+    found = R.bm25(table(spark, sf_dir, "benchmark"), chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "item_id", ["doc_id", "chunk"], F.col("text"), F.col("text"))
     return R.top_k(found.withColumn("score", F.round("score", 6)), "item_id", [F.col("score").desc(), "doc_id", "chunk"], 5)
 
 
@@ -87,7 +87,7 @@ SELECT item_id, doc_id, round(coalesce(x.score, 0), 6) AS text_score, round(coal
 FROM x FULL JOIN y USING (item_id, doc_id)""")
 def _(spark, sf_dir):
     """Text hits joined with a stand-in for vector hits, a formula of the ids."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    items, docs = table(spark, sf_dir, "benchmark"), spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     hits = candidates(items.select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote")), chunks(docs), 10)
     text = hits.groupBy(F.col("claim_id").alias("item_id"), "doc_id").agg((F.max("score") / 128).alias("score"))
     other = items.select("item_id", (F.col("item_id") % 100).alias("g")).join(docs.select("doc_id", (F.col("doc_id") % 100).alias("g")), "g").select("item_id", "doc_id", (((F.col("item_id") * 7 + F.col("doc_id")) % 41) / 64.0).alias("score"))
@@ -97,7 +97,7 @@ def _(spark, sf_dir):
 @query("verify_claims")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = verify(_claims(spark, sf_dir), chunks(docs), docs.select("doc_id", F.col("source").alias("author")))
+    found = verify(_claims(spark, sf_dir), chunks(spread(docs.select("doc_id", "text"))), docs.select("doc_id", F.col("source").alias("author")))
     return found.select("*", F.col("reference.doc_id").alias("doc_id"), F.col("reference.chunk").alias("chunk"), F.col("reference.excerpt").alias("excerpt")).drop("reference")
 
 
@@ -120,7 +120,7 @@ FROM e""")
 def _(spark, sf_dir):
     """Verification without string similarity, so paraphrases can't be told; all else alike."""
     docs = table(spark, sf_dir, "documents")
-    found = verify(_claims(spark, sf_dir), chunks(docs), docs.select("doc_id", F.col("source").alias("author")), similarity=False)
+    found = verify(_claims(spark, sf_dir), chunks(spread(docs.select("doc_id", "text"))), docs.select("doc_id", F.col("source").alias("author")), similarity=False)
     return found.select("claim_id", "code", "exact", "author_match", "combined", "anchor")
 
 
@@ -129,7 +129,7 @@ e AS (SELECT t.item_id, t.doc_id, t.chunk, rank, list_filter(list_distinct(regex
   list_distinct(regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS ct FROM t JOIN benchmark b USING (item_id) JOIN c USING (doc_id, chunk) WHERE rank <= 3)
 SELECT item_id, doc_id, chunk, rank, round(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, ct)) / len(qt) END, 6) AS anchor FROM e""")
 def _(spark, sf_dir):
-    items, held = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote")), chunks(table(spark, sf_dir, "documents"))
+    items, held = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote")), chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     found = candidates(items, held, 3).join(items, "claim_id").join(held, ["doc_id", "chunk"])
     return found.select(F.col("claim_id").alias("item_id"), "doc_id", "chunk", "rank", F.round(E.anchor(F.col("quote"), F.col("text")), 6).alias("anchor"))
 

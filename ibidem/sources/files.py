@@ -11,6 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table so small that its scan has fewer tasks than there are cores, dealt out; a larger one as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC12: a JSON-lines file; lines that aren't JSON, and blank ones, are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
