@@ -219,6 +219,7 @@ def fit(texts: list, toxic: list[int], rounds: int = 40) -> Field | None:
     field = Field({f: float(w[k]) for k, f in enumerate(known)}, float(bias), trans, 1.0, 0.0)
     x = np.log(np.concatenate([field.read(pa.array(texts[k : k + 200], pa.large_string()))[0] for k in range(0, len(texts), 200)]) + 0.1)
     field.slope, field.offset = _curve(x, y)
+    pa.default_memory_pool().release_unused()  # the driver has more to do
     return field
 
 
