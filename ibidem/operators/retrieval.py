@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +25,25 @@ def postings(docs: DataFrame, key: list[str], text: Column, least: int = 1) -> D
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str], query: Column, text: Column, least: int = 1) -> DataFrame:
     """RT1: query_key, key, score of every document that shares a term with a query; any term counts.
 
-    Only postings of terms that a query has leave the documents, so one shuffle by term and document carries what queries
-    can meet, not the corpus. Document lengths and their mean come from the same scan.
+    Only postings of terms that a query has leave the scan of the documents, combined by document, so one shuffle carries what
+    queries can meet, not the corpus. Where the queries' vocabulary is small, Spark broadcasts it. Frequencies and scores both
+    need these postings, so they're kept; parts that are lost are computed again.
     """
     wanted = queries.select(query_key, F.explode(tokens(query, least)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    terms = wanted.select("term").distinct()
-    # One pass over the documents: of each its length and the terms that queries have. Where the queries' vocabulary is
-    # small, Spark broadcasts it.
     sized = docs.select(*key, tokens(text, least).alias("_t")).select(*key, F.size("_t").alias("dl"), "_t")
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    held = sized.select(*key, "dl", F.explode("_t").alias("term")).join(terms, "term", "left_semi").groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
-    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
-    weights = frequency.crossJoin(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    met = wanted.join(weights, "term").join(held, "term")
+    held = sized.select(*key, "dl", F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    frequency = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    weights = frequency.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return met.groupBy(query_key, *key).agg(F.sum(part).alias("score"))
+    return wanted.join(weights, "term").join(held, "term").groupBy(query_key, *key).agg(F.sum(part).alias("score"))
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str], query: Column, text: Column, k: int, least: int = 1) -> DataFrame:
+    """TK1: query_key, key, score (rounded to 6 places), rank of the k best documents of each query; ties go by key."""
+    scored = bm25(queries, docs, query_key, key, query, text, least).withColumn("score", F.round("score", 6))
+    return top_k(scored, query_key, [F.col("score").desc(), *key], k)
 
 
 def field_boosts(language: Column) -> Column:

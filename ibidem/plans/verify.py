@@ -9,13 +9,12 @@ from ibidem.functions import evidence as E
 from ibidem.functions.language import MODERN, query_language
 from ibidem.functions.text import clean_ocr, fold
 from ibidem.operators.neighbours import context
-from ibidem.operators.retrieval import bm25, top_k
+from ibidem.operators.retrieval import bm25_top
 
 
 def candidates(claims: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """claim_id, doc_id, chunk, score, rank: the k best chunks of each claim."""
-    scored = bm25(claims, chunks, "claim_id", ["doc_id", "chunk"], F.col("quote"), F.col("text"))
-    return top_k(scored.withColumn("score", F.round("score", 6)), "claim_id", [F.col("score").desc(), "doc_id", "chunk"], k)
+    return bm25_top(claims, chunks, "claim_id", ["doc_id", "chunk"], F.col("quote"), F.col("text"), k)
 
 
 def verify(claims: DataFrame, chunks: DataFrame, books: DataFrame, translations: DataFrame | None = None, k: int = 5, similarity: bool = True) -> DataFrame:
