@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ibidem.functions import dates as T2
 from ibidem.functions import evidence as E
 from ibidem.functions import language as L
 from ibidem.functions import metadata as M
@@ -260,9 +261,9 @@ def _(spark, sf_dir):
     return C.author_catalog(authors, books, written)
 
 
-@query("books_without_chunks", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("books_without_chunks", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderkey % 7 = 0)")
 def _(spark, sf_dir):
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
     return customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -320,9 +321,9 @@ def _(spark, sf_dir):
     return D.histogram(t("orders").join(members, F.col("o_custkey") == F.col("c_custkey")), F.col("o_orderstatus"), "none", ["r_name"])
 
 
-@query("library_search", f"SELECT p_partkey, p_name FROM part WHERE contains({FOLD.format('''concat_ws(' ', p_name, p_brand, p_type)''')}, 'steel')")
+@query("library_search", f"SELECT p_partkey, p_name FROM part WHERE contains({FOLD.format('''concat_ws(' ', p_name, p_brand, p_type)''')}, 'widget')")
 def _(spark, sf_dir):
-    return C.library(table(spark, sf_dir, "part"), "  STÉEL ", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name")
+    return C.library(table(spark, sf_dir, "part"), "WÍDGET", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name")
 
 
 @query("publisher_tabs", "SELECT source AS key, min_by(source, doc_id) AS label, count(*) AS n, source IN ('src3', 'src0') AS pinned FROM documents GROUP BY source")
@@ -352,9 +353,9 @@ def _(spark, sf_dir):
     return D.multi_label(table(spark, sf_dir, "part"), F.lower("p_name"), {"a": "a", "b": "re|st"}).select("p_partkey", "tab")
 
 
-@query("alias_containment", "SELECT DISTINCT n_name AS saint, p_partkey AS book_id FROM nation JOIN part ON contains(lower(p_name), lower(right(n_name, 1)))")
+@query("alias_containment", "SELECT DISTINCT n_name AS saint, p_partkey AS book_id FROM nation JOIN part ON contains(lower(p_name), substr('abcdefghijklmnopqrstuvwxy', n_nationkey + 1, 1))")
 def _(spark, sf_dir):
-    saints = table(spark, sf_dir, "nation").select(F.col("n_name").alias("saint"), F.expr("right(n_name, 1)").alias("alias"))
+    saints = table(spark, sf_dir, "nation").select(F.col("n_name").alias("saint"), F.expr("substring('abcdefghijklmnopqrstuvwxy', n_nationkey + 1, 1)").alias("alias"))
     return C.alias_books(saints, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("text")))
 
 
@@ -493,3 +494,99 @@ def _(spark, sf_dir):
     pairs = items.select("item_id", "text").join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next")), "item_id")
     a, b = F.array_distinct(E.tokens(F.col("text"), 4)), F.array_distinct(E.tokens(F.col("next"), 4))
     return pairs.select("item_id", F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_except(a, b)).alias("only"))
+
+
+@query("date_parts", "SELECT event_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, [strftime(ts + INTERVAL 0 DAY, '%m-%d'), strftime(ts + INTERVAL 1 DAY, '%m-%d'), strftime(ts + INTERVAL 2 DAY, '%m-%d')] AS coming FROM events")
+def _(spark, sf_dir):
+    at = F.col("ts")
+    return table(spark, sf_dir, "events").select("event_id", T2.month_label(at).alias("month"), T2.day_key(at).alias("day"), T2.iso(at).alias("iso"), T2.next_days(at, 3).alias("coming"))
+
+
+ROMAN_SQL = "[" + ", ".join(repr(x) for x in "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX XXI".split()) + "]"
+
+
+@query("century_labels", f"SELECT o_orderkey, {ROMAN_SQL}[ceil(y / 100.0)::INT] AS century FROM (SELECT o_orderkey, year(o_orderdate) - (o_orderkey % 1900) AS y FROM orders)")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", M.century_label(F.year("o_orderdate") - F.col("o_orderkey") % 1900).alias("century"))
+
+
+@query("intrusion_scores", r"""WITH q AS (SELECT conv_id, turn, lower(text) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{5,}') AS w FROM conversations)
+SELECT conv_id, turn, round(least(1.0, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(['hello', 'please', 'thanks', 'about'], x))) / len(w) + 0.25 * contains(t, 'of the')::INT ELSE 0.4 * contains(t, 'of the')::INT END), 6) AS score FROM q""")
+def _(spark, sf_dir):
+    """SC20 with a lexicon that occurs in the tables."""
+    score = E.intrusion(F.col("text"), ("hello", "please", "thanks", "about"), ("of the",))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
+@query("exact_windows", r"SELECT doc_id, chunk, len(w)::INT AS n FROM (SELECT doc_id, 0 AS chunk, list_transform(generate_series(0, greatest(length(text) - 40, 0), 10), lambda s: substr(text, s + 1, 40)) AS w FROM documents)")
+def _(spark, sf_dir):
+    """W9: character windows of 40, stepping a quarter."""
+    from ibidem.operators.chunk import character_windows
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk"), F.size(character_windows(F.col("text"), F.lit(40))).alias("n"))
+
+
+@query("tier_gating", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 >= 2 THEN o_totalprice END AS price, o_orderkey % 4 + 1 AS rank FROM orders")
+def _(spark, sf_dir):
+    plan = F.get(E.constants(["free", "basic", "pro", "institution"]), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", M.gated(F.col("o_totalprice"), plan, 3).alias("price"), M.plan_rank(plan).cast("long").alias("rank"))
+
+
+@query("insert_absent", "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 1 FROM customer WHERE c_custkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey % 2 = 0 AND o.c_custkey = customer.c_custkey + 1)")
+def _(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").select("c_custkey")
+    return D.insert_absent(ids.where("c_custkey % 2 = 0"), ids.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1).alias("c_custkey")), ["c_custkey"])[0]
+
+
+@query("path_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 2 = 0 THEN 'ok' ELSE 'fixed' END AS outcome FROM part) GROUP BY 1")
+def _(spark, sf_dir):
+    """SNK15: paths of which some have moved and some are gone."""
+    part, name = table(spark, sf_dir, "part").select("p_partkey"), F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf"))
+    files = part.select(F.concat(F.lit("a/"), name).alias("path"))
+    listing = part.where("p_partkey % 5 <> 0").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "a/").otherwise("b/"), name).alias("path"))
+    return D.path_outcomes(files, listing).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("known_names", "SELECT s_suppkey, lower(s_name) IN (SELECT lower(replace(c_name, 'Customer', 'Supplier')) FROM customer WHERE c_custkey % 2 = 0) AS known FROM supplier")
+def _(spark, sf_dir):
+    """JN21: names flagged that are known under a normal form."""
+    t = lambda n: table(spark, sf_dir, n)
+    known = t("customer").where("c_custkey % 2 = 0").select(T.fold(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("k")).distinct().withColumn("known", F.lit(True))
+    return t("supplier").join(known, T.fold(F.col("s_name")) == F.col("k"), "left").select("s_suppkey", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("expected_inventory", "WITH e AS (SELECT unnest(['en', 'fr', 'la', 'pt']) AS lang) SELECT lang, coalesce((SELECT count(*) FROM documents d WHERE d.lang = e.lang), 0) AS n, CASE WHEN (SELECT count(*) FROM documents d WHERE d.lang = e.lang) > 0 THEN 'done' ELSE 'not_imported' END AS status FROM e")
+def _(spark, sf_dir):
+    """JN22, JN23: what should be there, with what is."""
+    there = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.lit("done").alias("status"))
+    return C.expected_rows(spark, [("en",), ("fr",), ("la",), ("pt",)], "lang string", there, "lang").select("lang", F.coalesce("n", F.lit(0)).alias("n"), "status")
+
+
+@query("editions", "SELECT source, list_sort(list(DISTINCT lang)) AS editions, count(*) AS files, CASE WHEN count(DISTINCT lang) > 1 THEN ['several editions'] ELSE [] END AS risks FROM documents GROUP BY source")
+def _(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("volume"), F.col("doc_id").cast("string").alias("file"), F.col("lang").alias("edition"))
+    return C.editions(files, "source").select("source", "editions", F.size("files").cast("long").alias("files"), "risks")
+
+
+@query("corrected_names", "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'Three' WHEN 4 THEN 'Four' ELSE n_name END AS n_name FROM nation")
+def _(spark, sf_dir):
+    fixes = spark.createDataFrame([(3, "Three"), (4, "Four")], "n_nationkey int, n_name string")
+    return D.corrected(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), fixes, "n_nationkey", "n_name")
+
+
+@query("keyset_page", "SELECT o_orderkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 25")
+def _(spark, sf_dir):
+    return D.keyset_page(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100, 25)
+
+
+@query("pope_kinds", "SELECT source AS pope, max(y)::INT AS year, count(*) AS n, count(DISTINCT lang) AS kinds FROM (SELECT source, lang, 1800 + doc_id % 200 AS y FROM documents) GROUP BY source")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("pope"), "lang", (1800 + F.col("doc_id") % 200).cast("int").alias("y"))
+    return C.popes(rows, "pope", "lang", F.col("y"), "src0").select("pope", "year", "n", F.size("kinds").cast("long").alias("kinds"))
+
+
+@query("semantic_fallback", r"SELECT item_id FROM benchmark WHERE NOT regexp_matches(lower(text), 'tion')")
+def _(spark, sf_dir):
+    """RT9: items without a text hit."""
+    items = table(spark, sf_dir, "benchmark")
+    return R.only_unmatched(items.select("item_id"), items.where(F.lower("text").contains("tion")), "item_id")
