@@ -6,7 +6,10 @@ under every mask are joined with those of the benchmark; each hit names an item
 place in the item). Around it the tokens of text and item on that diagonal are compared, and the best stretch is taken
 under +1 for an equal and -4 for a different token, so that four in five are equal throughout; of stretches of one score
 that with more equal tokens. An item counts as leaked where the stretch holds at least LEAST equal tokens, or the whole
-item up to a fifth if it is shorter.
+item up to a fifth if it is shorter. Where that stretch doesn't, two others are tried: any stretch that is four in five
+equal from either end to every place within, though another scores more, and all of the diagonal, where more than four in
+five of the item's tokens are equal (exactly four in five for items whose share isn't beyond LEAST). What is reported is
+the stretch that decided.
 
 The benchmark's hashes are broadcast while they're at most `most_seeds` rows; a larger benchmark is joined by shuffle on
 the hash. Documents aren't shuffled in the first case: only hits with the tokens around them leave the scan.
@@ -47,6 +50,44 @@ def _seeded(rows: DataFrame, keep: list[str]) -> DataFrame:
     return placed.select(*keep, "tokens", "size", "at", F.explode(_seeds("tokens", "at", "size")).alias("seed")).where("seed is not null")
 
 
+def _bound(build, *values: Column) -> Column:
+    """build(*values) with every value computed once, though build names it many times, also within lambdas."""
+    if not values:
+        return build()
+    return F.get(F.transform(F.array(values[0]), lambda v: _bound(lambda *more: build(v, *more), *values[1:])), 0)
+
+
+def _even(places: Column) -> Column:
+    """(equal, begin, end) of the stretch of most equal tokens that no start or end of it takes below four in five."""
+    n = F.size(places)
+
+    def reach(levels: Column, i: Column) -> Column:
+        """The last equal token, by number, to which such a stretch goes from the i-th."""
+
+        def step(s: Column, j: Column) -> Column:
+            level = F.get(levels, j)
+            on = s["on"] & (level >= F.get(levels, i))
+            higher = on & (level >= s["top"])
+            return F.struct(on.alias("on"), F.when(higher, level).otherwise(s["top"]).alias("top"), F.when(higher, j).otherwise(s["last"]).alias("last"))
+
+        return F.aggregate(F.sequence(i, n - 1), F.struct(F.lit(True).alias("on"), F.get(levels, i).alias("top"), i.alias("last")), step)["last"]
+
+    def longest(levels: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((reach(levels, i) - i + 1).alias("equal"), (-i).alias("first")))
+        return _bound(lambda e: F.struct(e["equal"].alias("equal"), F.get(places, -e["first"]).alias("begin"), (F.get(places, e["equal"] - e["first"] - 1) + 1).alias("end")), F.array_max(ends))
+
+    return _bound(longest, F.transform(places, lambda p, i: 5 * i - 4 * p))
+
+
+def _decided(best: Column, places: Column, item_tokens: Column, least: int) -> Column:
+    """The stretch (equal, begin, end) by which an item counts as leaked on a diagonal, or null; places are the equal tokens'."""
+    n, share = F.size(places), F.ceil(item_tokens * 0.8)
+    need = F.least(F.lit(least), share)
+    whole = F.struct(n.alias("equal"), F.get(places, F.lit(0)).alias("begin"), (F.get(places, n - 1) + 1).alias("end"))
+    most = (5 * n > 4 * item_tokens) | ((n >= share) & (share <= least))
+    return F.when(best["equal"] >= need, best).when(n >= need, F.when(most, whole).otherwise(_bound(lambda e: F.when(e["equal"] >= need, e), _even(places))))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most_seeds: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, matched (equal tokens), item_tokens, start and length (tokens of the document) of each leaked item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens"))
@@ -76,10 +117,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most_see
             pick(score, s["best"]).alias("best"), pick(s["begin"], s["best_begin"]).alias("best_begin"), pick(s["i"] + 1, s["best_end"]).alias("best_end"), pick(count, s["best_equal"]).alias("best_equal"),
         )
 
-    found = compared.withColumn("best", F.aggregate(equal, start, step))
-    found = found.where(F.col("best.best_equal") >= F.least(F.lit(least), F.ceil(F.col("item_tokens") * 0.8)))
-    offset = F.greatest(F.col("diagonal"), F.lit(0)) + F.col("best.best_begin")
-    best = F.max(F.struct(F.col("best.best_equal").alias("matched"), (-offset).alias("at"), (F.col("best.best_end") - F.col("best.best_begin")).alias("length")))
+    best = F.aggregate(equal, start, step)
+    best = F.struct(best["best_equal"].alias("equal"), best["best_begin"].alias("begin"), best["best_end"].alias("end"))
+    places = F.array_compact(F.transform(equal, lambda same, i: F.when(same, i)))
+    decided = _bound(lambda b, p: _decided(b, p, F.col("item_tokens"), least), best, places)
+    found = compared.withColumn("found", decided).where("found is not null")
+    offset = F.greatest(F.col("diagonal"), F.lit(0)) + F.col("found.begin")
+    best = F.max(F.struct(F.col("found.equal").alias("matched"), (-offset).alias("at"), (F.col("found.end") - F.col("found.begin")).alias("length")))
     out = found.groupBy("doc_id", "item_id").agg(best.alias("b"), F.max("item_tokens").alias("item_tokens"))
     return out.select("doc_id", "item_id", F.col("b.matched").alias("matched"), "item_tokens", (-F.col("b.at")).alias("start"), F.col("b.length").alias("length"))
 

@@ -85,3 +85,26 @@ def test_edges(spark):
     kept = D.clean(docs, benchmark)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == docs.columns
     assert D.overlaps(docs.limit(0), benchmark).count() == D.overlaps(docs, benchmark.limit(0)).count() == 0
+
+
+def test_spaced_changes_in_short_items(spark):
+    """Two or three changes anywhere in items of 15 to 25 tokens: whatever has a seed and is equal in more than four of five is found."""
+    benchmark, docs, expected = [], [], {}
+    for n, changed in ((15, 2), (20, 2), (20, 3), (24, 3), (25, 3)):
+        benchmark.append((n, " ".join(f"t{n}x{j}" for j in range(n))))
+        for bad in list(itertools.combinations(range(n), changed))[:: 1 if changed == 2 else 9]:
+            if any(all(c == "0" or p + i not in bad for i, c in enumerate(m)) for m in D.MASKS for p in range(n - len(m) + 1)):
+                docs.append((len(docs), "before " + " ".join("changed" if j in bad else f"t{n}x{j}" for j in range(n)) + " after"))
+                expected[docs[-1][0], n] = n - changed
+    found = {(r.doc_id, r.item_id): (r.matched, r.start, r.length) for r in D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")).collect()}
+    assert found.keys() == expected.keys()
+    assert all(min(13, -(-4 * k[1] // 5)) <= m <= expected[k] for k, (m, _, _) in found.items())
+
+
+def test_stretch_that_scores_less(spark):
+    """Twelve tokens in a row score more than fifteen with one change among them, but these decide."""
+    item = [f"w{j}" for j in range(60)]
+    own = [w if j < 12 or 30 <= j < 46 and j != 38 else f"other{j}" for j, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(own[:30]))], "doc_id long, text string")
+    found = D.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.matched, r.start, r.length) for r in found] == [(1, 15, 30, 16)]
