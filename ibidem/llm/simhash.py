@@ -114,19 +114,24 @@ def _text_fingerprints(texts: list):
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit fp for each row."""
-    ship(docs.sparkSession)
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows with the fingerprint as a signed 64-bit fp in place of the text, their last column."""
+    ship(rows.sparkSession)
 
     def work(parts):
         import numpy as np
         import pyarrow as pa
 
         for part in parts:
-            fp = _text_fingerprints(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = _text_fingerprints(part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp.view(np.int64))], [*part.schema.names[:-1], "fp"])
+
+    return rows.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "fp long"]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the fingerprint as a signed 64-bit fp for each row."""
+    return _marked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
 def links(points: DataFrame, threshold: int = 2, most: int = 256) -> DataFrame:
@@ -197,26 +202,37 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(roots.unionByName(tops).groupBy("node").agg(F.min("root").alias("root")), "roots") if spark else roots
 
 
+def _rooted(marked: DataFrame, threshold: int, most: int) -> DataFrame:
+    """Every distinct fp, the least doc_id that has it, and root, the least fingerprint reachable over links."""
+    points = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    roots = components(links(points, threshold, most))
+    return points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, most: int = 256) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) for every row."""
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    points = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(links(points, threshold, most))
-    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(marked, threshold, most)
     owner = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(owner, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is its component's least; rows without a doc_id stay only where none in it has one.
+def deduplicate(docs: DataFrame, threshold: int = 2, most: int = 256) -> DataFrame:
+    """One row of docs for each component: that with its least doc_id, or, where no row in it has one, the least by hashes.
 
-    Repeated rows with the kept doc_id are exact copies of one document; one of them stays.
+    Rows are told apart by doc_id and 128 bits of hashes of the text. Repeated rows of both are copies of one document, and
+    one of them stays; rows of one doc_id, or without any, whose texts aren't linked are of different components and all stay.
     """
-    found = near_duplicates(docs, threshold=threshold)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    text = F.col("text").cast("string")
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_x"), F.xxhash64(F.lit(1), text).alias("_y")]
+    marked = materialize(_marked(docs.select(*keys, text.alias("text"))), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_x", "_y")).alias("f")
+    of = _rooted(marked, threshold, most).select("fp", "root")
+    kept = marked.join(of, "fp").groupBy("root").agg(least).select(F.col("root").alias("_root"), F.col("f.doc_id").alias("_id"), "f._x", "f._y")
+    rows = docs.withColumns({"_row_x": keys[1], "_row_y": keys[2]})
+    met = (F.col("_row_x") == F.col("_x")) & (F.col("_row_y") == F.col("_y")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    return rows.join(kept, met).dropDuplicates(["_root"]).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -89,3 +89,11 @@ def test_edges(spark):
     kept = S.deduplicate(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 6, 7] and kept.columns == docs.columns
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component(spark):
+    """Several documents without an id, and one id with two texts: each component leaves one row, whatever the ids."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (4, text(3)), (5, text(5)), (5, text(6)), (5, text(6)), (6, text(6)), (None, None), (None, "")]
+    kept = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, text(1)), (0, text(2)), (4, text(3)), (5, text(5)), (5, text(6)), (0, "")])
