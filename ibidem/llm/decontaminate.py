@@ -90,17 +90,21 @@ def _decided(best: Column, places: Column, item_tokens: Column, least: int) -> C
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most_seeds: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, matched (equal tokens), item_tokens, start and length (tokens of the document) of each leaked item."""
+    return _overlaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], benchmark, least, most_seeds)
+
+
+def _overlaps(docs: DataFrame, ids: list[str], benchmark: DataFrame, least: int, most_seeds: int = 2_000_000) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens"))
     seeds = _seeded(items, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at"), F.col("size").alias("item_tokens")).distinct()
     few = seeds.limit(most_seeds + 1).count() <= most_seeds
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
-    hits = _seeded(texts, ["doc_id"]).join(F.broadcast(seeds) if few else seeds, "seed")
+    texts = docs.select(*ids, token_hashes(F.col("text")).alias("tokens"))
+    hits = _seeded(texts, ids).join(F.broadcast(seeds) if few else seeds, "seed")
     diagonal = F.col("at") - F.col("item_at")
     first = F.greatest(diagonal, F.lit(0))
     around = F.slice("tokens", first + 1, F.least(F.col("size"), diagonal + F.col("item_tokens")) - first)
-    hits = hits.select("doc_id", "item_id", diagonal.alias("diagonal"), "item_tokens", around.alias("around"))
+    hits = hits.select(*ids, "item_id", diagonal.alias("diagonal"), "item_tokens", around.alias("around"))
     # A repeated doc_id may have other tokens on the same diagonal, so the tokens belong to the key.
-    hits = hits.groupBy("doc_id", "item_id", "diagonal", "item_tokens", F.hash("around").alias("_h"), F.xxhash64("around").alias("_x")).agg(F.first("around").alias("around"))
+    hits = hits.groupBy(*ids, "item_id", "diagonal", "item_tokens", F.hash("around").alias("_h"), F.xxhash64("around").alias("_x")).agg(F.first("around").alias("around"))
     compared = hits.join(items.select("item_id", F.col("tokens").alias("item")).distinct(), "item_id").where(F.size("item") == F.col("item_tokens"))
     part = F.slice("item", F.greatest(-F.col("diagonal"), F.lit(0)) + 1, F.size("around"))
     equal = F.zip_with("around", part, lambda a, b: a == b)
@@ -124,14 +128,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most_see
     found = compared.withColumn("found", decided).where("found is not null")
     offset = F.greatest(F.col("diagonal"), F.lit(0)) + F.col("found.begin")
     best = F.max(F.struct(F.col("found.equal").alias("matched"), (-offset).alias("at"), (F.col("found.end") - F.col("found.begin")).alias("length")))
-    out = found.groupBy("doc_id", "item_id").agg(best.alias("b"), F.max("item_tokens").alias("item_tokens"))
-    return out.select("doc_id", "item_id", F.col("b.matched").alias("matched"), "item_tokens", (-F.col("b.at")).alias("start"), F.col("b.length").alias("length"))
+    out = found.groupBy(*ids, "item_id").agg(best.alias("b"), F.max("item_tokens").alias("item_tokens"))
+    return out.select(*ids, "item_id", F.col("b.matched").alias("matched"), "item_tokens", (-F.col("b.at")).alias("start"), F.col("b.length").alias("length"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of docs whose doc_id has no leaked item."""
-    bad = overlaps(docs, benchmark, least).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leaked"]), "left_anti")
+    """The rows of docs whose own text has no leaked item, whatever their doc_ids; texts are known by 128 bits of hashes."""
+    text = F.col("text").cast("string")
+    keys = {"_row_x": F.xxhash64(text), "_row_y": F.xxhash64(F.lit(1), text)}
+    bad = _overlaps(docs.select(*[k.alias(n) for n, k in keys.items()], "text"), list(keys), benchmark, least).select(*keys).distinct()
+    return docs.withColumns(keys).join(bad, list(keys), "left_anti").select(*docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -108,3 +108,11 @@ def test_stretch_that_scores_less(spark):
     docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(own[:30]))], "doc_id long, text string")
     found = D.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.doc_id, r.matched, r.start, r.length) for r in found] == [(1, 15, 30, 16)]
+
+
+def test_clean_by_row(spark):
+    """A leaked row without an id, or with one that other rows have, takes none of these along."""
+    item = " ".join(f"word{i}" for i in range(20))
+    rows = [(None, f"x {item} y"), (None, "a clean text"), (None, None), (1, item), (1, "another clean text"), (2, "a clean text")]
+    kept = D.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "a clean text"), (1, "another clean text"), (2, "a clean text")]
