@@ -4,8 +4,13 @@ A page becomes a tree of elements. For every node, characters and tags below it,
 composite text density: characters a tag, damped where link characters and link tags prevail relative to the body. A
 node's density sum adds the densities of its children. The subtree with the largest sum is the content; the threshold is
 the least density on the path from the body to it, and within it blocks of a lower density than that, if they consist of
-links, are left out. An article or main element around the subtree is taken whole. Menus, headers, footers, sidebars,
-forms, adverts, reader comments and the like are left out by their elements, roles and class names before densities count.
+links, are left out. An article or main element around the subtree is taken whole. Menus, headers, footers, scripts and
+what is hidden are left out by their elements before densities count. Forms, and what roles or class names call a sidebar,
+advert, reader comments and the like, are left out too, but only as parts of a page: where one holds the largest article or
+main element, or more unlinked characters than all that isn't marked, it is a wrapper and counts as if it had no such name
+(ten times as many, so hardly anything else on the page, for comments and consent texts, which may well outweigh an article,
+and on pages with an article or main element, which says itself where the text is). A class name marks if all its parts are
+such words, or words of place and layout besides; "overflow-hidden" and "has-sidebar" don't.
 
 Text comes out a block at a time: character references decoded, white space within a block made one space, blocks in page
 order joined by two line feeds. A page is read by one regular expression over its tags, in a pass of Arrow batches; pages
@@ -18,6 +23,7 @@ result; other columns pass through, and clashing names go to the result.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -30,16 +36,23 @@ from .common import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CHROME = frozenset("nav header footer aside form script style noscript template iframe svg math button select option input textarea label fieldset menu dialog object embed video audio canvas head title".split())
+CHROME = frozenset("nav header footer aside script style noscript template iframe svg math button select option input textarea label menu dialog object embed video audio canvas head title".split())
 ENDS_PARAGRAPH = BLOCK - {"body", "html"}
 OWN_KIND = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
 #: Words of a class or id, or roles, that mark what isn't the article.
 ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside related recommended widget widgets comment comments commentlist disqus respond reply replies discussion footer foot masthead topbar toolbar pagination pager share sharing social cookie cookies consent notice notices gdpr privacy alert popup modal overlay newsletter subscribe subscription signup login search form skip hidden".split())
+#: Words that may stand beside those in one class name.
+BESIDE = frozenset("area bar block body bottom box btn button buttons center col column container content div el inner item items left link links list main outer page panel post posts primary right second secondary section site small text title top wrap wrapper".split())
+#: Words for what is other text than the article however much of it there is.
+OTHERS = frozenset("comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 #: Elements that hold an article's blocks.
 HOLDERS = frozenset("html body main article section div td center".split())
 #: Such words in the class of one of these don't matter: they hold the whole page.
-WHOLE = frozenset("html body main article".split())
+WHOLE = frozenset("html body main".split())
+FORMS = frozenset("form fieldset".split())
+#: What a node is by its name and attributes: part of the page, marked as aside, or left out at all events.
+PLAIN, MARKED, OTHER, OUT = range(4)
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -48,38 +61,55 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "kind", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, skip: bool):
-        self.name, self.parent, self.parts, self.skip = name, parent, [], skip  # parts: strings and nodes, in page order
+    def __init__(self, name: str, parent: Node | None, kind: int):
+        self.name, self.parent, self.parts, self.kind, self.skip = name, parent, [], kind, kind == OUT  # parts: strings and nodes, in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _aside(name: str, attributes: str) -> bool:
+def _class_kind(value: str) -> int:
+    """What the names in a class or id make of an element: a name counts if its parts are all known words, one an aside's."""
+    kind = PLAIN
+    for name in value.split():
+        parts = [w.lower() for w in PART.findall(name)]
+        own = [w for w in parts if w in ASIDE_WORDS]
+        if own and all(w in ASIDE_WORDS or w in BESIDE or w.isdigit() for w in parts) and not (own[0] == "hidden" and len(parts) > 1):
+            if any(w in OTHERS for w in own):
+                return OTHER
+            kind = MARKED
+    return kind
+
+
+def _kind(name: str, attributes: str) -> int:
     if name in CHROME:
-        return True
+        return OUT
+    kind = MARKED if name in FORMS else PLAIN
     if not attributes or name in WHOLE:
-        return False
+        return kind
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "")
         if key in ("class", "id"):
-            if any(w.lower() in ASIDE_WORDS for w in PART.findall(value)):
-                return True
+            own = _class_kind(value)
+            if name != "article" or own == OTHER:  # an article is the page's, whatever its class, unless it is a comment
+                kind = max(kind, own)
         elif key == "role":
-            if value.lower() in ASIDE_ROLES:
-                return True
+            if value.lower() in ASIDE_ROLES and name != "article":
+                kind = max(kind, MARKED)
+        elif name == "article":
+            continue
         elif key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return OUT
         elif value.lower() != "false":
-            return True
-    return False
+            return OUT
+    return kind
 
 
 def parse(page: str) -> Node:
     """The tree of a page; elements left open are closed by their parent."""
-    root = now = Node("html", None, False)
+    root = now = Node("html", None, PLAIN)
     at, n, seek = 0, len(page), TAG.search
     while at < n:
         m = seek(page, at)
@@ -115,7 +145,7 @@ def parse(page: str) -> Node:
         if name in OWN_KIND and now.name in OWN_KIND[name].split() and now.parent:
             while now.name in OWN_KIND[name].split() and now.parent:
                 now = now.parent
-        node = Node(name, now, now.skip or _aside(name, m[3]))
+        node = Node(name, now, OUT if now.skip else _kind(name, m[3]))
         now.parts.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -137,6 +167,62 @@ def _names(node: Node | None) -> list[str]:
     return [x.name for x in _path(node)]
 
 
+def leave_out(root: Node) -> None:
+    """Decides which of the marked nodes are parts of the page, to be left out, and which are wrappers of its content."""
+    order, stack, marked = [], [root], False
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        marked = marked or node.kind != PLAIN
+        stack.extend(x for x in node.parts if isinstance(x, Node) and not x.skip)
+    if not marked:
+        return
+    # Unlinked characters below each node, and of them those below no marked one.
+    sums = {}
+    for node in reversed(order):
+        of, plain = 0, 0
+        if node.name != "a":
+            for x in node.parts:
+                if isinstance(x, str):
+                    n = len(SPACE.sub(" ", x).strip())
+                    of, plain = of + n, plain + n
+                elif not x.skip:
+                    n, m = sums[x]
+                    of, plain = of + n, plain + (m if x.kind == PLAIN else 0)
+        sums[node] = of, plain
+    holders = set()
+    for name in ("article", "main"):
+        held = [x for x in order if x.name == name and sums[x][0] and not any(y.kind == OTHER for y in _path(x))]
+        if held:
+            holders.update(_path(max(held, key=lambda x: sums[x][0])))
+
+    def outermost(node: Node):
+        stack = [node]
+        while stack:
+            for x in stack.pop().parts:
+                if isinstance(x, Node) and not x.skip:
+                    if x.kind == PLAIN:
+                        stack.append(x)
+                    else:
+                        yield x
+
+    waiting: list = []  # holders first, then the largest, comments and the like last
+
+    def wait(node: Node) -> None:
+        for x in outermost(node):
+            heapq.heappush(waiting, (x not in holders, x.kind == OTHER, -sums[x][0], len(sums) + len(waiting), id(x), x))
+
+    wait(root)
+    rest = sums[root][1]
+    while waiting:
+        outside, other, size, _, _, node = heapq.heappop(waiting)
+        if not outside or -size > (10 * rest if other or holders else rest):
+            rest += sums[node][1]
+            wait(node)
+        else:
+            node.skip = True
+
+
 def weigh(root: Node) -> None:
     """Counts and densities of every node that isn't left out."""
     order, stack = [], [root]
@@ -187,6 +273,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    leave_out(root)
     weigh(root)
     top, threshold = content(root)
     while top.parent and top.name not in HOLDERS:  # a page of one paragraph has its largest sum inside that

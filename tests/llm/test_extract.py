@@ -45,3 +45,18 @@ def test_edges(spark):
     found = [(r.page_id, r.n_chars) for r in X.extracted(pages).collect()]
     assert sorted(found, key=str) == sorted([(1, 0), (2, 0), (3, 9), (3, 9), (None, 1), (4, 249_999)], key=str)
     assert X.extracted(pages.limit(0)).count() == 0
+
+
+INNER = f"<nav><a href=a>Menu</a></nav><div class='text'><h1>Title</h1><p>{LONG}</p><p>{OTHER}</p></div><div class='sidebar-widget'><p>{LONG}</p></div>"
+ARTICLE = f"<article><h1>Title</h1><p>{LONG}</p><p>{OTHER}</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form action=x><input type=hidden>{INNER}</form></body>",
+    f"<body><div class='overflow-hidden'><div class='content-sidebar-wrap'>{INNER}</div></div><footer>Foot</footer></body>",
+    f"<body><div class='layout has-sidebar'><div class='search'>{INNER}</div></div></body>",
+    f"<body><div class='sidebar'>{ARTICLE}</div><div class='comments'><article class='comment-body'><p>{LONG * 5}</p></article></div></body>",
+    f"<body><div id=text><h1>Title</h1><p class='lg:overflow-hidden'>{LONG}</p><p>{OTHER}</p></div><div class='comments'><p>{LONG * 5}</p></div><div class='cookie-notice'>{LONG * 4}</div></body>",
+])
+def test_wrappers_with_such_names(page):
+    test_cases(page)
