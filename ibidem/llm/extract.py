@@ -1,24 +1,27 @@
 """Main text of HTML pages by composite text density.
 
 A page becomes a tree of elements. For every node, characters and tags below it, and those of them in links, give the
-composite text density: characters a tag, damped where link characters and link tags prevail relative to the body. A
-node's density sum adds the densities of its children. The subtree with the largest sum is the content; the threshold is
-the least density on the path from the body to it, and within it blocks of a lower density than that, if they consist of
-links, are left out. An article or main element around the subtree is taken whole. Menus, headers, footers, scripts and
-what is hidden are left out by their elements before densities count. Forms, and what roles or class names call a sidebar,
-advert, reader comments and the like, are left out too, but only as parts of a page: where one holds the largest article or
-main element, or more unlinked characters than all that isn't marked, it is a wrapper and counts as if it had no such name
-(ten times as many, so hardly anything else on the page, for comments and consent texts, which may well outweigh an article,
-and on pages with an article or main element, which says itself where the text is). A class name marks if all its parts are
-such words, or words of place and layout besides; "overflow-hidden" and "has-sidebar" don't.
+composite text density: characters a tag, damped where link characters and link tags prevail relative to the body. A node's
+density sum adds the densities of its children; text that stands directly in a node counts as a child without tags. The
+subtree with the largest sum is the content; the threshold is the least density on the path from the body to it, and within
+it blocks of a lower density that hold hardly anything but short links, a menu, are left out. Headings that stand right
+before the subtree, or before what encloses it, belong to it.
+
+What the page's markup says is evidence beside that. Scripts, styles, controls, menus, asides, footers, and headers outside
+an article or main element are left out. Forms, and nodes whose role or class names say that they're a sidebar, advert,
+notice, reader comments or the like, are marked: their densities don't count elsewhere, and a marked node is left out unless
+the largest density sum below it exceeds that of all that isn't marked; then it is a wrapper, whatever its name (ten times as
+large for comments and consent texts, which may well outweigh an article, and on pages with an article or main element). A
+class name marks if all its parts are such words, or words of place and layout besides; "ad-hoc" and "has-sidebar" don't.
+Where a page has article or main elements, the largest sum is sought in them, and the element around it is taken whole.
 
 Text comes out a block at a time: character references decoded, white space within a block made one space, blocks in page
-order joined by two line feeds. A page is read by one regular expression over its tags, in a pass of Arrow batches; pages
-don't meet, so there's no shuffle.
+order joined by two line feeds. A page is read tag by tag, forwards only: time grows in proportion to its length, also
+with unbalanced quotes and deep or wrong nesting. Pages don't meet, so there's no shuffle.
 
 Defined results: null or empty html, or a page without text, gives an empty text; markup that isn't closed, or closed out
-of order, is closed by its parent, a paragraph also by the next block; repeated rows stay; an empty table gives an empty
-result; other columns pass through, and clashing names go to the result.
+of order, is closed by its parent, a paragraph also by the next block; a tag without an end is text; repeated rows stay; an
+empty table gives an empty result; other columns pass through, and clashing names go to the result.
 """
 
 from __future__ import annotations
@@ -36,37 +39,45 @@ from .common import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CHROME = frozenset("nav header footer aside script style noscript template iframe svg math button select option input textarea label menu dialog object embed video audio canvas head title".split())
+CHROME = frozenset("nav footer aside script style noscript template iframe svg math button select option input textarea label menu dialog object embed video audio canvas head title".split())
 ENDS_PARAGRAPH = BLOCK - {"body", "html"}
 OWN_KIND = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
 #: Words of a class or id, or roles, that mark what isn't the article.
-ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside related recommended widget widgets comment comments commentlist disqus respond reply replies discussion footer foot masthead topbar toolbar pagination pager share sharing social cookie cookies consent notice notices gdpr privacy alert popup modal overlay newsletter subscribe subscription signup login search form skip hidden".split())
+ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside related widget widgets comment comments commentlist disqus respond footer masthead topbar cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login form".split())
 #: Words that may stand beside those in one class name.
 BESIDE = frozenset("area bar block body bottom box btn button buttons center col column container content div el inner item items left link links list main outer page panel post posts primary right second secondary section site small text title top wrap wrapper".split())
 #: Words for what is other text than the article however much of it there is.
-OTHERS = frozenset("comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr".split())
+OTHERS = frozenset("comment comments commentlist disqus respond cookie cookies consent gdpr".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 #: Elements that hold an article's blocks.
 HOLDERS = frozenset("html body main article section div td center".split())
 #: Such words in the class of one of these don't matter: they hold the whole page.
 WHOLE = frozenset("html body main".split())
 FORMS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+LISTS = frozenset("ul ol menu table div section p".split())
 #: What a node is by its name and attributes: part of the page, marked as aside, or left out at all events.
 PLAIN, MARKED, OTHER, OUT = range(4)
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+PLAIN_ATTRIBUTES = re.compile(r"[^>\"']*")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Quoted values that one tag may have; more are taken for the text of a tag that was never closed.
+MOST_VALUES = 1000
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "kind", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "kind", "skip", "within", "paragraph", "chars", "tags", "link_chars", "link_tags", "density", "total", "reach")
 
     def __init__(self, name: str, parent: Node | None, kind: int):
         self.name, self.parent, self.parts, self.kind, self.skip = name, parent, [], kind, kind == OUT  # parts: strings and nodes, in page order
+        self.within = name in ("article", "main") or bool(parent and parent.within)  # in an article or main element
+        #: The paragraph that the next block ends: the one that is open around this node, if no block lies between.
+        self.paragraph = self if name == "p" else None if name in BLOCK or not parent else parent.paragraph
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.total = self.reach = 0.0
 
 
 def _class_kind(value: str) -> int:
@@ -75,15 +86,15 @@ def _class_kind(value: str) -> int:
     for name in value.split():
         parts = [w.lower() for w in PART.findall(name)]
         own = [w for w in parts if w in ASIDE_WORDS]
-        if own and all(w in ASIDE_WORDS or w in BESIDE or w.isdigit() for w in parts) and not (own[0] == "hidden" and len(parts) > 1):
+        if own and all(w in ASIDE_WORDS or w in BESIDE or w.isdigit() for w in parts):
             if any(w in OTHERS for w in own):
                 return OTHER
             kind = MARKED
     return kind
 
 
-def _kind(name: str, attributes: str) -> int:
-    if name in CHROME:
+def _kind(name: str, attributes: str, within: bool) -> int:
+    if name in CHROME or (name == "header" and not within):
         return OUT
     kind = MARKED if name in FORMS else PLAIN
     if not attributes or name in WHOLE:
@@ -94,66 +105,113 @@ def _kind(name: str, attributes: str) -> int:
             own = _class_kind(value)
             if name != "article" or own == OTHER:  # an article is the page's, whatever its class, unless it is a comment
                 kind = max(kind, own)
-        elif key == "role":
-            if value.lower() in ASIDE_ROLES and name != "article":
-                kind = max(kind, MARKED)
         elif name == "article":
             continue
+        elif key == "role":
+            if value.lower() in ASIDE_ROLES:
+                kind = max(kind, MARKED)
         elif key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return OUT
-        elif value.lower() != "false":
+        elif key in ("hidden", "aria-hidden") and value.lower() != "false":
             return OUT
     return kind
 
 
+def tags(page: str):
+    """(start, end, name, closing, attributes) of every tag, with no name for comments and declarations; a CDATA section has
+    the name "[" and its text as attributes. Reads forwards only."""
+    at, last = 0, {q: page.rfind(q) for q in "\"'"}
+    dead: set[int] = set()  # places of quotes from which no end of a tag was found
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            yield at, len(page) if end < 0 else end + 3, "[", False, page[at + 9 : len(page) if end < 0 else end]
+            at = len(page) if end < 0 else end + 3
+            continue
+        m = NAME.match(page, at)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        first = m.end() if m else at + 1
+        now, met = first, []
+        for _ in range(MOST_VALUES):
+            now = PLAIN_ATTRIBUTES.match(page, now).end()
+            sign = page[now : now + 1]
+            if sign in ("", ">") or now in dead:
+                break
+            met.append(now)
+            now = page.find(sign, now + 1) + 1 if now < last[sign] else now + 1  # a quote without a second one is a sign like others
+        if page[now : now + 1] != ">":  # no end outside quotes: the next one within them, if any
+            dead.update(met)
+            now = page.find(">", first)
+            if now < 0:
+                return
+        yield at, now + 1, m[1].lower() if m else "", page[at + 1] == "/", page[first:now]
+        at = now + 1
+
+
 def parse(page: str) -> Node:
     """The tree of a page; elements left open are closed by their parent."""
     root = now = Node("html", None, PLAIN)
-    at, n, seek = 0, len(page), TAG.search
-    while at < n:
-        m = seek(page, at)
-        if m is None:
-            now.parts.append(page[at:])
-            break
-        if m.start() > at:
-            now.parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                now.parts.append(m[0][9:].removesuffix("]]>"))
+    open_: dict[str, int] = {}  # how many elements of a name are open
+    at, seen = 0, {"html"}
+
+    def close(node: Node) -> Node:
+        """Leaves a node, and all that is open in it; its parent."""
+        nonlocal now
+        while now is not node.parent:
+            open_[now.name] -= 1
+            now = now.parent
+        return now
+
+    skip_to = 0
+    for start, end, name, closing, attributes in tags(page):
+        if start < skip_to:
             continue
-        name = m[2].lower()
-        if m[1]:
-            node = now
-            while node and node.name != name:
-                node = node.parent
-            if node and node.parent:
-                now = node.parent
+        if start > at:
+            now.parts.append(page[at:start])
+        at = end
+        if not name:
+            continue
+        if name == "[":
+            now.parts.append(attributes)
+            continue
+        if closing:
+            if open_.get(name):
+                node = now
+                while node.name != name:
+                    node = node.parent
+                close(node)
             continue
         if name in ("html", "head", "body"):
-            if name == "body" and now.name == "head":
-                now = now.parent
-            if name == "html" or any(x == name for x in _names(now)):
+            if name in seen:
                 continue
-        if name in ENDS_PARAGRAPH and "p" in (path := _names(now)):
-            inner = path[: path.index("p")]
-            if not any(x in BLOCK for x in inner):  # a paragraph ends at the next block, with the inline elements in it
-                while now.name != "p":
-                    now = now.parent
-                now = now.parent
-        if name in OWN_KIND and now.name in OWN_KIND[name].split() and now.parent:
-            while now.name in OWN_KIND[name].split() and now.parent:
-                now = now.parent
-        node = Node(name, now, OUT if now.skip else _kind(name, m[3]))
+            seen.add(name)
+            if name == "body" and now.name == "head":
+                close(now)
+        if name in ENDS_PARAGRAPH and now.paragraph:
+            close(now.paragraph)  # with the inline elements in it
+        while name in OWN_KIND and now.parent and now.name in OWN_KIND[name].split():
+            close(now)
+        node = Node(name, now, OUT if now.skip else _kind(name, attributes, now.within))
         now.parts.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            node.parts.append(page[at : end.start() if end else n])
+            closed = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            node.parts.append(page[at : closed.start() if closed else len(page)])
             node.skip = True
-            at = end.end() if end else n
-        elif name not in VOID and not m[3].endswith("/"):
+            skip_to = at = closed.end() if closed else len(page)
+        elif name not in VOID and not attributes.endswith("/"):
+            open_[name] = open_.get(name, 0) + 1
             now = node
+    if at < len(page):
+        now.parts.append(page[at:])
     return root
 
 
@@ -163,38 +221,81 @@ def _path(node: Node | None):
         node = node.parent
 
 
-def _names(node: Node | None) -> list[str]:
-    return [x.name for x in _path(node)]
+def _order(root: Node) -> list[Node]:
+    """All nodes that aren't left out, parents first."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.skip:
+            order.append(node)
+            stack.extend(x for x in reversed(node.parts) if isinstance(x, Node))
+    return order
+
+
+def _length(text: str) -> int:
+    return len(SPACE.sub(" ", text).strip())
+
+
+def weigh(root: Node) -> list[Node]:
+    """Counts, densities and density sums of every node that isn't left out; the nodes in page order.
+
+    What is marked counts below itself alone, not in the nodes around it. reach is the largest sum of a node and of the
+    unmarked ones below it.
+    """
+    order = _order(root)
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = node.reach = 0.0
+    for node in reversed(order):
+        for x in node.parts:
+            if isinstance(x, str):
+                node.chars += _length(x)
+            elif not x.skip and x.kind == PLAIN:
+                node.chars += x.chars
+                node.tags += x.tags + 1
+                node.link_chars += x.link_chars
+                node.link_tags += x.link_tags + (x.name == "a")
+        if node.name == "a":
+            node.link_chars = node.chars
+    whole = next((x for x in order if x.name == "body"), root)
+    share = whole.link_chars / max(whole.chars, 1)
+    for node in order:
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+    for node in reversed(order):
+        for x in node.parts:
+            if isinstance(x, str):
+                n = _length(x)
+                node.total += _density(n, 0, n if node.name == "a" else 0, 0, share) if n else 0
+            elif not x.skip and x.kind == PLAIN:
+                node.total += x.density
+                node.reach = max(node.reach, x.reach)
+        node.reach = max(node.reach, node.total)
+    return order
+
+
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density; share is that of link characters in the body."""
+    if not chars:
+        return 0.0
+    tags = max(tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    value = chars / max(link_chars, 1) * tags / max(link_tags, 1)
+    return chars / tags * math.log(max(value, 1.0)) / math.log(max(base, 1.1))
 
 
 def leave_out(root: Node) -> None:
-    """Decides which of the marked nodes are parts of the page, to be left out, and which are wrappers of its content."""
-    order, stack, marked = [], [root], False
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        marked = marked or node.kind != PLAIN
-        stack.extend(x for x in node.parts if isinstance(x, Node) and not x.skip)
-    if not marked:
+    """Decides by density sums which of the marked nodes are parts of the page, to be left out, and which are wrappers."""
+    order = weigh(root)
+    if all(x.kind == PLAIN for x in order):
         return
-    # Unlinked characters below each node, and of them those below no marked one.
-    sums = {}
-    for node in reversed(order):
-        of, plain = 0, 0
-        if node.name != "a":
-            for x in node.parts:
-                if isinstance(x, str):
-                    n = len(SPACE.sub(" ", x).strip())
-                    of, plain = of + n, plain + n
-                elif not x.skip:
-                    n, m = sums[x]
-                    of, plain = of + n, plain + (m if x.kind == PLAIN else 0)
-        sums[node] = of, plain
+    under: dict[int, bool] = {}  # whether a node is within reader comments or the like
+    for x in order:
+        under[id(x)] = x.kind == OTHER or (x.parent is not None and under[id(x.parent)])
     holders = set()
     for name in ("article", "main"):
-        held = [x for x in order if x.name == name and sums[x][0] and not any(y.kind == OTHER for y in _path(x))]
+        held = [x for x in order if x.name == name and x.reach and not under[id(x)]]
         if held:
-            holders.update(_path(max(held, key=lambda x: sums[x][0])))
+            holders.update(_path(max(held, key=lambda x: x.reach)))
 
     def outermost(node: Node):
         stack = [node]
@@ -207,60 +308,31 @@ def leave_out(root: Node) -> None:
                         yield x
 
     waiting: list = []  # holders first, then the largest, comments and the like last
+    made = 0
 
     def wait(node: Node) -> None:
+        nonlocal made
         for x in outermost(node):
-            heapq.heappush(waiting, (x not in holders, x.kind == OTHER, -sums[x][0], len(sums) + len(waiting), id(x), x))
+            made += 1
+            heapq.heappush(waiting, (x not in holders, x.kind == OTHER, -x.reach, made, x))
 
     wait(root)
-    rest = sums[root][1]
+    rest = root.reach
     while waiting:
-        outside, other, size, _, _, node = heapq.heappop(waiting)
-        if not outside or -size > (10 * rest if other or holders else rest):
-            rest += sums[node][1]
+        outside, other, least, _, node = heapq.heappop(waiting)
+        if not outside or -least > (10 * rest if other or holders else rest):
+            rest = max(rest, node.reach)
+            node.kind = PLAIN
             wait(node)
         else:
             node.skip = True
 
 
-def weigh(root: Node) -> None:
-    """Counts and densities of every node that isn't left out."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if not node.skip:
-            order.append(node)
-            stack.extend(x for x in node.parts if isinstance(x, Node))
-    for node in reversed(order):
-        for x in node.parts:
-            if isinstance(x, str):
-                node.chars += len(SPACE.sub(" ", x).strip())
-            elif not x.skip:
-                node.chars += x.chars
-                node.tags += x.tags + 1
-                node.link_chars += x.link_chars
-                node.link_tags += x.link_tags + (x.name == "a")
-        if node.name == "a":
-            node.link_chars = node.chars
-    whole = next((x for x in order if x.name == "body"), root)
-    share = whole.link_chars / max(whole.chars, 1)
-    for node in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            node.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0001)) / math.log(max(base, 1.0001) + 1)
-    for node in order:
-        node.total = sum(x.density for x in node.parts if not isinstance(x, str) and not x.skip)
-
-
-def content(root: Node) -> tuple[Node, float]:
-    """The subtree with the largest density sum, and the least density on the path to it from the body."""
-    best, stack = root, [root]
-    while stack:
-        node = stack.pop()
-        if node.total > best.total:
-            best = node
-        stack.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.skip)
+def content(order: list[Node]) -> tuple[Node, float]:
+    """The node of the largest density sum, in article or main elements if there are any, and the least density on the path to
+    it from the body."""
+    within = [x for x in order if x.within and x.reach]
+    best = max(within or order, key=lambda x: x.total)  # of equal ones the first, which is the outermost
     threshold, node = best.density, best
     while node and node.name != "body":
         threshold = min(threshold, node.density)
@@ -268,14 +340,36 @@ def content(root: Node) -> tuple[Node, float]:
     return best, threshold
 
 
+def _headings(top: Node) -> list[Node]:
+    """Headings right before the content, or right before a node that holds it."""
+    found: list[Node] = []
+    for node in _path(top):
+        if not node.parent or node.within:
+            break
+        before = node.parent.parts[: next(i for i, x in enumerate(node.parent.parts) if x is node)]
+        for x in reversed(before):
+            if isinstance(x, str):
+                if x.strip():
+                    break
+            elif not x.skip and x.chars:
+                if x.name not in HEADINGS:
+                    break
+                found.append(x)
+    return found[::-1]
+
+
+def _menu(x: Node, threshold: float) -> bool:
+    """A list or table of hardly anything but short links. A low density alone is no reason to drop a block."""
+    return x.density < threshold and x.link_tags > 2 and x.link_chars > 0.9 * x.chars and x.link_chars < 16 * x.link_tags and x.name in LISTS
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; blocks joined by two line feeds."""
     if not page:
         return ""
     root = parse(page)
     leave_out(root)
-    weigh(root)
-    top, threshold = content(root)
+    top, threshold = content(weigh(root))
     while top.parent and top.name not in HOLDERS:  # a page of one paragraph has its largest sum inside that
         top = top.parent
     for name in ("article", "main"):
@@ -291,7 +385,7 @@ def main_text(page: str | None) -> str:
         if text:
             blocks.append(text)
 
-    stack: list = [top]
+    stack: list = [top, *reversed(_headings(top))]
     while stack:
         x = stack.pop()
         if x is None:
@@ -305,8 +399,7 @@ def main_text(page: str | None) -> str:
             block = x.name in BLOCK
             if block:
                 end()
-                # A list or table of links is no part of the article; a low density alone is no reason to drop a line.
-                if x is not top and x.density < threshold and x.chars and x.link_chars > 0.5 * x.chars and x.link_tags > 1:
+                if x is not top and _menu(x, threshold):
                     continue
                 stack.append(None)
             stack.extend(reversed(x.parts))

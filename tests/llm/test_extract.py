@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -60,3 +61,35 @@ ARTICLE = f"<article><h1>Title</h1><p>{LONG}</p><p>{OTHER}</p></article>"
 ])
 def test_wrappers_with_such_names(page):
     test_cases(page)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div><p class='ad-hoc'>{LONG}</p><p>{LONG}</p></div></body>", [LONG, LONG]),
+    (f"<body><nav>Menu</nav><section class='chess-promotion-rules'><h2>Rules</h2><p>{LONG}</p><p>{LONG}</p></section></body>", ["Rules", LONG, LONG]),
+    (f"<body><header>Site</header><article><header><h1>Title</h1></header><p>{LONG}</p><table class='share'><tr><td>Shares</td><td>12 %</td></tr></table></article></body>", ["Title", LONG, "Shares", "12 %"]),
+    (f"<body><article><p>{LONG}</p><ol><li><a href=1>Smith, J., On the growth of trees, 2001</a></li><li><a href=2>Jones, K., A reply to Smith and others, 2003</a></li><li><a href=3>Brown, T., Trees revisited, in two parts, 2005</a></li></ol></article></body>", [LONG, "Smith, J., On the growth of trees, 2001", "Jones, K., A reply to Smith and others, 2003", "Brown, T., Trees revisited, in two parts, 2005"]),
+    (f"<body><article><h1>One</h1><p>{LONG}</p><p>{LONG}</p></article><article><h2>Other</h2><p>Read on.</p></article></body>", ["One", LONG, LONG]),
+    (f"<body><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p><p>Short end.</p></div><div><a href=1>A</a> <a href=2>B</a></div><div>Imprint</div></body>", ["Title", LONG, LONG, "Short end."]),
+    (f"<body><p title='hidden'>{LONG}</p></body>", [LONG]),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Shop</a></ul></div></body>", [LONG, LONG]),
+])
+def test_by_density(page, text):
+    assert X.main_text(page) == "\n\n".join(x.strip() for x in text)
+
+
+def test_without_hints(spark, tables):
+    """Without article elements, class names and elements for menus and footers, densities find the same text on most pages."""
+    right = total = 0
+    for r in spark.read.parquet(f"{tables}/pages.parquet").collect():
+        bare = re.sub(r"(</?)(?:nav|footer|article)>", r"\1div>", r.html).replace(' class="ad"', "")
+        total += 1
+        right += X.main_text(bare) == X.main_text(r.html)
+    assert right >= 0.9 * total
+
+
+@pytest.mark.parametrize("piece", ["<p title=\"x>a ", "<div>", "<div></span>", "<a '", "<a '\"'>", "<a \">\" ", "<body><p>x", "<", "<article><div class=comments>", "<!--", "<a href=x>", "</p>", "<li>x"])
+def test_long_and_wrong(piece):
+    """Time grows in proportion: a page of a megabyte of anything takes seconds."""
+    began = time.process_time()
+    X.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
