@@ -1,10 +1,15 @@
 """Quality rules with robust multivariate outliers, by DataFrame functions alone.
 
 Each text gives base counts and a vector of five transformed statistics. For every language and source the minimum
-covariance determinant is estimated: from medians and quartiles, concentration steps take mean and covariance of the 75 %
-of rows nearest by Mahalanobis distance, again and again. All a step moves between tasks are sums and quantile sketches of
-a group, combined before the shuffle, so a source with a third of all rows is no heavier than the others. A group of fewer
-than 50 usable rows is estimated with the other small ones of its language, or of all.
+covariance determinant is estimated: that mean and covariance of 75 % of the rows whose determinant is least. It is sought
+from four deterministic starts (medians and quartiles; mean and covariance; covariance of the hyperbolic tangents of robust
+scores; covariance of their spatial signs) by concentration steps, which take mean and covariance of the 75 % of rows
+nearest by Mahalanobis distance and never raise the determinant. After two steps the two starts of least determinant go on
+until no determinant falls any more, and the least one wins. A step is one pass over the vectors: rows are counted and their
+products summed by distance, in narrow bands on a logarithmic scale, and the bands that hold the nearest 75 % are added up,
+the last one in part. All that moves between tasks are these sums, combined before the shuffle, so a source with a third of
+all rows is no heavier than the others. A group of fewer than 50 usable rows can't be estimated by itself, whatever the size
+of the table, and is estimated with the other such groups of its language, or of all.
 
 Statistics that are constant over good text (no symbols at all) would make covariances singular; FLOORS are standard
 deviations below which a difference doesn't count, added to every covariance.
@@ -17,7 +22,7 @@ untouched, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BREAK, materialize, words
@@ -27,9 +32,12 @@ FLOORS = (0.05, 0.25, 0.2, 0.2, 0.12)
 #: Rows nearest to a group's centre that a concentration step takes, and what makes their covariance consistent for five
 #: normal variables: 0.75 / P(chi2 with 7 degrees <= the 0.75 quantile of chi2 with 5).
 SHARE, CONSISTENT = 0.75, 1.41
-#: Squared distance beyond which a row is an outlier; chi2 with 5 degrees exceeds 45 once in 10**8.
-CUTOFF = 60.0
-STEPS, LEAST_ROWS, LEAST_ESTIMATE = 4, 50, 11
+#: Squared distance beyond which a row is an outlier: the quantile of chi2 with 5 degrees that one normal row in 10**8 exceeds.
+CUTOFF = 45.8
+LEAST_ROWS, LEAST_ESTIMATE = 50, 11
+#: Distances of one band differ by a factor of 2 ** (1 / BANDS) at most; a determinant that falls by less than a share of
+#: FALL has stopped falling; no more than MOST_STEPS steps are taken.
+BANDS, FALL, MOST_STEPS = 128, 1e-4, 40
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -104,8 +112,13 @@ def _distance(centre: str = "centre", factor: str = "factor") -> Column:
     return total
 
 
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(STATISTICS)) for j in range(i, len(STATISTICS))]
+
+
 def _factored(moments: DataFrame, scale: float) -> DataFrame:
-    """grp, n, centre and the Cholesky factor (row by row) from means m_i and mean products m_i_j."""
+    """grp, start, n, centre, the Cholesky factor (row by row) and half the determinant's logarithm, from means m_i and mean
+    products m_i_j."""
     p = len(STATISTICS)
     cov = lambda i, j: scale * (F.col(f"m_{j}_{i}") - F.col(f"m_{i}") * F.col(f"m_{j}")) + (FLOORS[i] ** 2 if i == j else 0)
     frame = moments
@@ -117,30 +130,67 @@ def _factored(moments: DataFrame, scale: float) -> DataFrame:
             entry = F.sqrt(F.greatest(entry, F.lit(1e-9))) if i == j else entry / F.col(f"l_{j}_{j}")
             frame = frame.withColumn(f"l_{i}_{j}", entry)
     factor = F.array(*[F.col(f"l_{i}_{j}") if j <= i else F.lit(0.0) for i in range(p) for j in range(p)])
-    return frame.select("grp", "n", F.array(*[F.col(f"m_{i}") for i in range(p)]).alias("centre"), factor.alias("factor"))
+    size = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, p)), F.log(F.col("l_0_0")))
+    return frame.select("grp", "start", "n", F.array(*[F.col(f"m_{i}") for i in range(p)]).alias("centre"), factor.alias("factor"), size.alias("size"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Four starts of each group, as _factored returns them."""
     p = len(STATISTICS)
-    sums = [F.avg(f"x{i}").alias(f"m_{i}") for i in range(p)]
-    sums += [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m_{i}_{j}") for i in range(p) for j in range(i, p)]
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), *sums)
+    quartiles = vectors.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(p)])
+    scale = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2)) + FLOORS[i] ** 2)
+    robust = materialize(quartiles.select("grp", *[F.col(f"q{i}")[1].alias(f"c{i}") for i in range(p)], *[scale(i).alias(f"s{i}") for i in range(p)]), "mcd")
+    scored = vectors.join(_beside(robust)(robust), "grp").withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"s{i}") for i in range(p)})
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0")))
+    scored = scored.withColumns({"length": length, **{f"t{i}": F.tanh(f"z{i}") for i in range(p)}})
+    sums = [F.avg(f"x{i}").alias(f"x{i}") for i in range(p)] + [F.avg(f"t{i}").alias(f"t{i}") for i in range(p)]
+    for i, j in _pairs():
+        sign = F.when(F.col("length") > 0, F.col(f"z{i}") * F.col(f"z{j}") / (F.col("length") * F.col("length"))).otherwise(0.0)
+        sums += [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"x{i}_{j}"), F.avg(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}_{j}"), F.avg(sign).alias(f"u{i}_{j}")]
+    sums += [F.first(f"{c}{i}").alias(f"{c}{i}") for c in "cs" for i in range(p)]
+    means = scored.groupBy("grp").agg(F.count("*").alias("n"), *sums)
+    around = lambda i, j, spread: F.col(f"c{i}") * F.col(f"c{j}") + spread * F.col(f"s{i}") * F.col(f"s{j}")
+    #: What makes the covariance of tanh of a normal variable 1, and that of spatial signs in p dimensions.
+    of_tanh, of_signs = 1 / 0.3943, p
+    spreads = {
+        0: lambda i, j: around(i, j, F.lit(1.0 if i == j else 0.0)),
+        1: lambda i, j: F.col(f"x{i}_{j}"),
+        2: lambda i, j: around(i, j, of_tanh * (F.col(f"t{i}_{j}") - F.col(f"t{i}") * F.col(f"t{j}"))),
+        3: lambda i, j: around(i, j, of_signs * F.col(f"u{i}_{j}")),
+    }
+    starts = [F.struct(F.lit(k).alias("start"), *[F.col(f"{'x' if k == 1 else 'c'}{i}").alias(f"m_{i}") for i in range(p)], *[of(i, j).alias(f"m_{i}_{j}") for i, j in _pairs()]) for k, of in spreads.items()]
+    return _factored(means.select("grp", "n", F.explode(F.array(*starts)).alias("m")).select("grp", "n", "m.*"), 1.0)
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """grp, n, centre, factor: the minimum covariance determinant estimates of rows (grp, x0..x4)."""
+def _concentrated(vectors: DataFrame, now: DataFrame, beside) -> DataFrame:
+    """Mean and covariance of the nearest SHARE of the rows of each group, by each start's estimate."""
     p = len(STATISTICS)
-    quartiles = vectors.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(p)])
-    spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
-    start = quartiles.select("grp", "n", *[F.col(f"q{i}")[1].alias(f"m_{i}") for i in range(p)], *[(F.col(f"q{i}")[1] * F.col(f"q{j}")[1] + (spread(i) * spread(j) if i == j else F.lit(0.0))).alias(f"m_{i}_{j}") for i in range(p) for j in range(i, p)])
-    now = materialize(_factored(start, 1.0), "mcd")
+    far = vectors.join(beside(now.select("grp", "start", "centre", "factor")), "grp").withColumn("band", F.floor(BANDS * F.log2(_distance() + 1e-9)).cast("int"))
+    sums = [F.sum(f"x{i}").alias(f"m_{i}") for i in range(p)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m_{i}_{j}") for i, j in _pairs()]
+    bands = far.groupBy("grp", "start", "band").agg(F.count("*").alias("n"), *sums)
+    w = Window.partitionBy("grp", "start")  # a row for each band
+    bands = bands.withColumns({"all": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("band").rowsBetween(Window.unboundedPreceding, 0))})
+    wanted = F.ceil(SHARE * F.col("all"))
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wanted - (F.col("upto") - F.col("n"))) / F.col("n")))
+    names = [f"m_{i}" for i in range(p)] + [f"m_{i}_{j}" for i, j in _pairs()]
+    near = bands.withColumn("part", part).groupBy("grp", "start").agg(F.max("all").alias("n"), *[(F.sum(F.col("part") * F.col(c)) / F.sum(F.col("part") * F.col("n"))).alias(c) for c in names])
+    return _factored(near, CONSISTENT)
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """grp, n, centre, factor, size: the minimum covariance determinant estimates of rows (grp, x0..x4)."""
+    now = materialize(_starts(vectors), "mcd")
     beside = _beside(now)
-    for _ in range(STEPS):
-        far = vectors.join(beside(now.select("grp", "centre", "factor")), "grp").withColumn("d2", _distance())
-        limit = materialize(far.groupBy("grp").agg(F.percentile_approx("d2", SHARE, 10_000).alias("limit")), "mcd")
-        near = far.join(beside(limit), "grp").where("d2 <= limit")
-        now = materialize(_factored(_moments(near), CONSISTENT), "mcd")
-    return now
+    first = lambda rows, k: rows.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy("size", "start"))).where(F.col("_r") <= k).drop("_r")
+    for step in range(MOST_STEPS):
+        before, now = now, materialize(_concentrated(vectors, now, beside), "mcd")
+        if step == 1:
+            now = materialize(first(now, 2), "mcd")
+        elif step > 1:
+            fall = now.join(before.select("grp", "start", F.col("size").alias("old")), ["grp", "start"]).agg(F.max(F.col("old") - F.col("size"))).first()[0]
+            if fall is None or 2 * fall < FALL:
+                break
+    return first(now, 1).drop("start")
 
 
 def _beside(groups: DataFrame, most: int = 20_000):
