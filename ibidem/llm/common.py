@@ -21,18 +21,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, a local one on a local master; on a
+    cluster that is an error, since executors can't read each other's folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder; nothing there is ever overwritten."""
-    return f"{shared_dir(spark).rstrip('/')}/ibidem-{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; nothing there is ever overwritten. clear() deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/ibidem-{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this application's operators have written to the shared folder, once their results have been saved; the
+    number of paths deleted. Frames that still read from there can't be used any more."""
+    from pyarrow import fs
+
+    n = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        store, top = file_system(path)
+        if store.get_file_info(top).type == fs.FileType.Directory:
+            store.delete_dir(top)
+            n += 1
+    return n
+
+
+def file_system(path: str):
+    """Arrow's file system for a Hadoop path, and the path within it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        path = f"s3:{rest}"
+    elif colon and scheme == "dbfs":
+        path = f"/dbfs/{rest.lstrip('/')}"
+    elif colon and scheme in ("wasb", "wasbs", "abfs", "abfss"):
+        path = f"abfs{'s' if scheme[-1] == 's' and scheme not in ('wasb', 'abfs') else ''}:{rest}"
+    return fs.FileSystem.from_uri(os.path.abspath(path) if "://" not in path and not path.startswith("file:") else path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -19,7 +19,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, ship
+from .common import file_system, materialize, scratch, ship
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
@@ -64,24 +64,25 @@ class EliasFano:
         return cls(n, bits, low, high, samples), at + n_low + n_high + 4 * n_samples
 
     def select(self, i: int) -> int:
-        """Value i, from the sample before it and the few bytes after that."""
-        import numpy as np
-
+        """Value i, from the sample before it and the few words after that."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         place = int(self.samples[i // SAMPLE])
-        byte, need = place // 8, i % SAMPLE
-        rest = int(self.high[byte]) >> (place % 8) << (place % 8)
+        word, need = place // 64, i % SAMPLE
+        rest = self._word(word) >> (place % 64) << (place % 64)
         while (ones := rest.bit_count()) <= need:
             need -= ones
-            byte += 1
-            rest = int(self.high[byte])
-        bit = int(np.flatnonzero(np.unpackbits(np.array([rest], np.uint8), bitorder="little"))[need])
-        upper = 8 * byte + bit - i
-        lower, a = 0, i * self.low_bits
-        for k in range(self.low_bits):
-            lower |= (int(self.low[(a + k) // 8]) >> ((a + k) % 8) & 1) << k
-        return upper << self.low_bits | lower
+            word += 1
+            rest = self._word(word)
+        for _ in range(need):
+            rest &= rest - 1
+        upper = 64 * word + (rest & -rest).bit_length() - 1 - i
+        first = i * self.low_bits
+        held = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
+        return upper << self.low_bits | held >> first % 8 & (1 << self.low_bits) - 1
+
+    def _word(self, k: int) -> int:
+        return int.from_bytes(self.high[8 * k : 8 * k + 8].tobytes(), "little")
 
     def all(self):
         """Every value."""
@@ -136,20 +137,19 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, ids_a_shard: int = 2_000_000) -> DataFrame:
-    """Encodes documents (doc_id, text) and writes them to files under path; the files' names, documents and ids, in order."""
+    """Encodes documents (doc_id, text) and writes them to files under path, whose names are in their order; a row for each file."""
     ship(docs.sparkSession)
 
     def work(parts):
         import uuid
 
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
         from .tokens import batches, encoder
 
         part_no, tail = TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
-        store, top = fs.FileSystem.from_uri(path)
+        store, top = file_system(path)
         names: list = []
         held: list[bytes] = []
         n = made = 0
@@ -183,34 +183,32 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = materialize(ordered.mapInArrow(work, "file string, part long, shard long, n_docs long, n_ids long"), "shards")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return materialize(ordered.mapInArrow(work, "file string, part long, shard long, n_docs long, n_ids long"), "shards")
 
 
-def read_shards(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files; `files` is what write_shards returned."""
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone: boundaries by select."""
     ship(spark)
 
     def work(parts):
         import zlib
 
-        import numpy as np
         import pyarrow as pa
 
         for part in parts:
             for name, data in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 shard = Shard(data.as_buffer())
-                ends = shard.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array([name] * shard.n_docs, pa.string()), pa.array(shard.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                bounds = [shard.bounds(i) for i in range(shard.n_docs)]
+                crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in bounds]
+                columns = [pa.array([name] * shard.n_docs, pa.string()), pa.array(shard.doc_ids(), pa.int64()), pa.array([a for a, _ in bounds], pa.int64()), pa.array([b - a for a, b in bounds], pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     held = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.eft").load(path)
     held = held.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = held.mapInArrow(work, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(files.select("file", "base"), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = materialize(held.mapInArrow(work, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "documents")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, of which a task wrote a few
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(files, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | None = None) -> DataFrame:
@@ -220,7 +218,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | N
     files = write_shards(docs, path, tokenizer_path, end_id)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_shards(spark, path, files)
+    return read_shards(spark, path)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

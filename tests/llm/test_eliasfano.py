@@ -60,5 +60,16 @@ def test_edges(spark, tmp_path):
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int")
     files = X.write_shards(docs, f"file://{tmp_path}/t", PATH, ids_a_shard=5)
     assert files.count() >= 3
-    assert sorted((tuple(r) for r in X.read_shards(spark, f"file://{tmp_path}/t", files).collect()), key=str) == expected(rows)
+    assert sorted((tuple(r) for r in X.read_shards(spark, f"file://{tmp_path}/t").collect()), key=str) == expected(rows)
     assert X.encoded(docs.limit(0), PATH).count() == 0
+
+
+def test_rows_come_through_select(spark, tables, monkeypatch):
+    """Boundaries of the query are those that select returns, and no writer's report takes part."""
+    files = X.write_shards(spark.read.parquet(f"{tables}/documents.parquet"), f"file://{X.scratch(spark, 'x').removeprefix('file://')}", PATH)
+    assert set(files.columns) == {"file", "part", "shard", "n_docs", "n_ids"}
+    values = np.cumsum(np.random.default_rng(3).integers(0, 5000, 3000))
+    whole = X.EliasFano.read(X.EliasFano.of(values).to_bytes(), 0)[0]
+    assert [whole.select(i) for i in range(3000)] == values.tolist() == whole.all().tolist()
+    dense = X.EliasFano.of(np.repeat([0, 7, 7, 100_000], 700))
+    assert [dense.select(i) for i in range(2800)] == dense.all().tolist()
