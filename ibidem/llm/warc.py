@@ -7,8 +7,9 @@ stream once, in bounded pieces, finds the records by their Content-Length, write
 notes every member's offset and length in a sidecar index. Any record can then be read alone, which is how they are read
 back, and payload digests are verified then.
 
-Which page a revisit refers to is a partial aggregate per digest and a join on the digest; a payload that a third of the
-pages share is one row of the small side, and adaptive execution splits the large one. Archives are rolled at
+Which page a revisit refers to is a partial aggregate per digest and a join on the digest. The payloads that occur twice are
+broadcast while they're at most MOST_SHARED, so that pages aren't shuffled; beyond that they're joined by shuffle, where
+adaptive execution splits a payload that a third of the pages share. Archives are rolled at
 `bytes_a_file`. Files are written under a name of their own attempt and renamed at the end, so repeated tasks do no harm.
 
 Defined results: null html is an empty payload; null page_ids come last in precedence, and if only such share a payload
@@ -23,9 +24,10 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, ship
+from .common import file_system, materialize, scratch, ship
 
 LEAST_PAYLOAD = 1000
+MOST_SHARED = 500_000  # digests of 40 signs and an id
 CHUNK = 1 << 20
 WHEN = "2024-01-01T00:00:00Z"
 
@@ -113,7 +115,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     known = known.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.encode("html", "UTF-8"))})
     first = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(F.encode(text, "UTF-8")).alias("digest"), F.octet_length(text).alias("n"))
     first = first.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("of")).where("of > 1").select("digest", "first")
-    out = known.join(first, known["payload_digest"] == first["digest"], "left")
+    first = materialize(first, "shared")
+    few = first.limit(MOST_SHARED + 1).count() <= MOST_SHARED
+    out = known.join(F.broadcast(first) if few else first, known["payload_digest"] == first["digest"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}).drop("digest", "first", "of")
 
@@ -126,10 +130,9 @@ def write_archives(pages: DataFrame, path: str, bytes_a_file: int = 128 << 20) -
         import uuid
 
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, top = fs.FileSystem.from_uri(path)
+        store, top = file_system(path)
         store.create_dir(top, recursive=True)
         number, made, out, size = TaskContext.get().partitionId(), 0, None, 0
 
@@ -170,9 +173,8 @@ def read_archives(spark: SparkSession, path: str, archives: DataFrame, records_a
 
     def entries(parts):
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, top = fs.FileSystem.from_uri(path)
+        store, top = file_system(path)
         for part in parts:
             for archive, index in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(f"{top}/{index}") as f:
@@ -185,9 +187,8 @@ def read_archives(spark: SparkSession, path: str, archives: DataFrame, records_a
         import hashlib
 
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, top = fs.FileSystem.from_uri(path)
+        store, top = file_system(path)
         number = lambda x: int(m) if (m := x.removeprefix("<urn:page:").removesuffix(">")) else None
         for part in parts:
             for archive, start, sizes in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
