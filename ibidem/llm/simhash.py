@@ -153,7 +153,7 @@ def links(points: DataFrame, threshold: int = 2, most: int = 256) -> DataFrame:
                 rows, anchor = anchors_within(own.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(own[rows])], ["anchor", "fp"])
 
-    placed = points.select("fp").mapInArrow(deal, "anchor long, fp long")
+    placed = materialize(points.select("fp").mapInArrow(deal, "anchor long, fp long"), "anchors")
     sizes = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     placed = placed.join(sizes, "anchor")
     quiet = placed.where(F.col("n") <= most).select("anchor", "fp")
@@ -181,7 +181,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contraction: in each round every node links its greater neighbours, then its lesser ones, to its least
     neighbour. Rounds grow with the logarithm of a component's size, and each ends in a table in the shared folder.
     """
-    spark = edges.sparkSession
     state = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
@@ -199,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = (now["n"], now["h"])
     roots = state.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     tops = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return materialize(roots.unionByName(tops).groupBy("node").agg(F.min("root").alias("root")), "roots") if spark else roots
+    return materialize(roots.unionByName(tops).groupBy("node").agg(F.min("root").alias("root")), "roots")
 
 
 def _rooted(marked: DataFrame, threshold: int, most: int) -> DataFrame:
