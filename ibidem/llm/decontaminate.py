@@ -11,8 +11,9 @@ equal from either end to every place within, though another scores more, and all
 five of the item's tokens are equal (exactly four in five for items whose share isn't beyond LEAST). What is reported is
 the stretch that decided.
 
-The benchmark's hashes are broadcast while they're at most `most_seeds` rows; a larger benchmark is joined by shuffle on
-the hash. Documents aren't shuffled in the first case: only hits with the tokens around them leave the scan.
+The benchmark's hashes are broadcast while they're at most `most_seeds` rows; then documents aren't shuffled: only hits with
+the tokens around them leave the scan. Hashes of a larger benchmark are joined by shuffle with those of the documents' places,
+which carry no tokens; the diagonals that were hit, each once, then fetch the tokens of their documents by 128 bits of hashes.
 
 Defined results: null or empty text has no overlap, and an item of fewer tokens than the shortest mask none either; null
 doc_ids are reported as such; repeated rows give one row per doc_id and item, with the best overlap; an empty table on
@@ -98,11 +99,17 @@ def _overlaps(docs: DataFrame, ids: list[str], benchmark: DataFrame, least: int,
     seeds = _seeded(items, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at"), F.col("size").alias("item_tokens")).distinct()
     few = seeds.limit(most_seeds + 1).count() <= most_seeds
     texts = docs.select(*ids, token_hashes(F.col("text")).alias("tokens"))
-    hits = _seeded(texts, ids).join(F.broadcast(seeds) if few else seeds, "seed")
-    diagonal = F.col("at") - F.col("item_at")
-    first = F.greatest(diagonal, F.lit(0))
-    around = F.slice("tokens", first + 1, F.least(F.col("size"), diagonal + F.col("item_tokens")) - first)
-    hits = hits.select(*ids, "item_id", diagonal.alias("diagonal"), "item_tokens", around.alias("around"))
+    diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
+    if few:
+        hits = _seeded(texts, ids).join(F.broadcast(seeds), "seed").select(*ids, "tokens", "size", "item_id", diagonal, "item_tokens")
+    else:
+        keys = ["_key_x", "_key_y"]
+        keyed = texts.withColumns({"_key_x": F.xxhash64("tokens"), "_key_y": F.xxhash64(F.lit(1), "tokens")})
+        met = _seeded(keyed, keys).select(*keys, "at", "seed").join(seeds, "seed").select(*keys, "item_id", diagonal, "item_tokens").distinct()
+        hits = keyed.withColumn("size", F.size("tokens")).join(met, keys).select(*ids, "tokens", "size", "item_id", "diagonal", "item_tokens")
+    first = F.greatest(F.col("diagonal"), F.lit(0))
+    around = F.slice("tokens", first + 1, F.least(F.col("size"), F.col("diagonal") + F.col("item_tokens")) - first)
+    hits = hits.select(*ids, "item_id", "diagonal", "item_tokens", around.alias("around"))
     # A repeated doc_id may have other tokens on the same diagonal, so the tokens belong to the key.
     hits = hits.groupBy(*ids, "item_id", "diagonal", "item_tokens", F.hash("around").alias("_h"), F.xxhash64("around").alias("_x")).agg(F.first("around").alias("around"))
     compared = hits.join(items.select("item_id", F.col("tokens").alias("item")).distinct(), "item_id").where(F.size("item") == F.col("item_tokens"))
