@@ -12,6 +12,19 @@ def context(rows: DataFrame, group: str, order: list, text: str = "text", before
     return rows.withColumn("context", F.array_join(F.filter(F.collect_list(F.col(text)).over(frame), lambda t: t != ""), "\n"))
 
 
+def wanted_context(rows: DataFrame, wanted: DataFrame, group: str, number: str, text: str = "text", before: int = 1, after: int = 2) -> DataFrame:
+    """W1 for few rows: group, number and `context`, `previous`, `next` of the wanted rows (group, number) of densely numbered
+    ones. Only these and their neighbours are shuffled, and the rows are read past once; wanted keys are joined as Spark plans."""
+    around = F.explode(F.sequence(F.col(number) - before, F.col(number) + after))
+    keys = wanted.select(group, number).distinct()
+    near = rows.select(group, number, F.col(text).alias("_t"), *[c for c in ("page", "column") if c in rows.columns])
+    near = near.join(keys.select(group, around.alias(number)).distinct(), [group, number], "left_semi")
+    w = Window.partitionBy(group).orderBy(number)
+    at = lambda d: F.max("_t").over(w.rangeBetween(d, d))
+    joined = F.array_join(F.filter(F.collect_list("_t").over(w.rangeBetween(-before, after)), lambda t: t != ""), "\n")
+    return near.withColumns({"context": joined, "previous": at(-1), "next": at(1)}).drop("_t").join(keys, [group, number], "left_semi")
+
+
 def nearest(rows: DataFrame, group: str, order: list, value: str = "text") -> DataFrame:
     """W2, JN18: adds `previous` and `next`, the values of the nearest rows in order, whatever the gap."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ibidem.functions.evidence import tokens
 
+from .shared import small, written
+
 K1, B = 1.2, 0.75
+#: Rows of a side that is broadcast: terms of queries, hashes of quotations, queries of a block.
+MOST_TERMS, MOST_HASHES, BLOCK = 1_000_000, 2_000, 500
 
 
 def top_k(rows: DataFrame, group: list[str] | str, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -25,19 +30,22 @@ def postings(docs: DataFrame, key: list[str], text: Column, least: int = 1) -> D
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str], query: Column, text: Column, least: int = 1) -> DataFrame:
     """RT1: query_key, key, score of every document that shares a term with a query; any term counts.
 
-    Only postings of terms that a query has leave the scan of the documents, combined by document, so one shuffle carries what
-    queries can meet, not the corpus. Where the queries' vocabulary is small, Spark broadcasts it. Frequencies and scores both
-    need these postings, so they're kept; parts that are lost are computed again.
+    One pass cuts the documents into terms. What leaves it are the documents' lengths and the postings of terms that a query
+    has, combined by document and written once, since statistics, frequencies and scores all come from them. The queries'
+    terms are broadcast while they're at most MOST_TERMS, and else joined by shuffle.
     """
     wanted = queries.select(query_key, F.explode(tokens(query, least)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    sized = docs.select(*key, tokens(text, least).alias("_t")).select(*key, F.size("_t").alias("dl"), "_t")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    held = sized.select(*key, "dl", F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
-    held = held.persist(StorageLevel.MEMORY_AND_DISK)
-    frequency = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    terms = wanted.select("term").distinct().withColumn("is_wanted", F.lit(True))
+    cut = docs.select(*key, tokens(text, least).alias("_t"))
+    spread = cut.select(*key, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))  # "" stands for the document
+    met = spread.join(F.broadcast(terms) if small(terms, MOST_TERMS) else terms, "term", "left").where("is_wanted or term = ''")
+    held = written(met.groupBy(*key, "term").agg(F.max("dl").alias("dl"), F.count("*").alias("tf")))
+    stats = held.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    found = held.where("term <> ''")
+    frequency = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     weights = frequency.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return wanted.join(weights, "term").join(held, "term").groupBy(query_key, *key).agg(F.sum(part).alias("score"))
+    return wanted.join(weights, "term").join(found, "term").groupBy(query_key, *key).agg(F.sum(part).alias("score"))
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str], query: Column, text: Column, k: int, least: int = 1) -> DataFrame:
@@ -46,6 +54,23 @@ def bm25_top(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str]
     return top_k(scored, query_key, [F.col("score").desc(), *key], k)
 
 
+def two_field_top(claims: DataFrame, chunks: DataFrame, translations: DataFrame, query_key: str, key: list[str], query: str, k: int, attributed: str = "attributed_to", bonus: float = 0.5) -> DataFrame:
+    """RT2, RT3: query_key, key, score, rank of the k best chunks (key, text, and author if there is one) by the better of two
+    fields, the text and its translations (key, text), each boosted by the query's language; an identical author adds a bonus."""
+    from ibidem.functions.language import query_language
+
+    one = bm25(claims, chunks, query_key, key, F.col(query), F.col("text")).withColumnRenamed("score", "_text")
+    joined = translations.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))  # a few languages
+    other = bm25(claims, joined, query_key, key, F.col(query), F.col("text")).withColumnRenamed("score", "_translation")
+    both = one.join(other, [query_key, *key], "full").join(claims.select(query_key, field_boosts(query_language(F.col(query))).alias("_boosts"), F.col(attributed).alias("_named")), query_key)
+    if "author" in chunks.columns:
+        both = both.join(chunks.select(*key, "author"), key, "left").withColumn("_same", F.coalesce(F.col("author") == F.col("_named"), F.lit(False)))
+    else:
+        both = both.withColumn("_same", F.lit(False))
+    scored = both.select(query_key, *key, F.round(best_field(F.col("_boosts"), F.col("_text"), F.col("_translation"), F.col("_same"), bonus), 6).alias("score"))
+    return top_k(scored, query_key, [F.col("score").desc(), *key], k)
+
+
 def field_boosts(language: Column) -> Column:
     """RT2: struct(text, translation): boosts by the query's languages, modern ones before classical."""
     codes = F.split(F.coalesce(language, F.lit("unknown")), r"\+")
@@ -73,39 +98,58 @@ def similarity(a: Column, b: Column, metric: str = "l2sq") -> Column:
     return F.greatest(F.lit(0.0), 1 - gap)
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, query_key: str, key: str, vector: str, k: int, metric: str = "l2sq", block: int = 500) -> DataFrame:
-    """TK2: query_key, key, score, rank of the k most similar vectors of each query, exact.
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, query_key: str, key: list[str] | str, vector: str, k: int, metric: str = "l2sq", block: int = BLOCK) -> DataFrame:
+    """TK2: query_key, key, score, rank of the k most similar vectors of each query, exact. Of several vectors of one key (in
+    several collections) the most similar counts.
 
-    A stated set of queries meets all vectors in blocks: each block of queries is one row that is joined with a vector, so
-    the vectors are read once a block and never shuffled; what leaves is limited to k a query and task by the window.
+    A stated set of queries meets all vectors in blocks of at most about `block` queries, each one row that is broadcast: a
+    vector is compared with every query, so the work is their product, but vectors aren't shuffled, and what leaves a block is
+    limited to k a query and task.
     """
+    keys = [key] if isinstance(key, str) else key
     own = queries.select(query_key, F.col(vector).alias("_q"))
-    total = own.count()
-    blocks = own.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(max(1, -(-total // block)))))
-    gathered = blocks.groupBy("_b").agg(F.collect_list(F.struct(query_key, "_q")).alias("_qs"))
-    met = vectors.select(key, F.col(vector).alias("_v")).join(F.broadcast(gathered)).select(key, "_v", F.explode("_qs").alias("_e"))
-    scored = met.select(F.col(f"_e.{query_key}").alias(query_key), key, F.round(similarity(F.col("_e._q"), F.col("_v"), metric), 6).alias("score"))
-    return top_k(scored, query_key, [F.col("score").desc(), key], k)
+    n_blocks = max(1, -(-own.count() // block))
+    placed = own.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(n_blocks)))
+    order = [F.col("score").desc(), *keys]
+    parts = []
+    for number in range(n_blocks):
+        row = placed.where(F.col("_b") == number).agg(F.collect_list(F.struct(query_key, "_q")).alias("_qs"))
+        met = vectors.select(*keys, F.col(vector).alias("_v")).join(F.broadcast(row)).select(*keys, "_v", F.explode("_qs").alias("_e"))
+        scored = met.select(F.col(f"_e.{query_key}").alias(query_key), *keys, F.round(similarity(F.col("_e._q"), F.col("_v"), metric), 6).alias("score"))
+        best = top_k(scored, [query_key, *keys], [F.col("score").desc()], 1).drop("rank") if len(keys) > 1 else scored
+        parts.append(top_k(best, query_key, order, k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def containing(quotes: DataFrame, docs: DataFrame, quote_key: str, key: list[str], quote: str, text: str, grams: int = 4) -> DataFrame:
     """SC24 at scale: quote_key and key of every document whose text contains a quotation, both in a form made beforehand.
 
     A quotation's first whole words, after its first (which may be cut), must follow one another in the text; the hashes of
-    such runs are joined, and only where they meet are the strings compared. Quotations too short for a run are compared
-    with every text.
+    such runs are sought in the text's, and only where they meet are the strings compared, in the same pass. While there are at
+    most MOST_HASHES hashes, a text keeps those it has before anything is exploded; more are joined. Quotations too short for
+    a run are a stated set that meets the texts in blocks, each one row that is broadcast.
     """
     run = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
     cut = lambda c: F.filter(F.split(F.col(c), r"[ \n]+"), lambda w: w != "")
     own = quotes.select(quote_key, F.col(quote).alias("_q"), cut(quote).alias("_w")).withColumn("_long", F.size("_w") >= grams + 2)
     keyed = own.where("_long").select(quote_key, "_q", F.xxhash64(F.array_join(F.slice("_w", 2, grams), " ")).alias("_h"))
-    held = docs.select(*key, F.col(text).alias("_t"), cut(text).alias("_w")).where(F.size("_w") >= grams)
-    spread = held.select(*key, F.explode(F.array_distinct(run(F.col("_w"), grams))).alias("_h"))
-    candidates = spread.join(keyed, "_h").select(quote_key, "_q", *key).distinct()
-    long = candidates.join(docs.select(*key, F.col(text).alias("_t")), key).where(F.col("_t").contains(F.col("_q"))).select(quote_key, *key)
+    wanted = keyed.select("_h").distinct()
+    held = docs.select(*key, F.col(text).alias("_t"), cut(text).alias("_w"))
+    hashes = F.array_distinct(F.when(F.size("_w") >= grams, run(F.col("_w"), grams)).otherwise(F.array().cast("array<bigint>")))
+    if small(wanted, MOST_HASHES):
+        row = F.broadcast(wanted.agg(F.collect_list("_h").alias("_hs")))
+        spread = held.join(row).select(*key, "_t", F.explode(F.array_intersect(hashes, F.col("_hs"))).alias("_h"))
+    else:
+        spread = held.select(*key, "_t", F.explode(hashes).alias("_h"))
+    long = spread.join(keyed, "_h").where(F.col("_t").contains(F.col("_q"))).select(quote_key, *key)
     short = own.where(~F.col("_long") & (F.length("_q") > 0)).select(quote_key, "_q")
-    few = short.join(docs.select(*key, F.col(text).alias("_t")), F.col("_t").contains(F.col("_q"))).select(quote_key, *key)
-    return long.unionByName(few)
+    n_blocks = -(-short.count() // BLOCK)
+    parts = [long]
+    for number in range(n_blocks):
+        block = short.where(F.pmod(F.xxhash64(quote_key), F.lit(n_blocks)) == number).agg(F.collect_list(F.struct(quote_key, "_q")).alias("_qs"))
+        met = docs.select(*key, F.col(text).alias("_t")).join(F.broadcast(block))
+        parts.append(met.select(*key, F.explode(F.filter("_qs", lambda q: F.col("_t").contains(q["_q"]))).alias("_e")).select(f"_e.{quote_key}", *key))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fused(text_hits: DataFrame, semantic_hits: DataFrame, keys: list[str], clip: bool = True) -> DataFrame:
