@@ -38,7 +38,7 @@ DOCUMENT_TYPES = {"CONC": "concilio", "MAG": "outro", "CIC": "catecismo", "CDC":
 def code_of(label: Column) -> Column:
     """SC40: the ISO code of a label; of several joined by / + , ; | or ' e ', the codes joined by +, each once."""
     plain = F.lower(F.trim(label))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(plain, r"\s+e\s+", "/"), r"[/+,;|]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(plain, r"\s+e\s+", "/"), r"[/+,;|]"), lambda p: F.trim(p)), lambda p: p != "")
     codes = F.array_distinct(F.transform(parts, lambda p: F.coalesce(lookup(LABELS, p), p)))
     return F.when(F.size(parts) > 1, F.array_join(codes, "+")).otherwise(F.coalesce(lookup(LABELS, plain), plain))
 
@@ -128,3 +128,13 @@ def url_language(url: Column) -> Column:
 def swap_language(url: Column, language: str) -> Column:
     """SC62: the URL with another language in its path; null where it has none."""
     return F.when(url_language(url).isNotNull(), F.regexp_replace(url, r"^([a-z]+://[^/?#]*(?:/[^/?#]*?)*?)/[a-z]{2}/", rf"$1/{language}/"))
+
+
+#: SC69d: names shown for codes.
+NAMES = {"la": "Latin", "grc": "Greek", "pt": "Portuguese", "es": "Spanish", "en": "English", "fr": "French", "it": "Italian", "de": "German", "he": "Hebrew", "syc": "Syriac", "ar": "Arabic", "cop": "Coptic", "gez": "Ethiopic"}
+
+
+def shown(label: Column) -> Column:
+    """SC69d: the names of a label's languages, each once, joined by ' / '; a code without a name in capitals."""
+    names = F.transform(codes_of(label), lambda c: F.coalesce(lookup(NAMES, c), F.upper(c)))
+    return F.array_join(F.array_distinct(F.filter(names, lambda n: n != "")), " / ")

@@ -95,8 +95,9 @@ ROUTES = {"ingest": ("ingest", "import", "upload", "ocr"), "verify": ("verify",
 
 
 def route(task: Column) -> Column:
-    """SC68: the first task whose keyword occurs as a whole word."""
-    return F.coalesce(first_rule(F.lower(task), {k: rf"\b({'|'.join(v)})" + r"\b" for k, v in ROUTES.items()}), F.lit("verify"))
+    """SC68: the first task of which a keyword occurs, within words too."""
+    plain = F.lower(task)
+    return F.coalesce(*[F.when(plain.contains(word), name) for name, words in ROUTES.items() for word in words], F.lit("verify"))
 
 
 def paragraph_kind(text: Column) -> Column:
@@ -200,3 +201,19 @@ def fuzzy_kind(names: DataFrame, kinds: DataFrame, name: str = "name") -> DataFr
     return names.join(best, name, "left")
 
 
+#: SC54: words and spellings that tell Brazilian Portuguese.
+BRAZILIAN = ("você", "vocês", "equipe", "ônibus", "trem", "fato", "contato", "registro", "gênero", "acadêmico", "econômico", "esporte")
+
+
+def is_brazilian(text: Column, markers=BRAZILIAN, least: int = 3) -> Column:
+    """SC54: at least so many of the markers occur as words."""
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " "))
+    return F.coalesce(F.size(F.array_intersect(words, F.array(*[F.lit(m) for m in markers]))) >= least, F.lit(False))
+
+
+def parsed_record(text: Column) -> Column:
+    """SC55: struct(year, volume, kind, pope, publisher, translator, brazilian) read from the text of a title page."""
+    return F.struct(
+        first_year(text).alias("year"), volume(text).alias("volume"), document_kind(text).alias("kind"), pope(text).alias("pope"),
+        publisher(text).alias("publisher"), translator(text).alias("translator"), is_brazilian(text).alias("brazilian"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,6 +118,17 @@ def fix_mojibake(text: Column) -> Column:
     return text
 
 
+def composed_udf():
+    """SC13: Unicode composition (NFC), for which Spark has no function of its own; over Arrow batches."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def composed(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return composed
+
+
 def safe_file(name: Column, limit: int = 120) -> Column:
     """SC14: an ASCII file name of at most limit signs; the extension stays."""
     ascii_name = F.regexp_replace(F.regexp_replace(strip_accents(name), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+", "")

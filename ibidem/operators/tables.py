@@ -106,3 +106,108 @@ def languages_rollup(files: DataFrame, key: str, language: str = "language") ->
     """AG19: the one language of a book's files, 'multi' for several, null for none."""
     codes = files.groupBy(key).agg(F.sort_array(F.collect_set(language)).alias("languages"))
     return codes.withColumn("language", F.when(F.size("languages") > 1, "multi").otherwise(F.get("languages", F.lit(0))))
+
+
+def prefix_without(text: Column, prefix: str, infix: str) -> Column:
+    """FLT6: begins with one string and doesn't hold another, whatever its case."""
+    return text.startswith(prefix) & ~F.lower(text).contains(infix.lower())
+
+
+def not_suffixed(path: Column, suffixes: list[str]) -> Column:
+    """FLT8: ends with none of some suffixes."""
+    return ~F.exists(F.array(*[F.lit(x) for x in suffixes]), lambda s: F.endswith(path, s))
+
+
+def blocked(text: Column, terms: list[str]) -> Column:
+    """FLT10: holds any of some terms, whatever their case."""
+    return F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(text), t))
+
+
+def selected(files: DataFrame, path: str, size: str, include: str | None = None, exclude: str | None = None, most: int | None = None, after: str | None = None, limit: int | None = None) -> DataFrame:
+    """FLT9: files by patterns and size, from the one after a path on, in order of paths; limit only where one is given."""
+    if include:
+        files = files.where(F.col(path).rlike(include))
+    if exclude:
+        files = files.where(~F.col(path).rlike(exclude))
+    if most is not None:
+        files = files.where(F.col(size) <= most)
+    if after is not None:
+        files = files.where(F.col(path) > after)
+    return files.orderBy(path).limit(limit) if limit is not None else files
+
+
+def unfinished(rows: DataFrame, status: str, done: str = "done", only: str | None = None, name: str | None = None, search: str | None = None) -> DataFrame:
+    """FLT15: rows whose status isn't done, or is the one asked for, and whose name holds a search. A null status is never so."""
+    rows = rows.where(F.col(status) == only) if only else rows.where(F.col(status) != done)
+    return rows.where(F.lower(name).contains(search.lower())) if name and search else rows
+
+
+def remote(path: Column, schemes=("s3://", "r2://", "gdrive://")) -> Column:
+    """FLT17: a path of a remote store."""
+    return F.exists(F.array(*[F.lit(x) for x in schemes]), lambda s: F.startswith(path, s))
+
+
+def missing_ids(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """JN10: the keys of rows that an index doesn't hold."""
+    return rows.select(key).distinct().join(index.select(key), key, "left_anti")
+
+
+def tagged(chunks: DataFrame, pages: DataFrame, on: list[str], column: str) -> DataFrame:
+    """JN16: gives chunks the value of their page where it has one, and tells by `changed` where that is another than theirs."""
+    own = pages.groupBy(*on).agg(F.max(column).alias("_new"))
+    met = chunks.join(own, on, "left").withColumn("changed", F.col("_new").isNotNull() & ~F.col(column).eqNullSafe(F.col("_new")))
+    return met.withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """JN24: the rows whose composite key is among some keys."""
+    return rows.join(keys.select(*on).distinct(), on, "left_semi")
+
+
+def translation_audit(chunks: DataFrame, translations: DataFrame, indexed: DataFrame, key: str, language: str) -> DataFrame:
+    """AG17: per book its chunks, translations into a language, entries of the index, and what lacks."""
+    count = lambda t, n: t.groupBy(key).agg(F.count("*").alias(n))
+    full = count(chunks, "n_chunks").join(count(translations.where(F.col("language") == language), "n_translated"), key, "left").join(count(indexed, "n_indexed"), key, "left")
+    full = full.select(key, "n_chunks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_translated", "n_indexed")])
+    return full.withColumn("lacking", F.greatest(F.col("n_chunks") - F.col("n_translated"), F.lit(0)))
+
+
+def best_by(rows: DataFrame, key: list[str], value: str, score: str) -> DataFrame:
+    """AG22, AG23: per key the value of the highest score; the least value on a tie."""
+    return rows.groupBy(*key).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(value)).alias("v"))).alias("_b")).select(*key, (-F.col("_b.v")).alias(value), F.col("_b.s").alias(score))
+
+
+def numbered_groups(rows: DataFrame, key: Column, order: str, name: str = "title") -> DataFrame:
+    """AG24, AG27: groups by a key, numbered in the order of their first row, with their counts; members stay rows, joined by the
+    key, so that no group is gathered in one task."""
+    groups = rows.groupBy(key.alias(name)).agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    return groups.withColumn("place", F.row_number().over(Window.orderBy("first", name)))
+
+
+def active(rows: DataFrame, revoked: str) -> DataFrame:
+    """AG28: how many keys are there, and how many of them aren't revoked."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(revoked).isNull()).alias("active"))
+
+
+def in_volumes(files: DataFrame, volume: str, key: str) -> DataFrame:
+    """TK6: files by volume, those without one last, then by key."""
+    return files.orderBy(F.asc_nulls_last(volume), key)
+
+
+def preview(rows: DataFrame, order: list, most: int = 80) -> DataFrame:
+    """TK11: the first rows of an order."""
+    return rows.orderBy(*order).limit(most)
+
+
+def ids_in_any(key: str, *tables: DataFrame) -> DataFrame:
+    """ST4: the distinct keys of several tables."""
+    out = tables[0].select(key)
+    for other in tables[1:]:
+        out = out.unionByName(other.select(key))
+    return out.distinct()
+
+
+def choices(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """ST5: the distinct values of each column, for menus: column, value. One pass; nulls and empty strings are no choice."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(F.explode(pairs).alias("p")).select("p.*").where("value <> ''").distinct()

@@ -106,3 +106,28 @@ def expected_rows(spark, expected: list[tuple], schema: str, actual: DataFrame,
     """JN22, JN23: every expected row with what there is of it, or a status for what's missing."""
     known = F.broadcast(spark.createDataFrame(expected, schema))
     return known.join(actual, key, "left").withColumn("status", F.coalesce("status", F.lit(missing)))
+
+
+def saint_work(section: Column, kind: Column, author: Column, kinds=("concilio", "catecismo", "direito_canonico")) -> Column:
+    """FLT14: a work by a saint that is neither patristic nor an official document."""
+    named = author.rlike(r"(?i)^\s*(são|santo|santa|beato|beata|saint|st\.)\s")
+    return F.coalesce((section != "patristica") & ~F.coalesce(kind, F.lit("")).isin(*kinds) & named, F.lit(False))
+
+
+def search_groups(rows: DataFrame, group: str, columns: list[str], search: str) -> DataFrame:
+    """FLT18: groups with the number of their rows that hold a search in some columns, folded; groups without any are left out."""
+    return library(rows, search, columns).groupBy(group).agg(F.count("*").alias("n"))
+
+
+def search_documents(chunks: DataFrame, books: DataFrame, translations: DataFrame | None = None) -> DataFrame:
+    """PRJ1, PRJ3: what a text index holds for each chunk (doc_id, chunk, text, and author if it has one of its own): with the
+    book's title (canonical, else raw) and author (the chunk's, else the book's), and the translation into Portuguese."""
+    own = F.col("_own") if "author" in chunks.columns else F.lit(None).cast("string")
+    rows = chunks.withColumnRenamed("author", "_own").join(books.select("doc_id", "title", "canonical_title", "author"), "doc_id", "left")
+    if translations is not None:
+        first = translations.where("language = 'pt'").groupBy("doc_id", "chunk").agg(F.min("text").alias("translation"))
+        rows = rows.join(first, ["doc_id", "chunk"], "left")
+    else:
+        rows = rows.withColumn("translation", F.lit(None).cast("string"))
+    name = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk").cast("string"))
+    return rows.select(name.alias("id"), "doc_id", "chunk", F.coalesce("canonical_title", "title").alias("title"), F.coalesce(own, F.col("author")).alias("author"), "text", "translation")
