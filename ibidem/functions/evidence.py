@@ -6,10 +6,16 @@ from pyspark.sql import functions as F
 
 from .text import alias_form, author_core, clean_ocr, fold, plain_words
 
-#: Small lexicons, to be replaced by a deployment's own.
-MODERN_WORDS = ("algorithm", "blockchain", "deconstruction", "internet", "paradigm", "postmodern", "ressignificar", "website")
-MODERN_PHRASES = ("critical theory", "later interpreters", "living construction", "social media")
-STOP_WORDS = ("para", "isto", "este", "esta", "esse", "essa", "mais", "quando", "como", "também", "with", "that", "this", "from", "quod", "cujus")
+#: SC20. Words and phrases of modern academic prose.
+MODERN_WORDS = (
+    "reinterpretação", "ressignificação", "ressignificar", "ressignifica", "releitura", "desconstrução", "reapropriação", "reapropria", "paradigmático", "paradigmaticamente",
+    "epistemológico", "epistêmico", "contextualização", "contextualizar", "intertextualidade", "narratividade", "performatividade", "reinterpreta", "ressignificam", "posteriores", "releituras",
+)
+MODERN_PHRASES = (
+    "intérpretes posteriores", "construção viva", "legado vivo", "participação ativa", "reinterpretação da tradição", "ativamente na construção", "cada comunidade participa", "hermenêutica do", "ao longo da história",
+)
+#: SC22. The words of four or more letters that don't count.
+STOP_WORDS = ("para", "isto", "este", "esta", "esse", "essa", "seus", "suas", "todo", "toda", "todos", "todas", "também", "mais", "quando", "como", "isso", "eles", "elas", "nela", "nele", "dele", "dela", "quod")
 
 #: Thresholds of the verdict.
 ANCHOR_LEAST, COMBINED_LEAST = 0.18, 0.55
@@ -33,6 +39,7 @@ PUBLIC = {
     "PARAFRASE_PLAUSIVEL": ("inconclusivo", "baixo"),
     "NAO_ENCONTRADA": ("não sustentado", "crítico"),
 }
+#: What a doubt lowers an outcome and its level to.
 LOWER = {"confirmado": "provável", "provável": "inconclusivo", "inconclusivo": "não sustentado", "não sustentado": "não sustentado"}
 LOWER_LEVEL = {"confirmado": "médio", "provável": "baixo", "inconclusivo": "crítico", "não sustentado": "crítico"}
 EXPLANATIONS = {

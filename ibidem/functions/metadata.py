@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lexicon import POPES
 from .text import fold, letters_only, roman, title_from_file
 
 
@@ -40,14 +41,14 @@ def document_kind(text: Column) -> Column:
     return F.coalesce(first_rule(F.lower(text), DOCUMENT_KINDS), F.lit("other"))
 
 
-#: SC61: forms of a name of a pope, folded, by the name that stands for them.
-POPES = {"leo xiii": "Leo XIII", "leao xiii": "Leo XIII", "pius x": "Pius X", "pio x": "Pius X", "john xxiii": "John XXIII", "joao xxiii": "John XXIII", "paul vi": "Paul VI", "paulo vi": "Paul VI"}
-
-
 def pope(text: Column) -> Column:
-    """The pope named first among POPES in a text; longer forms go before shorter ones."""
+    """SC61: a pope's name with its numeral, whatever the form of the name; of several the first in the lexicon's order."""
     plain = letters_only(text)
-    return F.coalesce(*[F.when(plain.rlike(rf"\b{form}\b"), name) for form, name in sorted(POPES.items(), key=lambda x: -len(x[0]))])
+    found = []
+    for name, forms in POPES.items():
+        numeral = F.regexp_extract(plain, rf"\b(?:{'|'.join(forms)}) ([ivx]+)\b", 1)
+        found.append(F.when(numeral != "", F.concat(F.lit(name + " "), F.upper(numeral))))
+    return F.coalesce(*found)
 
 
 def translator(text: Column) -> Column:
@@ -91,13 +92,17 @@ def prayer_kind(text: Column) -> Column:
     return F.coalesce(first_rule(fold(text), PRAYERS), F.lit("other"))
 
 
-ROUTES = {"ingest": ("ingest", "import", "upload", "ocr"), "verify": ("verify", "quotation", "citation", "attributed"), "catalog": ("author", "library", "list"), "report": ("report", "usage")}
+#: SC68. Keywords by which a request's task is told, within words too.
+ROUTES = {
+    "ingest": ("pdf", "upload", "upar", "ingest", "ingerir", "importar", "patrologia", "pg", "pl", "concilio", "concílio", "ecumenico", "ecuménico"),
+    "verify": ("cita", "atribu", "disse", "escreveu"),
+}
 
 
 def route(task: Column) -> Column:
     """SC68: the first task of which a keyword occurs, within words too."""
     plain = F.lower(task)
-    return F.coalesce(*[F.when(plain.contains(word), name) for name, words in ROUTES.items() for word in words], F.lit("verify"))
+    return F.coalesce(*[F.when(plain.contains(word), name) for name, words in ROUTES.items() for word in words], F.lit("general"))
 
 
 def paragraph_kind(text: Column) -> Column:

@@ -41,7 +41,7 @@ def fold(text: Column) -> Column:
 
 def clean_ocr(text: Column) -> Column:
     """SC2: digits glued before a capital go, curly and angle quotes become plain, white space collapses."""
-    bare = F.regexp_replace(text, r"(?U)\b\d+(?=[A-ZÁÉÍÓÚÀÂÊÔÃÕÇÄËÏÖÜ])", "")
+    bare = F.regexp_replace(text, r"(?U)\b\d+(?=\p{Lu})", "")
     return collapse(F.translate(bare, "“”‘’«»", "\"\"''\"\""))
 
 
@@ -51,7 +51,7 @@ def alias_form(text: Column) -> Column:
 
 
 def author_core(text: Column) -> Column:
-    """SC4: a name without honorifics and particles."""
+    """SC4: a name without honorifics and particles, which are fixed values."""
     bare = F.regexp_replace(alias_form(F.coalesce(text, F.lit(""))), r"\b(santo|santa|sao|beato|beata|papa|padre)\b", " ")
     return collapse(F.regexp_replace(bare, r"\b(de|da|do|dos|das|e)\b", " "))
 

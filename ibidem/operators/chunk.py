@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE, STEP = 500, 400
-#: A column marker: [503] or col. 503.
+#: Fixed value: the format of a column marker, [503] or col. 503.
 MARKER = r"(?i)\[(\d{3,4})\]|col\.\s*(\d{3,4})"
 
 

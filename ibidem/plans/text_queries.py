@@ -45,7 +45,7 @@ def _docs(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents"))
 
 
-@query("text_forms", f"""SELECT doc_id, trim(regexp_replace(translate(regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]+([A-ZÁÉÍÓÚÀÂÊÔÃÕÇÄËÏÖÜ])', '\\1\\2', 'g'), '“”‘’«»', '""''''""'), '\\s+', ' ', 'g')) AS ocr,
+@query("text_forms", f"""SELECT doc_id, trim(regexp_replace(translate(regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]+(\\p{{Lu}})', '\\1\\2', 'g'), '“”‘’«»', '""''''""'), '\\s+', ' ', 'g')) AS ocr,
   trim({PLAIN.format('text')}) AS alias, {COLLAPSED.format("regexp_replace(" + PLAIN.format('text') + ", '[^\\p{L}\\p{N}_\\s]', ' ', 'g')")} AS plain FROM documents""")
 def _(spark, sf_dir):
     """SC2, SC3, SC5."""
@@ -143,7 +143,7 @@ ASCII = "regexp_replace(lower(text), '[^ -~]', 'x', 'g')"
 
 
 @query("text_rules", f"""SELECT doc_id, {first_of("lower(text)", M.DOCUMENT_KINDS, "'other'")} AS kind, {first_of("lower(text)", M.PUBLISHERS)} AS publisher, {first_of("strip_accents(lower(text))", M.PRAYERS, "'other'")} AS prayer,
-  CASE {' '.join(f"WHEN contains(lower(text), '{w}') THEN '{k}'" for k, ws in M.ROUTES.items() for w in ws)} ELSE 'verify' END AS task, nullif(regexp_extract({ASCII}, '\\b(?:vol(?:ume)?|tom(?:e|o)?|t)[. ]*0*([0-9]{{1,3}})\\b', 1), '')::INT AS volume,
+  CASE {' '.join(f"WHEN contains(lower(text), '{w}') THEN '{k}'" for k, ws in M.ROUTES.items() for w in ws)} ELSE 'general' END AS task, nullif(regexp_extract({ASCII}, '\\b(?:vol(?:ume)?|tom(?:e|o)?|t)[. ]*0*([0-9]{{1,3}})\\b', 1), '')::INT AS volume,
   coalesce(len(list_intersect(list_distinct(string_split(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ')), {list(M.BRAZILIAN)!r})) >= 3, false) AS brazilian FROM documents""")
 def _(spark, sf_dir):
     """SC54, SC57, SC58, SC66, SC68."""

@@ -57,8 +57,8 @@ def test_fold(spark, text):
     (M.paragraph_kind, "CANON FIRST", "heading"),
     (M.noise_paragraph, "Home > News > Today", True),
     (M.prayer_kind, "Ave Maria", "marian"),
-    (M.route, "import this file", "ingest"),
-    (M.route, "important quotation", "verify"),
+    (M.route, "importar este arquivo", "ingest"), (M.route, "Quem disse isto?", "verify"), (M.route, "hello", "general"), (M.pope, "Carta de João Paulo II", "John Paul II"), (M.pope, "Paulus VI", "Paul VI"),
+    (M.route, "Implante", "ingest"),  # a short key within a word
 ])
 def test_cases(spark, f, text, expected):
     assert one(spark, text, f) == expected

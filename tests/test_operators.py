@@ -94,7 +94,7 @@ def test_verify_round_trip(spark):
     held = chunks(docs)
     starts = [(i * 10 + r.chunk, r.text[:300].rsplit(" ", 1)[0], who) for i, who in enumerate(("Santo Agostinho", "Jerônimo")) for r in held.where("doc_id = 1").collect()]
     across = (99, " ".join(f"word{i}" for i in range(480, 520)), "Agostinho")
-    fake = (98, "an entirely postmodern blockchain paradigm of word5 word6", "Agostinho")
+    fake = (98, "uma releitura que pretende ressignificar word5 word6", "Agostinho")
     claims = spark.createDataFrame([*starts, across, fake, (97, "zzz qqq", "")], "claim_id long, quote string, attributed_to string")
     found = {r.claim_id: r.code for r in verify(claims, held, docs.select("doc_id", "author")).collect()}
     assert {found[k] for k, _, who in starts if who == "Santo Agostinho"} == {"CONFIRMADA_EXATA"}

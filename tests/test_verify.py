@@ -35,7 +35,7 @@ CLAIMS = [
     (3, PASSAGE.replace("Quem", "12Quem"), "Santo Anselmo de Lisboa", "CONFIRMADA_EXATA"),  # digits of a scan
     (4, PASSAGE, "Mary Harbour", "ATRIBUICAO_DUVIDOSA"),
     (5, OTHER, "Mary Harbour", "CONFIRMADA_EXATA"),
-    (6, OTHER.replace("lamps", "website"), "Mary Harbour", "NAO_ENCONTRADA"),  # a modern word
+    (6, OTHER.replace("lamps", "desconstrução"), "Mary Harbour", "NAO_ENCONTRADA"),  # a modern word
     (7, "Nothing of this was ever written anywhere", "Mary Harbour", "NAO_ENCONTRADA"),
     (8, OTHER.replace("slowly", "gently"), "Mary Harbour", "PARAFRASE_PLAUSIVEL"),
     (9, "heavy winter fog", "", "ATRIBUICAO_DUVIDOSA"),
@@ -147,3 +147,13 @@ def test_similarity_is_that_of_the_best_candidate(spark, tables):
             if best >= 0.9:
                 break
         assert r.s == (1.0 if r.q in r.t else best)
+
+
+def test_known_authors(spark):
+    from ibidem.functions import lexicon, metadata
+
+    texts = spark.createDataFrame([(1, "As Confissões de Santo Agostinho"), (2, "Contra as heresias"), (3, "De Trinitate, por Hilário de Poitiers; e Santo Agostinho"), (4, "nobody")], "id long, text string")
+    known = lexicon.known_authors(spark)
+    assert known.select("author").distinct().count() == len(lexicon.AUTHORS) and known.where("weight = 2").count() >= len(lexicon.AUTHORS)
+    found = {r.id: (r.author, r.score) for r in metadata.best_author(metadata.lexicon_scores(texts, known)).collect()}
+    assert found == {1: ("Augustine", 3), 2: (None, 1), 3: ("Augustine", 3)}
