@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ibidem.operators.shared import lexicon as bounded
+
 from .lexicon import POPES
 from .text import fold, letters_only, roman, title_from_file
 
@@ -150,9 +152,9 @@ def centre(text: Column, length: int = 400, cap: int = 800) -> Column:
 
 def lexicon_scores(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """SC48, SC52: for each text and author of a lexicon (author, ordinal, pattern, weight), the sum of the weights of its
-    patterns that occur. Patterns are tried as regular expressions on the folded text; the lexicon is small and broadcast."""
+    patterns that occur. Patterns are tried as regular expressions on the folded text; the lexicon is broadcast, its size checked."""
     folded = texts.select(key, fold(F.col(text)).alias("_text"))
-    met = folded.join(F.broadcast(lexicon), F.expr("_text rlike pattern"))
+    met = folded.join(bounded(lexicon), F.expr("_text rlike pattern"))
     return met.groupBy(key, "author").agg(F.sum("weight").alias("score"), F.min("ordinal").alias("ordinal"))
 
 
@@ -167,13 +169,13 @@ def best_author(scores: DataFrame, key: str = "id", least: int = 2, ties: str =
 
 def first_title(texts: DataFrame, titles: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """SC49, SC50: the title of the first pattern (title, ordinal, pattern) that occurs."""
-    met = texts.select(key, fold(F.col(text)).alias("_text")).join(F.broadcast(titles), F.expr("_text rlike pattern"))
+    met = texts.select(key, fold(F.col(text)).alias("_text")).join(bounded(titles), F.expr("_text rlike pattern"))
     return met.groupBy(key).agg(F.min_by("title", "ordinal").alias("title"))
 
 
 def collected_volumes(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text", least: int = 3) -> DataFrame:
     """SC53: labels of which at least so many patterns occur."""
-    met = texts.select(key, fold(F.col(text)).alias("_text")).join(F.broadcast(lexicon), F.expr("_text rlike pattern"))
+    met = texts.select(key, fold(F.col(text)).alias("_text")).join(bounded(lexicon), F.expr("_text rlike pattern"))
     return met.groupBy(key, F.col("author").alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -192,13 +194,13 @@ def alias_of(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFr
     """SC51: adds the canonical name of a folded alias (alias, canonical), else the name itself."""
     from .text import alias_form
 
-    table = F.broadcast(aliases.select(alias_form(F.col("alias")).alias("_alias"), "canonical").dropDuplicates(["_alias"]))
+    table = aliases.groupBy(alias_form(F.col("alias")).alias("_alias")).agg(F.min("canonical").alias("canonical"))
     return names.join(table, alias_form(F.col(name)) == F.col("_alias"), "left").withColumn("canonical", F.coalesce("canonical", name)).drop("_alias")
 
 
 def fuzzy_kind(names: DataFrame, kinds: DataFrame, name: str = "name") -> DataFrame:
     """SC69b, JN14: the kind (kind, ordinal) equal to a name, else the first in order of which one lies in the other."""
-    table = F.broadcast(kinds.select(F.lower("kind").alias("_kind"), F.col("kind"), "ordinal"))
+    table = bounded(kinds.select(F.lower("kind").alias("_kind"), F.col("kind"), "ordinal"))
     plain = F.lower(F.trim(F.col(name)))
     met = names.select(name).distinct().join(table, plain.contains(F.col("_kind")) | F.col("_kind").contains(plain))
     order = Window.partitionBy(name).orderBy((plain == F.col("_kind")).desc(), "ordinal")

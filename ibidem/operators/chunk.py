@@ -26,13 +26,18 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return cut.select(key, F.explode(windows(F.col("_w"), size, step)).alias("_c")).select(key, "_c.chunk", "_c.text")
 
 
-def word_starts(text: Column) -> Column:
-    """Where each word begins, in signs from 0: the lengths of words and of the gaps between them, added up."""
+def word_steps(text: Column) -> Column:
+    """struct(gap, word) of the lengths of each word of a text and of the gap before it, in signs."""
     gaps = F.split(text, r"(?U)\S+")
     tokens = words(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(tokens)).alias("gap"), tokens.alias("word"))
-    return F.aggregate(pairs, start, lambda a, x: F.struct((a["at"] + F.length(x["gap"]) + F.length(x["word"])).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(x["gap"]))).alias("out")))["out"]
+    return F.transform(pairs, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["word"]).alias("word")))
+
+
+def word_start(steps: Column, number: Column) -> Column:
+    """Where a word begins, in signs from 0: what lies before it, added up. Meant for one word in some hundred."""
+    before = F.aggregate(F.slice(steps, F.lit(1), number), F.lit(0), lambda a, x: a + x["gap"] + x["word"])
+    return before + F.get(steps, number)["gap"]
 
 
 def markers(text: Column) -> Column:
@@ -55,12 +60,12 @@ def paged_chunks(books: DataFrame, key: str = "book_id", pages: str = "pages", s
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,page:int>>").alias("out"))
     offsets = F.aggregate(pages, start, lambda a, p: F.struct((a["at"] + F.length(p["text"]) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), p["page_number"].cast("int").alias("page")))).alias("out")))["out"]
     whole = F.concat(F.array_join(F.transform(pages, lambda p: p["text"]), "\n"), F.lit("\n"))
-    wide = books.select(key, whole.alias("_t"), offsets.alias("_p")).select(key, "_p", words(F.col("_t")).alias("_w"), word_starts(F.col("_t")).alias("_s"), markers(F.col("_t")).alias("_m"))
+    wide = books.select(key, whole.alias("_t"), offsets.alias("_p")).select(key, "_p", words(F.col("_t")).alias("_w"), word_steps(F.col("_t")).alias("_s"), markers(F.col("_t")).alias("_m"))
     cut = wide.select("*", F.explode(windows(F.col("_w"), size, step)).alias("_c"))
     first = F.col("_c.chunk") * step
     last = F.least(first + size, F.size("_w")) - 1
-    begin = F.get("_s", first)
-    return cut.select(key, "_c.chunk", "_c.text", as_of(F.col("_p"), begin, "page", 1).alias("page"), begin.alias("begin"), (F.get("_s", last) + F.length(F.get("_w", last))).alias("end"), as_of(F.col("_m"), begin, "column", 0).alias("column"))
+    begin = word_start(F.col("_s"), first)
+    return cut.select(key, "_c.chunk", "_c.text", as_of(F.col("_p"), begin, "page", 1).alias("page"), begin.alias("begin"), (word_start(F.col("_s"), last) + F.length(F.get("_w", last))).alias("end"), as_of(F.col("_m"), begin, "column", 0).alias("column"))
 
 
 def character_windows(text: Column, length: Column) -> Column:

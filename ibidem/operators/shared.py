@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +31,10 @@ def written(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows, by counting no more than one beyond."""
     return df.limit(most + 1).count() <= most
+
+
+def lexicon(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """A table of patterns or names that is compared with every text, to be broadcast; more rows than that are an error."""
+    if not small(df, most):
+        raise ValueError(f"a lexicon of more than {most} rows can't be compared with every text")
+    return F.broadcast(df)

@@ -39,17 +39,18 @@ def backfill(rows: DataFrame, column: str, *sources: Column) -> DataFrame:
 
 def corrected(rows: DataFrame, fixes: DataFrame, key: str, column: str) -> DataFrame:
     """SNK17: a table of corrections (key, column) put over the old values."""
-    table = F.broadcast(fixes.select(key, F.col(column).alias("_fix")))
+    table = fixes.select(key, F.col(column).alias("_fix"))
     return rows.join(table, key, "left").withColumn(column, F.coalesce("_fix", column)).drop("_fix")
 
 
 def path_outcomes(files: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
     """SNK15: adds `found`, the listed path of the same base name, and outcome: ok, fixed or missing."""
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    known = listing.groupBy(name("path").alias("_name")).agg(F.min("path").alias("found"), F.collect_set("path").alias("_all"))
-    met = files.join(known, name(path) == F.col("_name"), "left")
-    outcome = F.when(F.array_contains("_all", F.col(path)), "ok").when(F.col("found").isNotNull(), "fixed").otherwise("missing")
-    return met.withColumn("outcome", outcome).drop("_name", "_all")
+    there = listing.select(F.col("path").alias("_path")).distinct().withColumn("_there", F.lit(True))
+    known = listing.groupBy(name("path").alias("_name")).agg(F.min("path").alias("found"))
+    met = files.join(there, F.col(path) == F.col("_path"), "left").join(known, name(path) == F.col("_name"), "left")
+    outcome = F.when(F.col("_there"), "ok").when(F.col("found").isNotNull(), "fixed").otherwise("missing")
+    return met.withColumn("outcome", outcome).drop("_name", "_path", "_there")
 
 
 def reconciled(rows: DataFrame, text_index: DataFrame, vector_index: DataFrame, key: str, semantic: bool = True) -> DataFrame:
