@@ -116,3 +116,23 @@ def test_clean_by_row(spark):
     rows = [(None, f"x {item} y"), (None, "a clean text"), (None, None), (1, item), (1, "another clean text"), (2, "a clean text")]
     kept = D.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "a clean text"), (1, "another clean text"), (2, "a clean text")]
+
+
+def test_recall_of_thirteen_to_fifteen_equal_tokens(spark):
+    """Of stretches whose best part has 13 to 15 equal tokens, by brute force, how many the seeds find; and none beside them
+    but those that the whole item or a stretch that is four in five equal from both ends decides."""
+    rng, items, docs = random.Random(5), [], []
+    for k in range(400):
+        n = 13 + k % 6
+        words_ = [f"w{k}x{i}" for i in range(n + 24)]  # the item goes on, so the stretch alone decides
+        held = words_[12 : 12 + n]
+        for at in rng.sample(range(1, n - 1), k // 6 % 3):
+            held[at] = "other"
+        items.append((k, " ".join(words_)))
+        docs.append((k, " ".join([*(f"a{k}x{i}" for i in range(20)), *held, *(f"b{k}x{i}" for i in range(20))])))
+    found = {(r.doc_id, r.item_id) for r in D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(d == i for d, i in found)
+    reached = {k: best(words(docs[k][1]), words(items[k][1])) for k in range(400)}
+    near = [k for k, n in reached.items() if 13 <= n <= 15]
+    assert len(near) > 100 and sum((k, k) in found for k in near) == len(near)  # measured: all of them
+    assert all((k, k) in found for k, n in reached.items() if n > 15)
