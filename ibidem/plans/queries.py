@@ -157,6 +157,23 @@ def _(spark, sf_dir):
     return found.select("claim_id", "code", "exact", "author_match", "combined", "anchor")
 
 
+@query("verify_reference", LEXICAL.split("\nSELECT item_id AS claim_id")[0] + """,
+held AS (SELECT item_id, count(*) FILTER (exact AND NOT am) AS conflicts FROM s2 GROUP BY 1),
+near AS (SELECT doc_id, chunk, lag(text) OVER v AS previous, lead(text) OVER v AS next FROM c WINDOW v AS (PARTITION BY doc_id ORDER BY chunk)),
+told AS (SELECT e.*, previous, next, am AND conflicts > 0 AS doubt, CASE WHEN exact AND am THEN 'CONFIRMADA_EXATA' WHEN exact THEN 'ATRIBUICAO_DUVIDOSA' ELSE 'NAO_ENCONTRADA' END AS code FROM e JOIN held USING (item_id) JOIN near USING (doc_id, chunk))
+SELECT item_id AS claim_id, CASE code WHEN 'CONFIRMADA_EXATA' THEN 'Confirmada (exata)' WHEN 'ATRIBUICAO_DUVIDOSA' THEN 'Atribuição duvidosa' ELSE 'Não encontrada' END AS label, CASE code WHEN 'CONFIRMADA_EXATA' THEN 'Alta' WHEN 'ATRIBUICAO_DUVIDOSA' THEN 'Baixa' ELSE 'Nenhuma' END AS confidence,
+  CASE code WHEN 'CONFIRMADA_EXATA' THEN CASE WHEN doubt THEN 'provável' ELSE 'confirmado' END WHEN 'ATRIBUICAO_DUVIDOSA' THEN 'inconclusivo' ELSE 'não sustentado' END AS public,
+  CASE code WHEN 'CONFIRMADA_EXATA' THEN CASE WHEN doubt THEN 'baixo' ELSE 'alto' END WHEN 'ATRIBUICAO_DUVIDOSA' THEN 'baixo' ELSE 'crítico' END AS level,
+  CASE WHEN exact THEN doc_id END AS doc_id, CASE WHEN exact THEN chunk END AS chunk, CASE WHEN exact THEN previous END AS previous, CASE WHEN exact THEN next END AS next,
+  CASE WHEN NOT exact THEN NULL WHEN previous IS NULL AND next IS NULL THEN 'unknown' WHEN regexp_matches(lower(concat_ws(' ', previous, next)), 'não|nunca|falso|not|never|heresy') THEN 'high' ELSE 'low' END AS risk FROM told""")
+def _(spark, sf_dir):
+    """PRJ2, SC30, SC37: what the verdict of verify_lexical shows, with the reference's place and neighbours."""
+    docs = table(spark, sf_dir, "documents")
+    found = verify(_claims(spark, sf_dir), chunks(spread(docs.select("doc_id", "text"))), docs.select("doc_id", F.col("source").alias("author")), similarity=False)
+    own = F.col("reference")
+    return found.select("claim_id", "label", "confidence", "public", "level", *[own[c].alias(c) for c in ("doc_id", "chunk", "previous", "next", "risk")])
+
+
 @query("lexical_anchor_top", f"""WITH {BM25},
 e AS (SELECT t.item_id, t.doc_id, t.chunk, rank, list_filter(list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_]{{4,}}')), lambda z: NOT list_contains({STOP}, z)) AS qt,
   list_distinct(regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS ct FROM t JOIN benchmark b USING (item_id) JOIN c USING (doc_id, chunk) WHERE rank <= 3)
@@ -403,11 +420,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
 
 
-@query("html_paragraphs")
-def _(spark, sf_dir):
-    return H.paragraphs(table(spark, sf_dir, "pages"), "page_id")
-
-
 LATIN_SQL = "[" + ", ".join(f"'{w}'" for w in L.LATIN) + "]"
 
 

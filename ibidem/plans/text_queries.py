@@ -305,6 +305,16 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.block_texts(F.col("html"))).alias("position", "text"))
 
 
+ANY_BLOCK = "|".join((*H.MORE_BLOCKS, "div"))
+
+
+@query("html_paragraphs", f"""WITH s AS (SELECT page_id, list_transform(string_split(regexp_replace({NO_CHROME}, '(?i)</?(?:{ANY_BLOCK})(?:\s[^>]*)?>|<br\s*/?>', chr(1), 'g'), chr(1)), lambda x: {COLLAPSED.format(DECODED("regexp_replace(x, '<[^>]+>', '', 'g')"))}) AS t FROM pages),
+f AS (SELECT page_id, list_filter(t, lambda x: x <> '') AS t FROM s) SELECT page_id, (unnest(generate_series(1, len(t))) - 1)::INT AS position, unnest(t) AS text FROM f""")
+def _(spark, sf_dir):
+    """SRC9."""
+    return H.paragraphs(table(spark, sf_dir, "pages"), "page_id")
+
+
 @query("headed_links", f"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>|<a\\s[^>]*href="[^"]+"[^>]*>.*?</a>') AS t FROM pages), u AS (SELECT page_id, unnest(t) AS x, unnest(generate_series(1, len(t))) AS i FROM t),
 w AS (SELECT page_id, i, x, last_value(CASE WHEN regexp_matches(x, '(?i)^<h') THEN {{0}} END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS heading FROM u)
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS position, heading, regexp_extract(x, '(?i)href="([^"]+)"', 1) AS href, {{0}} AS label FROM w WHERE NOT regexp_matches(x, '(?i)^<h')""".format(COLLAPSED.format(DECODED("regexp_replace(x, '<[^>]+>', ' ', 'g')"))))
