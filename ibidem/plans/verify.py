@@ -51,8 +51,10 @@ def verify(claims: DataFrame, chunks: DataFrame, books: DataFrame, translations:
     string similarity is computed for that one only. Conflicts are candidates of other authors that hold the quotation too.
     """
     hits = retrieved(claims, chunks, k, translations, **vectors)
+    tasks = claims.sparkSession.sparkContext.defaultParallelism
     near = wanted_context(chunks, hits, "doc_id", "chunk").join(books.select("doc_id", "author"), "doc_id", "left")
-    rows = hits.join(near, KEY).join(claims, "claim_id")
+    # Few rows with much work each: adaptive execution would put them in one task.
+    rows = hits.join(near, KEY).join(claims, "claim_id").repartition(tasks, "claim_id")
     rows = rows.withColumns({"exact": E.exact_match(F.col("quote"), F.col("context")), "author_match": E.same_author(F.col("attributed_to"), F.col("author"))})
     named = F.coalesce(F.col("attributed_to"), F.lit("")) != ""
     combined = E.penalized(E.combine(F.col("text_score"), F.col("semantic_score"), F.col("author_match")), named, F.col("author_match"), F.col("exact"))
@@ -79,6 +81,7 @@ def verify(claims: DataFrame, chunks: DataFrame, books: DataFrame, translations:
         "conflicts": F.when(F.coalesce("author_match", F.lit(False)), F.coalesce("conflicts", F.lit(0))).otherwise(0),
     })
     if similarity:
+        found = found.repartition(tasks, "claim_id")
         measured = E.similarity_udf()(fold(clean_ocr(F.col("quote"))), fold(F.col("context")))
         found = found.withColumn("similarity", F.coalesce(measured, F.lit(0.0)))
     else:
