@@ -36,16 +36,17 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str], qu
     """
     wanted = queries.select(query_key, F.explode(tokens(query, least)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     terms = wanted.select("term").distinct().withColumn("is_wanted", F.lit(True))
-    cut = docs.select(*key, tokens(text, least).alias("_t"))
-    spread = cut.select(*key, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))  # "" stands for the document
-    met = spread.join(F.broadcast(terms) if small(terms, MOST_TERMS) else terms, "term", "left").where("is_wanted or term = ''")
+    cut = docs.select(*key, tokens(text, least).alias("_t")).select(*key, F.size("_t").alias("dl"), F.concat(F.array(F.lit("")), "_t").alias("_t"))
+    spread = cut.select(*key, "dl", F.explode("_t").alias("term"))  # "" stands for the document
+    beside = F.broadcast if small(wanted, MOST_TERMS) else lambda frame: frame
+    met = spread.join(beside(terms), "term", "left").where("is_wanted or term = ''")
     held = written(met.groupBy(*key, "term").agg(F.max("dl").alias("dl"), F.count("*").alias("tf")))
     stats = held.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     found = held.where("term <> ''")
     frequency = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     weights = frequency.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return wanted.join(weights, "term").join(found, "term").groupBy(query_key, *key).agg(F.sum(part).alias("score"))
+    return found.join(beside(wanted.join(weights, "term")), "term").groupBy(query_key, *key).agg(F.sum(part).alias("score"))
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str], query: Column, text: Column, k: int, least: int = 1) -> DataFrame:
