@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, eliasfano, extract, packing, quality, simhash, suffixtree, toxicity, urlfilter, warc
+from . import crossalign, decontaminate, eliasfano, extract, infill, mixing, packing, quality, simhash, suffixtree, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_text_density": extract.op8,
         "op9_suffix_tree_lm": suffixtree.op9,
         "op10_simhash_near_dedup": simhash.op10,
+        "op11_source_mixing": mixing.op11,
+        "op12_cross_tokenizer_alignment": crossalign.op12,
+        "op13_fill_in_middle": infill.op13,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_rules": urlfilter.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL}
+    return {"op3_url_rules": urlfilter.OP3_SQL, "op6_warc_normaliser": warc.OP6_SQL, "op11_source_mixing": mixing.OP11_SQL, "op13_fill_in_middle": infill.OP13_SQL}
