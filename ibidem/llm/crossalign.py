@@ -7,14 +7,16 @@ tokenizers and aligned once in the whole corpus:
 
 * documents are gathered to blocks of about `block_bytes` of text; a block is one row: its distinct segments, and its
   documents as numbers of these. Texts are read once and not shuffled;
-* the segments of all blocks are made distinct, encoded and aligned, and written;
-* alignments are joined back to the segments of the blocks, and blocks composed: ids, groups and links of each document.
+* the segments of all blocks are dealt out and sorted, so equal ones follow one another in one task, which encodes and aligns
+  a segment where it first comes and gives the alignment to every block that has it;
+* blocks and their alignments meet and documents are composed: ids, groups and links of each.
 
-A segment is in a block at most once, so even the commonest is one row a block. Counts of id pairs are added up within each
-batch before they are shuffled. They are looked up by broadcast while pairs are few, else by a join.
+A segment is in a block at most once, so even the commonest is one row a block, and no task holds more than a row of them.
+Id pairs are counted within a block before they are shuffled; the counts are looked up by broadcast while pairs are few, and
+else joined to the pairs of the blocks.
 
 Groups are what lies between byte offsets where tokens of both end; the links of a group are all pairs of its tokens, held
-as distinct id pairs with their number, so a long run of one sign takes no more room than its kinds of token.
+as distinct id pairs with their number, so a long group takes no more room than its kinds of token.
 
 Defined results: null or empty text has no tokens, as has a text that the tokens of one side don't spell out (U+2581 in it);
 null doc_id is kept, repeated rows are documents of their own; an empty table gives an empty result; other columns of the
@@ -23,6 +25,8 @@ input are ignored.
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +37,13 @@ BROADCAST_PAIRS = 4_000_000
 SPACES = "\t\n\v\f\r "
 #: What some library takes for white space: no segment begins right after one of these.
 BLANK = frozenset(map(ord, SPACES)) | {0x85, 0xA0, 0x1680, 0x180E, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF} | set(range(0x1C, 0x20)) | set(range(0x2000, 0x200C))
-BLOCKS = "block string, doc_ids array<long>, ends array<long>, codes array<int>, segments array<string>"
-ALIGNED = "segment string, n_a int, n_b int, n_groups int, groups string, pairs array<long>, times array<long>"
-COMPOSED = "row string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs array<long>, times array<long>"
+BLOCKS = "block long, doc_ids array<long>, ends array<long>, codes binary, segments array<string>"
+COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, groups array<string>, pairs array<long>, borders array<long>, codes binary, times binary"
+WEIGHED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
+#: What ends each side of a group in an alignment; an id beyond it needs 32 bits.
+END = 0xFFFF
+#: Links of one group that are written out one by one; larger groups are counted by kinds of token first.
+LISTED = 4096
 
 
 class Tokenizers:
@@ -56,6 +64,8 @@ class Tokenizers:
         cut = json.loads(self.a.to_str())
         step = cut["pre_tokenizer"] or {}
         regular = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and cut["normalizer"] is None
+        if max(*self.bytes_a, len(self.bytes_b)) > END:
+            raise ValueError("an id takes more than 16 bits")
         self.safe = "".join(c for c in SPACES if not self._merged(c)) if regular else ""
 
     def _merged(self, space: str) -> bool:
@@ -75,13 +85,12 @@ class Tokenizers:
         b = self.b.encode([s.removeprefix(" ") for s in segments], num_threads=1)
         return [(x, (y or [self.blank]) if s.startswith(" ") else y[1:]) for s, x, y in zip(segments, a, b, strict=True)]
 
-    def align(self, segment: str, a: list[int], b: list[int]) -> tuple | None:
-        """n_a, n_b, n_groups, the groups as text, distinct id pairs as a << 32 | b and how often each is linked; None where
-        the ids don't spell the segment."""
+    def align(self, segment: str, a: list[int], b: list[int]) -> bytes | None:
+        """The groups: ids of A, END, ids of B, END, and so on, 16 bits each; None where the ids don't spell the segment."""
         spelled = segment.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != spelled or b"".join(map(self.bytes_b.__getitem__, b)) != spelled:
             return None
-        groups, links, i, j = [], {}, 0, 0
+        out, i, j = array("H"), 0, 0
         while i < len(a):
             first_a, first_b, end_a, end_b = i, j, len(self.bytes_a[a[i]]), len(self.bytes_b[b[j]])
             i, j = i + 1, j + 1
@@ -92,19 +101,11 @@ class Tokenizers:
                 else:
                     end_b += len(self.bytes_b[b[j]])
                     j += 1
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            own_b = _counts(b[first_b:j])
-            for x, n in _counts(a[first_a:i]).items():
-                for y, m in own_b.items():
-                    links[x << 32 | y] = links.get(x << 32 | y, 0) + n * m
-        return len(a), len(b), len(groups), ";".join(groups), list(links), list(links.values())
-
-
-def _counts(ids: list[int]) -> dict[int, int]:
-    found: dict[int, int] = {}
-    for x in ids:
-        found[x] = found.get(x, 0) + 1
-    return found
+            out.extend(a[first_a:i])
+            out.append(END)
+            out.extend(b[first_b:j])
+            out.append(END)
+        return out.tobytes()
 
 
 def _byte_signs() -> dict[str, int]:
@@ -178,36 +179,61 @@ def _blank_before(view, at):
     return np.isin(last(2), kinds[2]) | np.isin(last(3), kinds[3])
 
 
+def packed(numbers):
+    """Numbers of 32 bits as bytes, compressed: small ones are frequent, so their bytes go by place."""
+    import numpy as np
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes):
+    import numpy as np
+    import pyarrow as pa
+
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _list(values, kind):
+    """An Arrow array of one list."""
+    import pyarrow as pa
+
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+
+
 def blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents by blocks, written: distinct segments of a block, the numbers of its documents' segments, where each document ends."""
     ship(docs.sparkSession)
 
     def work(parts):
-        import uuid
-
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        from .tokens import batches
 
         held: list = []
-        size = 0
+        size, name = 0, TaskContext.get().partitionId() << 32
 
         def block():
-            names, texts = pa.concat_arrays([n for n, _ in held]), pa.concat_arrays([t for _, t in held])
+            names, texts = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+            held.clear()
             segments, counts = split(texts, tokenizers(path_a, path_b).safe)
             coded = segments.dictionary_encode()
-            columns = [pa.array([uuid.uuid4().hex])]
-            for values, kind in ((names, pa.int64()), (pa.array(np.cumsum(counts)), pa.int64()), (coded.indices, pa.int32()), (coded.dictionary.cast(pa.string()), pa.string())):
-                columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind)))
-            held.clear()
+            columns = [pa.array([name]), _list(names, pa.int64()), _list(np.cumsum(counts), pa.int64()), pa.array([packed(coded.indices.to_numpy())], pa.binary()), _list(coded.dictionary, pa.string())]
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "ends", "codes", "segments"])
 
         for part in parts:
-            for a, b in _runs(part.column(1), block_bytes // 4):
+            for a, b in batches(part.column(1), block_bytes // 4):
                 few = part.slice(a, b - a)
                 more = few.column(1).nbytes
                 if held and size + more > block_bytes:
                     yield block()
-                    size = 0
+                    size, name = 0, name + 1
                 held.append((few.column(0), few.column(1)))
                 size += more
         if held:
@@ -217,98 +243,145 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_B
     return materialize(named.mapInArrow(work, BLOCKS), "blocks")
 
 
-def _runs(texts, most_bytes: int):
-    from .tokens import batches
-
-    return batches(texts, most_bytes)
-
-
 def aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Each distinct segment, encoded and aligned once; nulls where its ids don't spell it."""
+    """of, code, aligned for rows (of, code, segment): every distinct segment is encoded and aligned once."""
 
     def work(parts):
         import pyarrow as pa
 
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = [f.split()[0] for f in ALIGNED.split(", ")]
-        both = tokenizers(path_a, path_b)
+        from .tokens import batches
+
+        both, last, result = tokenizers(path_a, path_b), None, None
         for part in parts:
-            for a, b in _runs(part.column(0), 1_000_000):
-                few = part.column(0).slice(a, b - a).to_pylist()
-                rows = [(s, *(both.align(s, *ids) or (None,) * 6)) for s, ids in zip(few, both.encode(few), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for a, b in batches(part.column(2), 1_000_000):
+                few = part.slice(a, b - a)
+                names = few.column(2).to_pylist()
+                new = [s for s, before in zip(names, [last, *names], strict=False) if s != before]
+                found, out = zip(new, both.encode(new), strict=True), []
+                for s in names:
+                    if s != last:
+                        last, ids = next(found)
+                        result = both.align(s, *ids)
+                    out.append(result)
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(out, pa.binary())], ["of", "code", "aligned"])
+
+    return segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(work, "of long, code int, aligned binary")
+
 
-    return materialize(segments.distinct().mapInArrow(work, ALIGNED), "aligned")
+class Alignments:
+    """The alignments of a block's segments: numbers of ids and groups, groups as text, and links as distinct id pairs."""
+
+    def __init__(self, payloads):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        payloads = pc.fill_null(payloads.cast(pa.large_binary()), b"")
+        _, offsets, data = payloads.buffers()
+        edges = np.frombuffer(offsets, np.int64)[payloads.offset : payloads.offset + len(payloads) + 1] // 2
+        flat = np.frombuffer(data, np.uint16)[edges[0] : edges[-1]].astype(np.int64) if data else np.zeros(0, np.int64)
+        n = len(payloads)
+        ends = np.flatnonzero(flat == END)
+        starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)[: len(ends)]
+        sizes = ends - starts
+        first, last = (np.searchsorted(ends, e - edges[0]) // 2 for e in (edges[:-1], edges[1:]))  # groups of each segment
+        of = np.repeat(np.arange(n), last - first)
+        self.n_groups = last - first
+        self.n_a, self.n_b = (np.bincount(of, sizes[k::2], minlength=n).astype(np.int64) for k in (0, 1))
+        digits = pa.array(map(str, range(END)), pa.large_string())
+        sides = [self._joined(digits.take(pa.array(flat[_spread(starts[k::2], sizes[k::2])])), sizes[k::2], ",") for k in (0, 1)]
+        self.groups = self._joined(pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), self.n_groups, ";")
+        pairs, times, owners = [], [], []
+        listed = sizes[0::2] * sizes[1::2] <= LISTED
+        rows = np.flatnonzero(listed)
+        n_links = sizes[0::2][rows] * sizes[1::2][rows]
+        at = _spread(np.zeros(len(rows), np.int64), n_links)
+        group = np.repeat(rows, n_links)
+        x, y = flat[starts[0::2][group] + at // sizes[1::2][group]], flat[starts[1::2][group] + at % sizes[1::2][group]]
+        pairs.append(x << 32 | y)
+        times.append(np.ones(len(at), np.int64))
+        owners.append(of[group])
+        for g in np.flatnonzero(~listed):
+            (x, n_x), (y, n_y) = (np.unique(flat[starts[k] : ends[k]], return_counts=True) for k in (2 * g, 2 * g + 1))
+            pairs.append((x[:, None] << 32 | y[None]).ravel())
+            times.append((n_x[:, None] * n_y[None]).ravel())
+            owners.append(np.full(len(pairs[-1]), of[g]))
+        # Links of a segment follow one another, as distinct pairs of the block by number.
+        self.pairs, own = np.unique(np.concatenate(pairs), return_inverse=True)
+        self.owner, self.pair, self.times = summed(np.concatenate(owners), own, np.concatenate(times))
+        self.edges = np.searchsorted(self.owner, np.arange(n + 1))
+
+    @staticmethod
+    def _joined(texts, sizes, sign: str):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(edges, texts), pa.scalar(sign, pa.large_string()))
+
+
+def _spread(starts, sizes):
+    """starts[k], starts[k] + 1, ... of each run of so many places."""
+    import numpy as np
+
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)[: len(sizes)], sizes) + np.arange(int(sizes.sum()))
+
+
+def summed(rows, columns, values):
+    """Sums of values of equal (row, column), in order."""
+    import numpy as np
+
+    order = np.lexsort((columns, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])
+    at = np.flatnonzero(new)
+    return rows[at], columns[at], np.add.reduceat(values, at) if len(at) else values
 
 
-def _compose(left, right):
+def _compose(left, right, with_groups: bool):
     """The documents of one block: left is its row, right its segments' alignments."""
     import hashlib
 
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    right = right.sort_by("code")
-    block = left.column("block")[0].as_py()
-    names, ends, codes = (left.column(c).combine_chunks().values for c in ("doc_ids", "ends", "codes"))
-    ends, codes = ends.to_numpy(), codes.to_numpy()
-    starts = np.concatenate([[0], ends[:-1]])
-    bad = pc.is_null(right.column("n_a")).to_numpy()
-    doc = np.repeat(np.arange(len(ends)), ends - starts)
-    spelled = np.bincount(doc[bad[codes]], minlength=len(ends)) == 0
-    keep = spelled[doc]
+    own = Alignments(right.sort_by("code").column("aligned").combine_chunks())
+    names, ends = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "ends"))
+    codes, n = unpacked(left.column("codes")[0].as_py()), len(ends)
+    doc = np.repeat(np.arange(n), np.diff(ends.to_numpy(), prepend=0))
+    bad = own.n_groups == 0
+    keep = (np.bincount(doc[bad[codes]], minlength=n) == 0)[doc]
     doc, codes = doc[keep], codes[keep]
-    totals = [np.bincount(doc, pc.fill_null(right.column(c), 0).to_numpy()[codes], minlength=len(ends)).astype(np.int64) for c in ("n_a", "n_b", "n_groups")]
-    # Distinct segments of each document, then their pairs, added up for each document and pair.
-    key, times = np.unique(doc * len(bad) + codes, return_counts=True)
-    lists = right.column("pairs").combine_chunks()
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-    flat_pairs = lists.flatten().to_numpy()
-    flat_times = right.column("times").combine_chunks().flatten().to_numpy()
-    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    own = key % len(bad)
-    n = sizes[own]
-    at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
-    of, pair, linked = np.repeat(key // len(bad), n), flat_pairs[at], flat_times[at] * np.repeat(times, n)
-    order = np.lexsort((pair, of))
-    of, pair, linked = of[order], pair[order], linked[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (pair[1:] != pair[:-1])
-    at = np.flatnonzero(new)
-    linked = np.add.reduceat(linked, at) if len(at) else linked
-    of, pair = of[at], pair[at]
-    borders = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(ends)))]).astype(np.int32)
-    n_links = np.bincount(of, linked, minlength=len(ends)).astype(np.int64)
-    texts = right.column("groups").combine_chunks().cast(pa.large_string()).take(pa.array(codes))
-    rows = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ends)))])
-    groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), texts), pa.scalar(";", pa.large_string()))
-    digests = [hashlib.sha256(g.as_buffer()).hexdigest() if len(g.as_buffer()) else "" for g in groups]
-    columns = [pa.array([f"{block}-{k}" for k in range(len(ends))]), names, *map(pa.array, totals), pa.array(n_links), pa.array(digests), groups]
-    columns += [pa.ListArray.from_arrays(pa.array(borders), pa.array(v)) for v in (pair, linked)]
-    return block, columns
+    totals = [np.bincount(doc, x[codes], minlength=n).astype(np.int64) for x in (own.n_a, own.n_b, own.n_groups)]
+    groups = own._joined(own.groups.take(pa.array(codes)), np.bincount(doc, minlength=n), ";")
+    digests = [hashlib.sha256(g.as_buffer()).hexdigest() if k else "" for g, k in zip(groups, totals[2].tolist(), strict=True)]
+    # Distinct segments of each document, then their links, added up for each document and pair.
+    of, code, times = summed(doc, codes, np.ones(len(doc), np.int64))
+    sizes = np.diff(own.edges)[code]
+    at = _spread(own.edges[code], sizes)
+    of, pair, times = summed(np.repeat(of, sizes), own.pair[at], own.times[at] * np.repeat(times, sizes))
+    kinds = [*(pa.int64() for _ in range(4)), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    lists = [*totals, np.bincount(of, times, minlength=n).astype(np.int64), pa.array(digests, pa.string()), groups if with_groups else pa.nulls(n, pa.string()), own.pairs, np.searchsorted(of, np.arange(n + 1))]
+    columns = [left.column("block"), _list(names, pa.int64()), *(_list(x, k) for x, k in zip(lists, kinds, strict=True))]
+    return columns + [pa.array([packed(x)], pa.binary()) for x in (pair, times)]
 
 
 def composed(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:
-    """A row for each document: numbers of tokens, groups and links, the groups' digest, distinct id pairs and how often each is
-    linked; with the groups themselves if wanted."""
+    """A row for each block, written: its documents' numbers of tokens, groups and links, digests of the groups (and the groups, if
+    wanted), the block's distinct id pairs, and by number which each document has linked how often."""
     import pyarrow as pa
 
     held = blocks(docs, path_a, path_b, block_bytes)
     segments = held.select(F.col("block").alias("of"), F.posexplode("segments").alias("code", "segment"))
-    found = aligned(segments.select("segment"), path_a, path_b)
-    joined = segments.join(found, "segment").drop("segment")
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [f.split()[0] for f in COMPOSED.split(", ")]
 
     def compose(left, right):
-        _, columns = _compose(left, right)
-        if not with_groups:
-            columns[7] = pa.nulls(len(columns[0]), pa.string())
-        return pa.Table.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+        return pa.Table.from_arrays(_compose(left, right, with_groups), names)
 
-    rows = held.drop("segments").groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(compose, COMPOSED)
-    return materialize(rows if with_groups else rows.drop("groups"), "composed")
+    found = aligned(segments, path_a, path_b).groupBy("of")
+    return materialize(held.drop("segments").groupBy("block").cogroup(found).applyInArrow(compose, COMPOSED), "composed")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -319,51 +392,65 @@ def pair_counts(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for part in parts:
-            pair, n = np.unique(part.column(0).flatten().to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+            for pairs, codes in zip(part.column(0), part.column(1), strict=True):
+                n = np.bincount(unpacked(codes.as_py()), minlength=len(pairs.values))  # a document has a pair once
+                keep = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.values.to_numpy()[keep]), pa.array(n[keep].astype(np.int64))], ["pair", "n"])
 
-    counted = rows.select("pairs").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = rows.select("pairs", "codes").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counted = materialize(counted.select("pair", "n", F.shiftright("pair", 32).alias("a")), "pairs")
     top = counted.groupBy("a").agg(F.max("n").alias("top"))
     return materialize(counted.join(top, "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best")), "counts")
 
 
+def _weigh(block, n, best):
+    """Rows of a block's documents, from the counts of its pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    columns = {c: block.column(c).combine_chunks().flatten() for c in block.column_names if c not in ("block", "codes", "times")}
+    code, times = (unpacked(block.column(c)[0].as_py()) for c in ("codes", "times"))
+    of = np.repeat(np.arange(len(columns["doc_ids"])), np.diff(columns["borders"].to_numpy()))
+    added = lambda values: pa.array(np.bincount(of, values, minlength=len(columns["doc_ids"])).astype(np.int64))
+    columns |= {"doc_id": columns["doc_ids"], "n_best": added(np.where(best[code], times, 0)), "count_sum": added(times * n[code])}
+    names = [f.split()[0] for f in WEIGHED.split(", ")]
+    return pa.Table.from_arrays([columns[c] for c in names], names)
+
+
 def weighed(rows: DataFrame, counts: DataFrame, most: int = BROADCAST_PAIRS) -> DataFrame:
-    """Adds n_best and count_sum to composed rows, from the counts of all documents' pairs."""
-    others = [c for c in rows.columns if c not in ("pairs", "times")]
+    """A row for each document, with n_best and count_sum, from the counts of all documents' pairs."""
     if counts.count() > most:
-        linked = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-        sums = linked.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-        return rows.select(*others).join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
+        own = rows.select(F.col("block").alias("of"), F.posexplode("pairs").alias("code", "pair"))
+        met = own.join(counts, "pair", "left").select("of", "code", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("best", F.lit(False)).alias("best"))
+
+        def compose(left, right):
+            right = right.sort_by("code")
+            return _weigh(left, right.column("n").to_numpy(), right.column("best").to_numpy())
+
+        return rows.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(compose, WEIGHED)
     table_ = counts.orderBy("pair").toArrow()  # `most` rows of 17 bytes at most
     known = rows.sparkSession.sparkContext.broadcast([table_.column(c).to_numpy() for c in ("pair", "n", "best")])
 
     def work(parts):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         pairs, n, best = known.value
         for part in parts:
-            lists = part.column(part.schema.get_field_index("pairs"))
-            times = part.column(part.schema.get_field_index("times")).flatten().to_numpy()
-            of = pc.list_parent_indices(lists).to_numpy()
-            at = np.searchsorted(pairs, lists.flatten().to_numpy())
-            sums = []
-            for values in (np.where(best[at], times, 0), times * n[at]) if len(at) else (times, times):
-                sums.append(pa.array(np.bincount(of, values, minlength=len(part)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + sums, [*others, "n_best", "count_sum"])
+            for k in range(len(part)):
+                block = pa.Table.from_batches([part.slice(k, 1)])
+                own = block.column("pairs").combine_chunks().flatten().to_numpy()
+                at = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))  # pairs of no document have no count, and no use
+                yield from _weigh(block, n[at] if len(n) else own, best[at] if len(n) else own > 0).to_batches()
 
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others) + ", n_best long, count_sum long"
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(work, WEIGHED)
 
 
 def alignment(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document, and its groups if wanted."""
     rows = composed(docs, path_a, path_b, block_bytes, with_groups)
     out = weighed(rows, pair_counts(rows))
-    shown = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    return out.select(*shown, *(["groups"] if with_groups else []))
+    return out if with_groups else out.drop("groups")
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
