@@ -1,8 +1,8 @@
 """URL rules by hash-prefix lookup.
 
 A rule is a host and the beginning of a path; it fits that host, its subdomains and every path that begins so. Each URL is
-expanded into expressions: every suffix of its host at a dot, times every prefix of its path of a length that some rule
-has (the distinct lengths are few, whatever the number of rules). The first eight hex digits of an expression's SHA-256 are
+expanded into expressions: every suffix of its host at a dot of a number of labels that some rule's host has, times every
+prefix of its path of a length that some rule's path has (such numbers are few, whatever the number of rules). The first eight hex digits of an expression's SHA-256 are
 joined with those of the rules; where they meet, the full digests are compared, and of the rules that truly fit the longest
 (then that with the longer host, then a blocking one) decides.
 
@@ -35,26 +35,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """(host suffix, path prefix) of every pair; lengths are those of the rules' paths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
-    prefixes = F.transform(sizes, lambda n: F.substring(path, F.lit(1), n))
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """(host suffix, path prefix) of every pair; labels are the numbers of labels of the rules' hosts, lengths those of their
+    paths. So a URL has as many expressions as there are such pairs, however long its host."""
+    own = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*[F.when(own >= n, F.substring_index(host, ".", -n)) for n in labels]))
+    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
     return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to rows with a url. rules: action, host, path (which begins with a slash or is empty)."""
     known = rules.where("host is not null and path is not null and action is not null and host <> ''")
-    known = known.select(F.concat("host", "path").alias("rule"), F.length("host").alias("of_host"), F.length("path").alias("of_path"), "action").distinct()
-    lengths = sorted(r[0] for r in known.select("of_path").distinct().collect())  # one for each length of a path, not for each rule
+    known = known.select(F.concat("host", "path").alias("rule"), F.length("host").alias("of_host"), F.length("path").alias("of_path"), F.size(F.split("host", r"\.")).alias("of_labels"), "action").distinct()
+    # One number for each length of a path and of a host, not for each rule.
+    lengths, labels = (sorted(r[0] for r in known.select(c).distinct().collect()) for c in ("of_path", "of_labels"))
     known = known.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     urls = pages.where("host <> ''").select("host", "path").distinct()
     if not lengths:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    spread = urls.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("expression"))
+    spread = urls.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), labels, lengths)).alias("expression"))
     spread = spread.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     met = spread.alias("u").join(known.alias("r"), "short").where("u.digest = r.digest")
     rank = F.struct(F.length("r.rule").alias("n"), F.col("r.of_host").alias("h"), (F.col("r.action") == "block").alias("b"), F.col("r.rule").alias("rule"), F.col("r.action").alias("action"))

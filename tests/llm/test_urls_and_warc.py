@@ -34,6 +34,14 @@ def test_rules(spark):
     assert {r.page_id: r.rule for r in U.judge(pages, both).collect()} == {i: rule_of(u, [*U.RULES, more[0], more[2]])[2] for i, u in enumerate(URLS + URLS[:2])}
 
 
+def test_long_urls(spark):
+    """A host of 100 000 labels and a path of a megabyte have as many expressions as others."""
+    urls = ["http://" + "a." * 100_000 + "example.org/es/x", "http://x.com/de/" + "p/" * 500_000, "http://" + "." * 50_000 + "com/fr/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(list(U.RULES), "action string, host string, path string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge(pages, rules).collect()} == {i: rule_of(u, U.RULES) for i, u in enumerate(urls)}
+
+
 def against_sql(spark, tables, query, sql):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tables}/pages.parquet'")
