@@ -4,7 +4,8 @@ A page becomes a tree of elements. For every node, characters and tags below it,
 composite text density: characters a tag, damped where link characters and link tags prevail relative to the body. A node's
 density sum adds the densities of its children; text that stands directly in a node counts as a child without tags. The
 subtree with the largest sum is the content; the threshold is the least density on the path from the body to it, and within
-it blocks of a lower density that hold hardly anything but short links, a menu, are left out. Headings that stand right
+it, outside article and main elements, blocks of a lower density that hold hardly anything but short links, a menu, are left
+out. Headings that stand right
 before the subtree, or before what encloses it, belong to it.
 
 What the page's markup says is evidence beside that. Scripts, styles, controls, menus, asides, footers, and headers outside
@@ -12,7 +13,8 @@ an article or main element are left out. Forms, and nodes whose role or class na
 notice, reader comments or the like, are marked: their densities don't count elsewhere, and a marked node is left out unless
 the largest density sum below it exceeds that of all that isn't marked; then it is a wrapper, whatever its name (ten times as
 large for comments and consent texts, which may well outweigh an article, and on pages with an article or main element). A
-class name marks if all its parts are such words, or words of place and layout besides; "ad-hoc" and "has-sidebar" don't.
+class name marks if all its parts are such words, or words of place and layout besides; "ad-hoc" and "has-sidebar" don't. An id
+alone marks nothing in an article that has ENOUGH characters outside links.
 Where a page has article or main elements, the largest sum is sought in them, and the element around it is taken whole.
 
 Text comes out a block at a time: character references decoded, white space within a block made one space, blocks in page
@@ -39,7 +41,7 @@ from .common import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CHROME = frozenset("nav footer aside script style noscript template iframe svg math button select option input textarea label menu dialog object embed video audio canvas head title".split())
+CHROME = frozenset("nav footer aside script style noscript template iframe svg button select option input textarea menu dialog embed video audio canvas head title".split())
 ENDS_PARAGRAPH = BLOCK - {"body", "html"}
 OWN_KIND = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
 #: Words of a class or id, or roles, that mark what isn't the article.
@@ -56,24 +58,27 @@ WHOLE = frozenset("html body main".split())
 FORMS = frozenset("form fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 LISTS = frozenset("ul ol menu table div section p".split())
-#: What a node is by its name and attributes: part of the page, marked as aside, or left out at all events.
-PLAIN, MARKED, OTHER, OUT = range(4)
+#: What a node is by its name and attributes: part of the page, marked as aside, marked as other text, left out at all events,
+#: or named in an article by an id alone, which counts only where there is little text.
+PLAIN, MARKED, OTHER, OUT, NAMED = range(5)
+RANK = (PLAIN, NAMED, MARKED, OTHER, OUT)
+#: Characters outside links from which a node with such an id is part of the article.
+ENOUGH = 200
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 PLAIN_ATTRIBUTES = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Quoted values that one tag may have; more are taken for the text of a tag that was never closed.
-MOST_VALUES = 1000
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "kind", "skip", "within", "paragraph", "chars", "tags", "link_chars", "link_tags", "density", "total", "reach")
+    __slots__ = ("name", "parent", "parts", "kind", "skip", "within", "paragraph", "chars", "tags", "link_chars", "link_tags", "density", "total", "reach", "form")
 
     def __init__(self, name: str, parent: Node | None, kind: int):
         self.name, self.parent, self.parts, self.kind, self.skip = name, parent, [], kind, kind == OUT  # parts: strings and nodes, in page order
         self.within = name in ("article", "main") or bool(parent and parent.within)  # in an article or main element
+        self.form = name in FORMS or bool(parent and parent.form)
         #: The paragraph that the next block ends: the one that is open around this node, if no block lies between.
         self.paragraph = self if name == "p" else None if name in BLOCK or not parent else parent.paragraph
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -93,8 +98,9 @@ def _class_kind(value: str) -> int:
     return kind
 
 
-def _kind(name: str, attributes: str, within: bool) -> int:
-    if name in CHROME or (name == "header" and not within):
+def _kind(name: str, attributes: str, parent: Node) -> int:
+    within = parent.within
+    if name in CHROME or (name == "header" and not within) or (name == "label" and parent.form):
         return OUT
     kind = MARKED if name in FORMS else PLAIN
     if not attributes or name in WHOLE:
@@ -103,13 +109,15 @@ def _kind(name: str, attributes: str, within: bool) -> int:
         key, value = key.lower(), next(filter(None, values), "")
         if key in ("class", "id"):
             own = _class_kind(value)
+            if key == "id" and within and own == MARKED:
+                own = NAMED
             if name != "article" or own == OTHER:  # an article is the page's, whatever its class, unless it is a comment
-                kind = max(kind, own)
+                kind = max(kind, own, key=RANK.index)
         elif name == "article":
             continue
         elif key == "role":
             if value.lower() in ASIDE_ROLES:
-                kind = max(kind, MARKED)
+                kind = max(kind, MARKED, key=RANK.index)
         elif key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return OUT
@@ -141,7 +149,7 @@ def tags(page: str):
             continue
         first = m.end() if m else at + 1
         now, met = first, []
-        for _ in range(MOST_VALUES):
+        while True:  # a quote is met once: those of a tag without an end are dead
             now = PLAIN_ATTRIBUTES.match(page, now).end()
             sign = page[now : now + 1]
             if sign in ("", ">") or now in dead:
@@ -200,7 +208,7 @@ def parse(page: str) -> Node:
             close(now.paragraph)  # with the inline elements in it
         while name in OWN_KIND and now.parent and now.name in OWN_KIND[name].split():
             close(now)
-        node = Node(name, now, OUT if now.skip else _kind(name, attributes, now.within))
+        node = Node(name, now, OUT if now.skip else _kind(name, attributes, now))
         now.parts.append(node)
         if name in RAW:
             closed = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -285,6 +293,12 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
 
 def leave_out(root: Node) -> None:
     """Decides by density sums which of the marked nodes are parts of the page, to be left out, and which are wrappers."""
+    order = _order(root)
+    own: dict[int, int] = {}  # characters outside links below a node
+    for x in reversed(order):
+        own[id(x)] = 0 if x.name == "a" else sum(_length(y) if isinstance(y, str) else own.get(id(y), 0) for y in x.parts)
+        if x.kind == NAMED:
+            x.kind = PLAIN if own[id(x)] >= ENOUGH else MARKED
     order = weigh(root)
     if all(x.kind == PLAIN for x in order):
         return
@@ -399,7 +413,7 @@ def main_text(page: str | None) -> str:
             block = x.name in BLOCK
             if block:
                 end()
-                if x is not top and _menu(x, threshold):
+                if x is not top and not x.within and _menu(x, threshold):
                     continue
                 stack.append(None)
             stack.extend(reversed(x.parts))

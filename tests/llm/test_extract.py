@@ -93,3 +93,93 @@ def test_long_and_wrong(piece):
     began = time.process_time()
     X.main_text(piece * (1_000_000 // len(piece)))
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(("piece", "kept"), [
+    ("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p>", "Energy E=m holds."),
+    ("<p><label>Figure 1</label> of it</p>", "Figure 1 of it"),
+    ("<p>see <object data=x>the fallback</object> here</p>", "see the fallback here"),
+    (f"<section id='banner'><p>{LONG}</p></section>", LONG.strip()),
+    ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>", "One\n\nTwo\n\nThree"),
+    ("<div id='banner'>Buy now</div>", ""),
+    (f"<div class='advert'><p>{LONG}</p></div>", ""),
+    ("<form><label>Name</label><input></form>", ""),
+])
+def test_within_an_article(piece, kept):
+    page = f"<body><nav><a href=a>Menu</a></nav><article><p>{LONG}</p>{piece}<p>{LONG}</p></article></body>"
+    assert X.main_text(page) == "\n\n".join(filter(None, [LONG.strip(), kept, LONG.strip()]))
+
+
+@pytest.mark.parametrize("n", [900, 1100, 50_000])
+def test_many_attributes(n):
+    attributes = " ".join(f'a{i}="x>{i}"' for i in range(n))
+    assert X.main_text(f'<body><p {attributes} z="not end" b="z">{LONG}</p></body>') == LONG.strip()
+
+
+def densities(node):
+    """(characters, tags, those in links) of a tree of (name, children), and a list of its nodes' names, densities and density
+    sums in page order, as functions of the body's share of link characters: the published formula, by recursion."""
+    import math
+
+    name, children = node
+    chars = tags = link_chars = link_tags = 0
+    below, direct = [], []
+    for x in children:
+        if isinstance(x, str):
+            chars += len(" ".join(x.split()))
+            direct.append((len(" ".join(x.split())), 0, len(" ".join(x.split())) if name == "a" else 0, 0))
+        else:
+            c, t, lc, lt, more = densities(x)
+            chars, tags, link_chars, link_tags = chars + c, tags + t + 1, link_chars + lc, link_tags + lt + (x[0] == "a")
+            below.append(more)
+            direct.append((c, t, lc, lt))
+    if name == "a":
+        link_chars = chars
+
+    def density(counts, share):
+        c, t, lc, lt = counts
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(max(base, 1.1))
+
+    own = (name, lambda share: density((chars, tags, link_chars, link_tags), share), lambda share: sum(density(x, share) for x in direct))
+    return chars, tags, link_chars, link_tags, [own, *(x for more in below for x in more)]
+
+
+def test_densities_a_second_way(spark, tables):
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.top = ("html", [])
+            self.path = [self.top]
+
+        def handle_starttag(self, tag, attrs):
+            node = (tag, [])
+            self.path[-1][1].append(node)
+            if tag not in ("br", "hr", "img"):
+                self.path.append(node)
+
+        def handle_endtag(self, tag):
+            while self.path.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            self.path[-1][1].append(data)
+
+    n = 0
+    for r in spark.read.parquet(f"{tables}/pages.parquet").collect():
+        article = re.sub(r"(?s)<!--.*?-->|&[^;]*;", "", re.search(r"(?s)<article>(.*)</article>", r.html)[1])
+        blocks = [re.sub(r"</?p>", "", x).replace("<b>", "<em>x</em> ").replace("</b>", "") for x in re.split(r"(?<=</p>)", article)]
+        body = f"<body><div><a href=x>one</a><p>{LONG}<a href=y>two words</a></p></div><div>{''.join(f'<p>{x}</p>' for x in blocks if 'h1' not in x)}</div></body>"
+        tree = Tree()
+        tree.feed(body)
+        chars, _, link_chars, _, want = densities(tree.top[1][0])
+        got = [x for x in X.weigh(X.parse(body)) if x.name != "html"]
+        assert [x.name for x in got] == [x[0] for x in want]
+        for x, (_, density, total) in zip(got, want, strict=True):
+            assert x.density == pytest.approx(density(link_chars / chars)) and x.total == pytest.approx(total(link_chars / chars))
+        n += 1
+    assert n > 5
