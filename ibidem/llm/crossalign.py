@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship, table
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 32_000_000
 BROADCAST_PAIRS = 4_000_000
 SPACES = "\t\n\v\f\r "
 #: What some library takes for white space: no segment begins right after one of these.
@@ -42,6 +42,8 @@ COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n
 WEIGHED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 #: What ends each side of a group in an alignment; an id beyond it needs 32 bits.
 END = 0xFFFF
+#: Segments of the documents that are composed at a time.
+SLICE = 400_000
 #: Links of one group that are written out one by one; larger groups are counted by kinds of token first.
 LISTED = 4096
 
@@ -220,15 +222,17 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_B
         size, name = 0, TaskContext.get().partitionId() << 32
 
         def block():
-            names, texts = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+            names = pa.concat_arrays([x for x, _ in held])
+            cut = [split(texts, tokenizers(path_a, path_b).safe) for _, texts in held]
             held.clear()
-            segments, counts = split(texts, tokenizers(path_a, path_b).safe)
-            coded = segments.dictionary_encode()
-            columns = [pa.array([name]), _list(names, pa.int64()), _list(np.cumsum(counts), pa.int64()), pa.array([packed(coded.indices.to_numpy())], pa.binary()), _list(coded.dictionary, pa.string())]
+            ends = np.cumsum(np.concatenate([n for _, n in cut]))
+            coded = pa.chunked_array([x for x, _ in cut]).dictionary_encode().chunks  # with one dictionary
+            codes = np.concatenate([np.zeros(0, np.int32), *(x.indices.to_numpy() for x in coded)])
+            columns = [pa.array([name]), _list(names, pa.int64()), _list(ends, pa.int64()), pa.array([packed(codes)], pa.binary()), _list(coded[-1].dictionary if coded else pa.array([], pa.string()), pa.string())]
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "ends", "codes", "segments"])
 
         for part in parts:
-            for a, b in batches(part.column(1), block_bytes // 4):
+            for a, b in batches(part.column(1), min(block_bytes, 8_000_000) // 2):
                 few = part.slice(a, b - a)
                 more = few.column(1).nbytes
                 if held and size + more > block_bytes:
@@ -253,7 +257,7 @@ def aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         both, last, result = tokenizers(path_a, path_b), None, None
         for part in parts:
-            for a, b in batches(part.column(2), 1_000_000):
+            for a, b in batches(part.column(2), 200_000):
                 few = part.slice(a, b - a)
                 names = few.column(2).to_pylist()
                 new = [s for s, before in zip(names, [last, *names], strict=False) if s != before]
@@ -342,30 +346,49 @@ def summed(rows, columns, values):
 
 def _compose(left, right, with_groups: bool):
     """The documents of one block: left is its row, right its segments' alignments."""
-    import hashlib
-
     import numpy as np
     import pyarrow as pa
 
     own = Alignments(right.sort_by("code").column("aligned").combine_chunks())
     names, ends = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "ends"))
-    codes, n = unpacked(left.column("codes")[0].as_py()), len(ends)
-    doc = np.repeat(np.arange(n), np.diff(ends.to_numpy(), prepend=0))
-    bad = own.n_groups == 0
-    keep = (np.bincount(doc[bad[codes]], minlength=n) == 0)[doc]
+    ends, codes = ends.to_numpy(), unpacked(left.column("codes")[0].as_py())
+    made, a = [], 0
+    while a < len(ends):  # some documents at a time
+        start = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, start + SLICE, side="right")))
+        made.append(_compose_some(own, codes[start : ends[b - 1]], np.diff(ends[a:b], prepend=start), with_groups))
+        a = b
+    kinds = [*(pa.int64() for _ in range(4)), pa.string(), pa.string()]
+    lists = [pa.chunked_array([x[k] for x in made], t).combine_chunks() for k, t in enumerate(kinds)]
+    n_pairs, pair, times = (np.concatenate([x[k] for x in made]) for k in (6, 7, 8))
+    borders = np.concatenate([[0], np.cumsum(n_pairs)])
+    columns = [left.column("block"), _list(names, pa.int64()), *(_list(x, k) for x, k in zip([*lists, own.pairs, borders], [*kinds, pa.int64(), pa.int64()], strict=True))]
+    return columns + [pa.array([packed(x)], pa.binary()) for x in (pair, times)]
+
+
+def _compose_some(own: Alignments, codes, sizes, with_groups: bool) -> tuple:
+    """n_a, n_b, n_groups, n_links, digests and groups of documents whose segments are codes, so many each; how many pairs each
+    has, and these and how often, by number."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(sizes)
+    doc = np.repeat(np.arange(n), sizes)
+    keep = (np.bincount(doc[own.n_groups[codes] == 0], minlength=n) == 0)[doc]
     doc, codes = doc[keep], codes[keep]
     totals = [np.bincount(doc, x[codes], minlength=n).astype(np.int64) for x in (own.n_a, own.n_b, own.n_groups)]
     groups = own._joined(own.groups.take(pa.array(codes)), np.bincount(doc, minlength=n), ";")
     digests = [hashlib.sha256(g.as_buffer()).hexdigest() if k else "" for g, k in zip(groups, totals[2].tolist(), strict=True)]
     # Distinct segments of each document, then their links, added up for each document and pair.
     of, code, times = summed(doc, codes, np.ones(len(doc), np.int64))
-    sizes = np.diff(own.edges)[code]
-    at = _spread(own.edges[code], sizes)
-    of, pair, times = summed(np.repeat(of, sizes), own.pair[at], own.times[at] * np.repeat(times, sizes))
-    kinds = [*(pa.int64() for _ in range(4)), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    lists = [*totals, np.bincount(of, times, minlength=n).astype(np.int64), pa.array(digests, pa.string()), groups if with_groups else pa.nulls(n, pa.string()), own.pairs, np.searchsorted(of, np.arange(n + 1))]
-    columns = [left.column("block"), _list(names, pa.int64()), *(_list(x, k) for x, k in zip(lists, kinds, strict=True))]
-    return columns + [pa.array([packed(x)], pa.binary()) for x in (pair, times)]
+    n_links = np.diff(own.edges)[code]
+    at = _spread(own.edges[code], n_links)
+    of, pair, times = summed(np.repeat(of, n_links), own.pair[at], own.times[at] * np.repeat(times, n_links))
+    links = np.bincount(of, times, minlength=n).astype(np.int64)
+    shown = groups.cast(pa.string()) if with_groups else pa.nulls(n, pa.string())
+    return *map(pa.array, totals), pa.array(links), pa.array(digests, pa.string()), shown, np.bincount(of, minlength=n), pair, times
 
 
 def composed(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES, with_groups: bool = False) -> DataFrame:

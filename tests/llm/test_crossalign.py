@@ -102,7 +102,7 @@ def test_query(spark, tables, both):
     assert {r.doc_id: tuple(r)[1:] for r in rows} == {k: v[:7] for k, v in want.items()} and len(rows) == len(docs)
 
 
-@pytest.mark.parametrize("block_bytes", [1, 400, 8_000_000])
+@pytest.mark.parametrize("block_bytes", [1, 400, C.BLOCK_BYTES])
 def test_edges(spark, both, block_bytes):
     texts = ODD + ["a  b", "a  b", "Other words, and words."]
     rows = [(None if i % 5 == 4 else i, t, "x", 1) for i, t in enumerate(texts)]
@@ -125,6 +125,9 @@ def test_large_groups(monkeypatch, both, spark):
     """Groups whose links are counted by kinds of token give the same."""
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     want = sorted(map(tuple, C.alignment(docs, A, B).collect()))
+    monkeypatch.setattr(C, "SLICE", 10)
+    codes = pa.chunked_array([C.split(pa.array(["a b", "b c"]), both.safe)[0], C.split(pa.array(["c d a"]), both.safe)[0]]).dictionary_encode().combine_chunks()
+    assert codes.dictionary.to_pylist() == [" a", " b", " c", " d"] and codes.indices.to_pylist() == [0, 1, 1, 2, 2, 3, 0]
     monkeypatch.setattr(C, "LISTED", 2)
     payloads = pa.array([both.align(s, *both.encode([s])[0]) for s in [" =====", " " + "😀" * 9, " a", " ▁"]], pa.binary())
     few = C.Alignments(payloads)
