@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A path under the shared folder that nothing else is written to."""
+    return f"{shared_folder(spark).rstrip('/')}/ibidem-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table under the shared folder, read back: it is computed once, and lost executors don't lose it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/ibidem-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
