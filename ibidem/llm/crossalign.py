@@ -42,8 +42,8 @@ COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n
 WEIGHED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 #: What ends each side of a group in an alignment; an id beyond it needs 32 bits.
 END = 0xFFFF
-#: Segments of the documents that are composed at a time.
-SLICE = 400_000
+#: Distinct segments whose alignments are read at a time, and segments of the documents that are composed at a time.
+SEGMENTS, SLICE = 30_000, 100_000
 #: Links of one group that are written out one by one; larger groups are counted by kinds of token first.
 LISTED = 4096
 
@@ -273,7 +273,8 @@ def aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 class Alignments:
-    """The alignments of a block's segments: numbers of ids and groups, groups as text, and links as distinct id pairs."""
+    """The alignments of a block's segments: numbers of ids and groups, groups as text, and links as distinct id pairs. They are
+    read some at a time, so little more than the result is in memory."""
 
     def __init__(self, payloads):
         import numpy as np
@@ -281,6 +282,21 @@ class Alignments:
         import pyarrow.compute as pc
 
         payloads = pc.fill_null(payloads.cast(pa.large_binary()), b"")
+        parts = [self._part(payloads[k : k + SEGMENTS]) for k in range(0, len(payloads), SEGMENTS)]
+        parts = parts or [self._part(payloads)]
+        self.n_a, self.n_b, self.n_groups, n_links = (np.concatenate([x[k] for x in parts]) for k in range(4))
+        self.groups = pa.concat_arrays([x[4] for x in parts])
+        self.pairs = np.unique(np.concatenate([np.unique(x[5]) for x in parts]))
+        self.pair = np.concatenate([np.searchsorted(self.pairs, x[5]).astype(np.int32) for x in parts])  # by number
+        self.times = np.concatenate([x[6] for x in parts])
+        self.edges = np.concatenate([[0], np.cumsum(n_links)])
+
+    def _part(self, payloads) -> tuple:
+        """n_a, n_b, n_groups and numbers of distinct links of some segments, their groups, the links one after the other, and how often."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         _, offsets, data = payloads.buffers()
         edges = np.frombuffer(offsets, np.int64)[payloads.offset : payloads.offset + len(payloads) + 1] // 2
         flat = np.frombuffer(data, np.uint16)[edges[0] : edges[-1]].astype(np.int64) if data else np.zeros(0, np.int64)
@@ -290,30 +306,25 @@ class Alignments:
         sizes = ends - starts
         first, last = (np.searchsorted(ends, e - edges[0]) // 2 for e in (edges[:-1], edges[1:]))  # groups of each segment
         of = np.repeat(np.arange(n), last - first)
-        self.n_groups = last - first
-        self.n_a, self.n_b = (np.bincount(of, sizes[k::2], minlength=n).astype(np.int64) for k in (0, 1))
-        digits = pa.array(map(str, range(END)), pa.large_string())
-        sides = [self._joined(digits.take(pa.array(flat[_spread(starts[k::2], sizes[k::2])])), sizes[k::2], ",") for k in (0, 1)]
-        self.groups = self._joined(pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), self.n_groups, ";")
-        pairs, times, owners = [], [], []
+        n_a, n_b = (np.bincount(of, sizes[k::2], minlength=n).astype(np.int64) for k in (0, 1))
+        kinds, at = np.unique(flat, return_inverse=True)
+        digits = pa.array(map(str, kinds.tolist()), pa.large_string())
+        sides = [self._joined(digits.take(pa.array(at[_spread(starts[k::2], sizes[k::2])])), sizes[k::2], ",") for k in (0, 1)]
+        groups = self._joined(pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), last - first, ";")
         listed = sizes[0::2] * sizes[1::2] <= LISTED
         rows = np.flatnonzero(listed)
         n_links = sizes[0::2][rows] * sizes[1::2][rows]
         at = _spread(np.zeros(len(rows), np.int64), n_links)
         group = np.repeat(rows, n_links)
         x, y = flat[starts[0::2][group] + at // sizes[1::2][group]], flat[starts[1::2][group] + at % sizes[1::2][group]]
-        pairs.append(x << 32 | y)
-        times.append(np.ones(len(at), np.int64))
-        owners.append(of[group])
+        pairs, times, owners = [x << 32 | y], [np.ones(len(at), np.int64)], [of[group]]
         for g in np.flatnonzero(~listed):
             (x, n_x), (y, n_y) = (np.unique(flat[starts[k] : ends[k]], return_counts=True) for k in (2 * g, 2 * g + 1))
             pairs.append((x[:, None] << 32 | y[None]).ravel())
             times.append((n_x[:, None] * n_y[None]).ravel())
             owners.append(np.full(len(pairs[-1]), of[g]))
-        # Links of a segment follow one another, as distinct pairs of the block by number.
-        self.pairs, own = np.unique(np.concatenate(pairs), return_inverse=True)
-        self.owner, self.pair, self.times = summed(np.concatenate(owners), own, np.concatenate(times))
-        self.edges = np.searchsorted(self.owner, np.arange(n + 1))
+        owner, pair, times = summed(np.concatenate(owners), np.concatenate(pairs), np.concatenate(times))
+        return n_a, n_b, last - first, np.bincount(owner, minlength=n), groups, pair, times
 
     @staticmethod
     def _joined(texts, sizes, sign: str):
