@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import beside, filled, hot, numbered
+
 
 def context(rows: DataFrame, group: str, order: list, text: str = "text", before: int = 1, after: int = 2) -> DataFrame:
     """W1: adds `context`, the row's text with those of its neighbours, in order, by line feeds; empty ones are left out."""
@@ -27,6 +29,8 @@ def wanted_context(rows: DataFrame, wanted: DataFrame, group: str, number: str,
 
 def nearest(rows: DataFrame, group: str, order: list, value: str = "text") -> DataFrame:
     """W2, JN18: adds `previous` and `next`, the values of the nearest rows in order, whatever the gap."""
+    if hot(rows, [group]):
+        return beside(beside(rows, [group], order, F.col(value), 1, "previous"), [group], order, F.col(value), -1, "next")
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumns({"previous": F.lag(value).over(w), "next": F.lead(value).over(w)})
 
@@ -39,7 +43,9 @@ def exact_neighbours(rows: DataFrame, group: str, number: str, value: str = "tex
 
 
 def forward_fill(rows: DataFrame, group: str, order: list, value: Column, name: str) -> DataFrame:
-    """W3: adds a value that stays until the next one that isn't null."""
+    """W3: adds a value that stays until the next one that isn't null. Where a key has many rows, by ranges of these."""
+    if hot(rows, [group]):
+        return filled(rows, [group], order, value, name)
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
@@ -53,8 +59,11 @@ def header_author(page: Column, patterns: dict[str, str], lines: int = 8) -> Col
 def numbered_on(rows: DataFrame, known: DataFrame, group: str, order: list, number: str = "seq") -> DataFrame:
     """W5: numbers new rows of a group on from the greatest number known, from 0 if none is."""
     top = known.groupBy(group).agg(F.max(number).alias("_top"))
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.join(top, group, "left").withColumn(number, (F.coalesce("_top", F.lit(-1)) + F.row_number().over(w)).cast("long")).drop("_top")
+    if hot(rows, [group]):
+        own = numbered(rows, [group], order, "_own")
+    else:
+        own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    return own.join(top, group, "left").withColumn(number, (F.coalesce("_top", F.lit(-1)) + 1 + F.col("_own")).cast("long")).drop("_top", "_own")
 
 
 def position_sample(rows: DataFrame, group: str, order: list) -> DataFrame:
@@ -96,6 +105,9 @@ def as_of_join(left: DataFrame, right: DataFrame, on: list[str], at: str, values
     marks = right.groupBy(*on, at).agg(F.max(F.struct(*values)).alias("_m")).select(*on, at, F.lit(None).alias("_row"), F.lit(0).alias("_side"), *[F.col(f"_m.{v}").alias(f"_{v}") for v in values], F.lit(True).alias("_is"))
     rows = left.select(*on, at, F.struct(*rest).alias("_row") if rest else F.struct(F.lit(1).alias("_x")).alias("_row"), F.lit(1).alias("_side"), *empty, F.lit(None).cast("boolean").alias("_is"))
     both = rows.unionByName(marks.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
-    w = Window.partitionBy(*on).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("_last", F.last(F.when(F.col("_is"), F.struct(*[f"_{v}" for v in values])), ignorenulls=True).over(w)).where("_side = 1")
-    return filled.select(*on, at, *[F.col("_row")[c].alias(c) for c in rest], *[F.col("_last")[f"_{v}"].alias(v) for v in values])
+    mark = F.when(F.col("_is"), F.struct(*[f"_{v}" for v in values]))
+    if hot(both, on):
+        held = filled(both, on, [at, "_side"], mark, "_last")
+    else:
+        held = both.withColumn("_last", F.last(mark, ignorenulls=True).over(Window.partitionBy(*on).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)))
+    return held.where("_side = 1").select(*on, at, *[F.col("_row")[c].alias(c) for c in rest], *[F.col("_last")[f"_{v}"].alias(v) for v in values])

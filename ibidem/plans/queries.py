@@ -13,6 +13,9 @@ from ibidem.operators import neighbours as N
 from ibidem.operators import retrieval as R
 from ibidem.operators import tables as D
 from ibidem.operators.chunk import chunks
+from ibidem.operators.shared import fresh_folder
+from ibidem.operators.text_index import TextIndex
+from ibidem.operators.vector_index import VectorIndex
 from ibidem.sources import html as H
 from ibidem.sources.files import spread, table
 
@@ -88,6 +91,42 @@ for metric, sim in (("l2sq", "1 - list_sum(list_transform(list_zip(q.embedding::
     query(f"vector_top5_{metric}", f"SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(greatest(0.0, {sim}), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0.0, {sim}), 6) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 5")(_vectors(metric))
 
 
+def _indexed(spark, sf_dir, share: float):
+    """The index of all vectors with about the root of their number of lists, searched in a share of these."""
+    v = table(spark, sf_dir, "embeddings")
+    lists = max(2, int(v.count() ** 0.5))
+    index = VectorIndex.build(v, fresh_folder(spark), "vec_id", "embedding", lists, "cosine")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.top(asked, "query_id", "embedding", 5, max(1, int(share * lists))).withColumnRenamed("key", "vec_id")
+
+
+@query("vector_index_top5")
+def _(spark, sf_dir):
+    """RT7, TK2: from half of the lists; recall is measured in tests."""
+    return _indexed(spark, sf_dir, 0.5)
+
+
+@query("vector_index_all_lists", "SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(greatest(0.0, list_cosine_similarity(q.embedding::FLOAT[]::DOUBLE[], v.embedding::FLOAT[]::DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0.0, list_cosine_similarity(q.embedding::FLOAT[]::DOUBLE[], v.embedding::FLOAT[]::DOUBLE[])), 6) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 5")
+def _(spark, sf_dir):
+    """RT7: from all lists, which is exact."""
+    return _indexed(spark, sf_dir, 1.0)
+
+
+@query("bm25_index_top5", f"WITH {BM25.replace("FROM documents)", "FROM documents WHERE lang <> 'es')", 1)} SELECT item_id, doc_id, chunk, score, rank FROM t WHERE rank <= 5")
+def _(spark, sf_dir):
+    """RT1, SNK2, SNK5: from an index into which French documents went with other texts at first, German ones in a second batch, and
+    from which Spanish ones were deleted."""
+    docs, key = table(spark, sf_dir, "documents"), ["doc_id", "chunk"]
+    held = chunks(spread(docs.select("doc_id", "text"))).join(docs.select("doc_id", "lang"), "doc_id")
+    index = TextIndex.create(spark, fresh_folder(spark), buckets=16)
+    index.upsert(held.where("lang <> 'de'"), key, F.when(F.col("lang") == "fr", F.reverse("text")).otherwise(F.col("text")))
+    index.upsert(held.where("lang IN ('fr', 'de')"), key, F.col("text"))
+    index.delete(held.where("lang = 'es'"), key)
+    index.merge(key, 1)
+    items = table(spark, sf_dir, "benchmark")
+    return index.top(items, "item_id", key, F.col("text"), 5)
+
+
 DISTANCE = "list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 NEAR = f"""n1 AS (SELECT item_id, v.vec_id AS doc_id, round(greatest(0.0, 1 - {DISTANCE}), 6) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM n1)"""
