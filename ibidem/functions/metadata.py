@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ibidem.operators.lexicon_match import met
 from ibidem.operators.shared import lexicon as bounded
 
 from .lexicon import POPES
@@ -152,10 +153,9 @@ def centre(text: Column, length: int = 400, cap: int = 800) -> Column:
 
 def lexicon_scores(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """SC48, SC52: for each text and author of a lexicon (author, ordinal, pattern, weight), the sum of the weights of its
-    patterns that occur. Patterns are tried as regular expressions on the folded text; the lexicon is broadcast, its size checked."""
-    folded = texts.select(key, fold(F.col(text)).alias("_text"))
-    met = folded.join(bounded(lexicon), F.expr("_text rlike pattern"))
-    return met.groupBy(key, "author").agg(F.sum("weight").alias("score"), F.min("ordinal").alias("ordinal"))
+    patterns that occur in the folded text. Plain forms, between word borders or not, are sought all at once; regular expressions
+    are tried one by one, and are few, which is checked."""
+    return _met(texts, lexicon, key, text).groupBy(key, "author").agg(F.sum("weight").alias("score"), F.min("ordinal").alias("ordinal"))
 
 
 def best_author(scores: DataFrame, key: str = "id", least: int = 2, ties: str = "first") -> DataFrame:
@@ -167,16 +167,32 @@ def best_author(scores: DataFrame, key: str = "id", least: int = 2, ties: str =
     return top.select(key, author.alias("author"), F.col("m").alias("score"), (F.col("m") < least + 1).alias("weak"))
 
 
-def first_title(texts: DataFrame, titles: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """SC49, SC50: the title of the first pattern (title, ordinal, pattern) that occurs."""
-    met = texts.select(key, fold(F.col(text)).alias("_text")).join(bounded(titles), F.expr("_text rlike pattern"))
-    return met.groupBy(key).agg(F.min_by("title", "ordinal").alias("title"))
+def _met(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    return met(texts.select(key, fold(F.col(text)).alias("_text")), "_text", lexicon, bounded)
+
+
+def first_title(texts: DataFrame, titles: DataFrame, key: str = "id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """SC49, SC50: the title of the first pattern (title, ordinal, pattern) that occurs, with more columns of its row if named."""
+    first = _met(texts, titles, key, text).groupBy(key).agg(F.min_by(F.struct("title", *more), "ordinal").alias("_b"))
+    return first.select(key, *[F.col("_b")[c].alias(c) for c in ("title", *more)])
+
+
+def church_document(books: DataFrame, documents: DataFrame, key: str = "id", title: str = "title", sample: str = "sample") -> DataFrame:
+    """SC50: what the first document (ordinal, pattern, canonical_title, default_year, and more if there is) that a book's title or
+    sample names says of the book: key, canonical_title (else the title), year (the title's, else the default), edition_label
+    (both), and the columns besides. Books that name none are left out."""
+    more = [c for c in documents.columns if c not in ("ordinal", "pattern", "canonical_title", "default_year")]
+    texts = books.select(key, F.concat_ws("\n", title, sample).alias("_all"))
+    first = first_title(texts, documents.withColumnRenamed("canonical_title", "title"), key, "_all", ("default_year", *more)).withColumnRenamed("title", "_canonical")
+    found = first.join(books.select(key, F.col(title).alias("_title")), key)
+    name, year = F.coalesce(F.nullif("_canonical", F.lit("")), F.trim("_title")), F.coalesce(first_year(F.col("_title")), F.col("default_year").cast("int"))
+    label = F.when((name != "") & year.isNotNull(), F.concat(name, F.lit(" — "), year.cast("string"))).otherwise(F.coalesce(name, F.lit("")))
+    return found.select(key, name.alias("canonical_title"), year.alias("year"), label.alias("edition_label"), *more)
 
 
 def collected_volumes(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text", least: int = 3) -> DataFrame:
     """SC53: labels of which at least so many patterns occur."""
-    met = texts.select(key, fold(F.col(text)).alias("_text")).join(bounded(lexicon), F.expr("_text rlike pattern"))
-    return met.groupBy(key, F.col("author").alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _met(texts, lexicon, key, text).groupBy(key, F.col("author").alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def assembled(row: Column, override: Column, church: Column, patristic: Column) -> Column:

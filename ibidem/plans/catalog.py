@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ibidem.functions.metadata import century, publisher_label_ok
 from ibidem.functions.text import fold, slug
-from ibidem.operators.shared import lexicon
+from ibidem.operators.lexicon_match import matches
 
 
 def author_catalog(authors: DataFrame, books: DataFrame, chunk_authors: DataFrame) -> DataFrame:
@@ -90,10 +90,12 @@ def sections(books: DataFrame, order: list[str], column: str, unknown: int = 99)
 
 
 def alias_books(saints: DataFrame, books: DataFrame, text: str = "text") -> DataFrame:
-    """JN13: saint, book_id of every book whose folded text contains one of a saint's aliases (saint, alias). The lexicon of
-    aliases is broadcast, its size checked."""
-    aliases = lexicon(saints.select("saint", fold(F.col("alias")).alias("_a")).where(F.length("_a") > 0))
-    return books.select("book_id", fold(F.col(text)).alias("_t")).join(aliases, F.col("_t").contains(F.col("_a"))).select("saint", "book_id").distinct()
+    """JN13: saint, book_id of every book whose folded text contains one of a saint's aliases (saint, alias). All aliases are sought
+    in one pass over a text."""
+    aliases = saints.select("saint", fold(F.col("alias")).alias("_a")).where(F.length("_a") > 0).distinct()
+    forms = [(r["_a"], False, r["_a"]) for r in aliases.select("_a").distinct().collect()]  # a lexicon, not a corpus
+    found = matches(books.select("book_id", fold(F.col(text)).alias("_t")), "_t", forms, "_a")
+    return found.join(F.broadcast(aliases), "_a").select("saint", "book_id").distinct()
 
 
 def editions(files: DataFrame, key: str) -> DataFrame:

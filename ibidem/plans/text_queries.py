@@ -236,6 +236,22 @@ def _(spark, sf_dir):
     return M.first_title(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), _lexicon(spark).withColumnRenamed("author", "title"))
 
 
+CHURCH_SQL = "(VALUES " + ", ".join(f"({o}, {quoted(p)}, {quoted(a.upper()) if o % 2 else 'NULL'}, {1900 + o if o % 3 else 'NULL'}, {quoted(a)})" for a, o, p, _ in LEXICON) + ") x(ordinal, pattern, canonical_title, default_year, section)"
+
+
+@query("church_documents", f"""WITH b AS (SELECT doc_id AS id, concat(' ', source, CASE WHEN n_chars % 2 = 0 THEN concat(' of ', 1500 + n_chars % 400) ELSE '' END) AS title, text FROM documents),
+d AS (SELECT id, title, {FOLD.format("concat_ws(chr(10), title, text)")} AS t FROM b),
+f AS (SELECT id, trim(any_value(title)) AS title, min_by(struct_pack(c := canonical_title, y := default_year, s := section), ordinal) AS x, any_value(try_cast(nullif(regexp_extract(title, '\\b(1[0-9]{{3}}|20[0-9]{{2}})\\b', 1), '') AS INT)) AS own FROM d JOIN {CHURCH_SQL} ON regexp_matches(regexp_replace(t, '[^ -~]', 'x', 'g'), pattern) GROUP BY id)
+SELECT id, coalesce(x.c, title) AS canonical_title, coalesce(own, x.y) AS year, concat(coalesce(x.c, title), CASE WHEN coalesce(own, x.y) IS NOT NULL THEN concat(' — ', coalesce(own, x.y)) ELSE '' END) AS edition_label, x.s AS section FROM f""")
+def _(spark, sf_dir):
+    """SC50: canonical title, year and edition label of the first document that a title or text names."""
+    years = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit(" of "), (1500 + F.col("n_chars") % 400).cast("string"))).otherwise("")
+    books = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit(" "), "source", years).alias("title"), F.col("text").alias("sample"))
+    rows = [(o, p, a.upper() if o % 2 else None, 1900 + o if o % 3 else None, a) for a, o, p, _ in LEXICON]
+    known = spark.createDataFrame(rows, "ordinal int, pattern string, canonical_title string, default_year int, section string")
+    return M.church_document(books, known)
+
+
 @query("collected_volumes", f"""WITH d AS (SELECT doc_id AS id, {FOLDED} AS t FROM documents) SELECT id, author AS label, count(*) AS n FROM d JOIN {LEXICON_SQL} ON regexp_matches(t, pattern) GROUP BY ALL HAVING count(*) >= 3""")
 def _(spark, sf_dir):
     """SC53."""
