@@ -22,6 +22,8 @@ untouched, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ SHARE, CONSISTENT = 0.75, 1.41
 CUTOFF = 45.8
 LEAST_ROWS, LEAST_ESTIMATE = 50, 11
 #: Distances of one band differ by a factor of 2 ** (1 / BANDS) at most; a determinant that falls by less than a share of
-#: FALL has stopped falling; no more than MOST_STEPS steps are taken.
-BANDS, FALL, MOST_STEPS = 128, 1e-4, 40
+#: FALL has stopped falling.
+BANDS, FALL = 128, 1e-4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -178,19 +180,25 @@ def _concentrated(vectors: DataFrame, now: DataFrame, beside) -> DataFrame:
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """grp, n, centre, factor, size: the minimum covariance determinant estimates of rows (grp, x0..x4)."""
+    """grp, n, centre, factor, size: the minimum covariance determinant estimates of rows (grp, x0..x4).
+
+    A start goes on as long as a step lowers its determinant by FALL, so it ends; groups whose starts have all ended aren't
+    read any more.
+    """
     now = materialize(_starts(vectors), "mcd")
     beside = _beside(now)
     first = lambda rows, k: rows.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy("size", "start"))).where(F.col("_r") <= k).drop("_r")
-    for step in range(MOST_STEPS):
-        before, now = now, materialize(_concentrated(vectors, now, beside), "mcd")
-        if step == 1:
-            now = materialize(first(now, 2), "mcd")
-        elif step > 1:
-            fall = now.join(before.select("grp", "start", F.col("size").alias("old")), ["grp", "start"]).agg(F.max(F.col("old") - F.col("size"))).first()[0]
-            if fall is None or 2 * fall < FALL:
-                break
-    return first(now, 1).drop("start")
+    fields, done, step = ("centre", "factor", "size"), [], 0
+    while True:
+        old = now.select("grp", "start", *[F.col(c).alias(f"_{c}") for c in fields])
+        fell = F.coalesce(F.col("_size") - F.col("size") >= FALL / 2, F.lit(False)) if step else F.lit(True)  # the starts aren't estimates
+        both = _concentrated(vectors, now, beside).join(old, ["grp", "start"]).withColumn("fell", fell)
+        both = materialize(first(both, 2) if step == 1 else both, "mcd")
+        lesser = [F.when(F.col("size") <= F.col("_size"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in fields]
+        done.append(both.where("not fell").select("grp", "start", "n", *lesser))
+        now, step = both.where("fell").select("grp", "start", "n", *fields), step + 1
+        if now.isEmpty():
+            return first(reduce(DataFrame.unionByName, done), 1).drop("start")
 
 
 def _beside(groups: DataFrame, most: int = 20_000):
