@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Which of the tokens in a row a seed looks at: three masks of weight seven.
 MASKS = ("1101100111", "1110010111", "11011001011")
 LEAST = 13
@@ -139,11 +141,15 @@ def _overlaps(docs: DataFrame, ids: list[str], benchmark: DataFrame, least: int,
     return out.select(*ids, "item_id", F.col("b.matched").alias("matched"), "item_tokens", (-F.col("b.at")).alias("start"), F.col("b.length").alias("length"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of docs whose own text has no leaked item, whatever their doc_ids; texts are known by 128 bits of hashes."""
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, most_keys: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose own text has no leaked item, whatever their doc_ids; texts are known by 128 bits of hashes.
+
+    While at most most_keys texts have one, these keys are broadcast and documents stay where they are read."""
     text = F.col("text").cast("string")
     keys = {"_row_x": F.xxhash64(text), "_row_y": F.xxhash64(F.lit(1), text)}
     bad = _overlaps(docs.select(*[k.alias(n) for n, k in keys.items()], "text"), list(keys), benchmark, least).select(*keys).distinct()
+    bad = materialize(bad, "leaked")
+    bad = F.broadcast(bad) if bad.count() <= most_keys else bad
     return docs.withColumns(keys).join(bad, list(keys), "left_anti").select(*docs.columns)
 
 

@@ -217,21 +217,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, threshold: int = 2, most: int = 256) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = 2, most: int = 256, most_keys: int = 1_000_000) -> DataFrame:
     """One row of docs for each component: that with its least doc_id, or, where no row in it has one, the least by hashes.
 
     Rows are told apart by doc_id and 128 bits of hashes of the text. Repeated rows of both are copies of one document, and
     one of them stays; rows of one doc_id, or without any, whose texts aren't linked are of different components and all stay.
+
+    Keys alone are shuffled to tell which rows go, and which stay but are repeated. While these are at most most_keys, they are
+    broadcast and the documents stay where they are read; only repeated ones are shuffled.
     """
     text = F.col("text").cast("string")
-    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_x"), F.xxhash64(F.lit(1), text).alias("_y")]
-    marked = materialize(_marked(docs.select(*keys, text.alias("text"))), "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_x", "_y")).alias("f")
-    of = _rooted(marked, threshold, most).select("fp", "root")
-    kept = marked.join(of, "fp").groupBy("root").agg(least).select(F.col("root").alias("_root"), F.col("f.doc_id").alias("_id"), "f._x", "f._y")
-    rows = docs.withColumns({"_row_x": keys[1], "_row_y": keys[2]})
-    met = (F.col("_row_x") == F.col("_x")) & (F.col("_row_y") == F.col("_y")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    return rows.join(kept, met).dropDuplicates(["_root"]).select(*docs.columns)
+    keys = {"_id": F.col("doc_id").cast("long"), "_x": F.xxhash64(text), "_y": F.xxhash64(F.lit(1), text)}
+    marked = materialize(_marked(docs.select(*[k.alias(n) for n, k in keys.items()], text.alias("text"))), "fingerprints")
+    of = _rooted(marked.withColumnRenamed("_id", "doc_id"), threshold, most).select("fp", "root")
+    known = materialize(marked.join(of, "fp").groupBy("root", "fp", *keys).agg(F.count("*").alias("n")), "rows")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "fp", "_x", "_y")
+    chosen = known.groupBy(F.col("root").alias("_root")).agg(F.min(order).alias("_best"))
+    told = known.join(chosen, F.col("root") == F.col("_root")).withColumn("_stays", order == F.col("_best"))
+    named = [F.col(n).alias(f"_of{n}") for n in keys]
+    marks = materialize(told.where("not _stays or n > 1").select(*named, "_stays"), "marks")
+    marks = F.broadcast(marks) if marks.count() <= most_keys else marks
+    met = (F.col("_x") == F.col("_of_x")) & (F.col("_y") == F.col("_of_y")) & F.col("_id").eqNullSafe(F.col("_of_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[k.alias(n) for n, k in keys.items()])
+    rows = rows.join(marks, met, "left")
+    stay = rows.where("_stays is null").select("_row").union(rows.where("_stays").dropDuplicates(list(keys)).select("_row"))
+    return stay.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
