@@ -55,6 +55,11 @@ def bm25_top(queries: DataFrame, docs: DataFrame, query_key: str, key: list[str]
     return top_k(scored, query_key, [F.col("score").desc(), *key], k)
 
 
+def excerpts(hits: DataFrame, docs: DataFrame, key: list[str], text: str = "text", signs: int = 350) -> DataFrame:
+    """RT4: adds `excerpt`, the first signs of each hit's text. Hits are few, so documents are cut before they're joined."""
+    return hits.join(docs.select(*key, F.substring(text, 1, signs).alias("excerpt")), key)
+
+
 def two_field_top(claims: DataFrame, chunks: DataFrame, translations: DataFrame, query_key: str, key: list[str], query: str, k: int, attributed: str = "attributed_to", bonus: float = 0.5) -> DataFrame:
     """RT2, RT3: query_key, key, score, rank of the k best chunks (key, text, and author if there is one) by the better of two
     fields, the text and its translations (key, text), each boosted by the query's language; an identical author adds a bonus."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import numbered
+
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """SNK2, TK13, ST6, ST7: the row of each key that comes first in an order; upserts append and then keep these."""
@@ -182,7 +184,7 @@ def numbered_groups(rows: DataFrame, key: Column, order: str, name: str = "title
     """AG24, AG27: groups by a key, numbered in the order of their first row, with their counts; members stay rows, joined by the
     key, so that no group is gathered in one task."""
     groups = rows.groupBy(key.alias(name)).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    return groups.withColumn("place", F.row_number().over(Window.orderBy("first", name)))
+    return numbered(groups, [], ["first", name], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def active(rows: DataFrame, revoked: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ibidem.operators import neighbours as N
 from ibidem.operators import retrieval as R
 from ibidem.operators import tables as D
 from ibidem.operators.chunk import chunks
+from ibidem.operators.hashed_vectors import hashed_top
 from ibidem.operators.shared import fresh_folder
 from ibidem.operators.text_index import TextIndex
 from ibidem.operators.vector_index import VectorIndex
@@ -127,6 +128,31 @@ def _(spark, sf_dir):
     return index.top(items, "item_id", key, F.col("text"), 5)
 
 
+HASHED = r"""w AS (SELECT kind, id, list_transform(regexp_extract_all(FOLDED, '[\p{L}\p{N}]+'), lambda x: '_' || x || '_') AS ws FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark)),
+g AS (SELECT kind, id, f, count(*) AS tf FROM (SELECT kind, id, unnest(flatten(list_transform(ws, lambda x: list_transform(range(1, greatest(length(x) - 2, 2)), lambda i: substr(x, i, 4))))) AS f FROM w) GROUP BY ALL),
+h AS (SELECT kind, id, tf, CAST(concat('0x', substr(md5(f), 1, 8)) AS BIGINT) AS h FROM g),
+e AS (SELECT kind, id, h % 65536 AS place, sum(CASE WHEN (h // 65536) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM h GROUP BY ALL HAVING abs(v) > 1e-9),
+n AS (SELECT count(*) AS n FROM documents), i AS (SELECT place, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM e, n WHERE kind = 'd' GROUP BY place),
+x AS (SELECT kind, id, place, v * coalesce(idf, ln(1.0::DOUBLE + n) + 1) AS w FROM e LEFT JOIN i USING (place), n),
+u AS (SELECT kind, id, place, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS w FROM x),
+s AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.w * d.w), 6) AS score FROM u q JOIN u d USING (place) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY ALL HAVING score > 0)""".replace("FOLDED", FOLD.format("text"))
+
+
+@query("hashed_vectors_top5", f"WITH {HASHED} SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5")
+def _(spark, sf_dir):
+    """RT6: the documents nearest to each item by hashed vectors of their texts."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return hashed_top(table(spark, sf_dir, "benchmark"), docs, "item_id", ["doc_id"], F.col("text"), F.col("text"), 5)
+
+
+@query("text_excerpts", f"WITH {BM25} SELECT item_id, doc_id, chunk, left(c.text, 350) AS excerpt FROM t JOIN c USING (doc_id, chunk) WHERE rank <= 3")
+def _(spark, sf_dir):
+    """RT4: hits as a search shows them, with the first 350 signs of each; only texts of hits are taken."""
+    held, key = chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), ["doc_id", "chunk"]
+    hits = R.bm25_top(table(spark, sf_dir, "benchmark"), held, "item_id", key, F.col("text"), F.col("text"), 3)
+    return R.excerpts(hits, held, key).select("item_id", *key, "excerpt")
+
+
 DISTANCE = "list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 NEAR = f"""n1 AS (SELECT item_id, v.vec_id AS doc_id, round(greatest(0.0, 1 - {DISTANCE}), 6) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM n1)"""
@@ -232,28 +258,30 @@ def _(spark, sf_dir):
     return near.select("conv_id", "turn", E.fidelity(F.col("text"), F.col("next")).alias("band"))
 
 
-GRID_SQL = """WITH g AS (SELECT c.x / 100.0 AS combined, e.x = 1 AS exact, a.x = 1 AS author, f.x AS fidelity, n.x / 100.0 AS anchor, i.x / 100.0 AS intrusion, s.x / 100.0 AS similarity
-  FROM (SELECT unnest([0, 54, 55, 56, 77, 78, 79, 100]) AS x) c, (SELECT unnest([0, 1]) AS x) e, (SELECT unnest([0, 1]) AS x) a, (SELECT unnest(['fiel', 'imprecisa', 'nao_encontrada', 'none']) AS x) f,
-  (SELECT unnest([0, 17, 18, 19, 74, 75, 76]) AS x) n, (SELECT unnest([0, 10, 40]) AS x) i, (SELECT unnest([0, 49, 50, 51]) AS x) s),
+GRID_SQL = """WITH g AS (SELECT l_orderkey, l_linenumber, (l_partkey % 101) / 100.0 AS combined, l_returnflag = 'R' AND l_linenumber = 1 AS exact, l_linestatus = 'F' AS author,
+  CASE WHEN l_quantity > 40 THEN 'fiel' WHEN l_quantity > 30 THEN 'imprecisa' WHEN l_quantity > 20 THEN 'nao_encontrada' END AS fidelity,
+  l_discount * 10 AS anchor, CASE WHEN l_tax > 0.07 THEN l_tax * 5 WHEN l_tax > 0.06 THEN 0.1 ELSE 0 END AS intrusion, (l_suppkey % 100) / 100.0 AS similarity FROM lineitem),
 v AS (SELECT *, CASE WHEN intrusion > 0 AND NOT exact THEN 'NAO_ENCONTRADA' WHEN exact AND author THEN 'CONFIRMADA_EXATA' WHEN exact THEN 'ATRIBUICAO_DUVIDOSA'
   WHEN fidelity = 'fiel' AND combined >= 0.55 AND anchor >= 0.18 THEN CASE WHEN author THEN 'TRADUCAO_FIEL' ELSE 'ATRIBUICAO_DUVIDOSA' END
   WHEN fidelity = 'imprecisa' AND combined >= 0.55 AND anchor >= 0.18 THEN 'TRADUCAO_IMPRECISA'
   WHEN author AND combined >= 0.78 AND anchor >= 0.75 AND similarity >= 0.5 THEN 'PARAFRASE_PLAUSIVEL' ELSE 'NAO_ENCONTRADA' END AS code FROM g)"""
 
 
-def _grid(spark):
-    def axis(name, values):
-        return spark.range(1).select(F.explode(E.constants(values)).alias(name))
-
-    grid = axis("combined", [x / 100 for x in (0, 54, 55, 56, 77, 78, 79, 100)])
-    for name, values in (("exact", [False, True]), ("author", [False, True]), ("fidelity", ["fiel", "imprecisa", "nao_encontrada", "none"]), ("anchor", [x / 100 for x in (0, 17, 18, 19, 74, 75, 76)]), ("intrusion", [0.0, 0.1, 0.4]), ("similarity", [0.0, 0.49, 0.5, 0.51])):
-        grid = grid.select("*", F.explode(E.constants(values)).alias(name))
-    return grid.withColumn("code", E.verdict_code(F.col("combined"), F.col("exact"), F.col("author"), F.col("fidelity"), F.col("anchor"), F.col("intrusion"), F.col("similarity")))
+def _grid(spark, sf_dir):
+    """What verdicts are drawn from, read from the columns of lines, so that every rule is met."""
+    quantity, tax = F.col("l_quantity"), F.col("l_tax")
+    grid = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", ((F.col("l_partkey") % 101) / 100.0).alias("combined"), ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)).alias("exact"), (F.col("l_linestatus") == "F").alias("author"),
+        F.when(quantity > 40, "fiel").when(quantity > 30, "imprecisa").when(quantity > 20, "nao_encontrada").alias("fidelity"),
+        (F.col("l_discount") * 10).alias("anchor"), F.when(tax > 0.07, tax * 5).when(tax > 0.06, 0.1).otherwise(0.0).alias("intrusion"), ((F.col("l_suppkey") % 100) / 100.0).alias("similarity"),
+    )
+    return grid.withColumn("code", E.verdict_code(*[F.col(c) for c in ("combined", "exact", "author", "fidelity", "anchor", "intrusion", "similarity")]))
 
 
-@query("verdict_grid", GRID_SQL + " SELECT combined, exact, author, fidelity, anchor, intrusion, similarity, code FROM v")
+@query("verdict_grid", GRID_SQL + " SELECT l_orderkey, l_linenumber, code FROM v")
 def _(spark, sf_dir):
-    return _grid(spark)
+    """SC36: all six codes."""
+    return _grid(spark, sf_dir).select("l_orderkey", "l_linenumber", "code")
 
 
 @query("public_verdicts", GRID_SQL + """ SELECT code, intrusion > 0.3 AS doubtful, count(*) AS n,
@@ -264,7 +292,7 @@ def _(spark, sf_dir):
 FROM v GROUP BY ALL""")
 def _(spark, sf_dir):
     public = E.public_verdict(F.col("code"), F.col("intrusion"), F.lit(0))
-    return _grid(spark).groupBy("code", (F.col("intrusion") > 0.3).alias("doubtful"), public["verdict"].alias("verdict"), public["level"].alias("level")).agg(F.count("*").alias("n"))
+    return _grid(spark, sf_dir).groupBy("code", (F.col("intrusion") > 0.3).alias("doubtful"), public["verdict"].alias("verdict"), public["level"].alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("context_window", """SELECT conv_id, turn, array_to_string(list_filter([lag(text) OVER w, text, lead(text) OVER w, lead(text, 2) OVER w], lambda x: x IS NOT NULL AND x <> ''), chr(10)) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")

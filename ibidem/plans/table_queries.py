@@ -9,6 +9,7 @@ from ibidem.functions import metadata as M
 from ibidem.operators import neighbours as N
 from ibidem.operators import tables as D
 from ibidem.operators.chunk import chunks
+from ibidem.operators.scan import numbered
 from ibidem.sources import files as S
 from ibidem.sources.files import spread, table
 
@@ -151,12 +152,13 @@ def _(spark, sf_dir):
 @query("catalog_order", """WITH authors AS (SELECT s_suppkey AS author FROM supplier), w AS (SELECT l_suppkey AS author, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
 SELECT author, row_number() OVER (ORDER BY coalesce(n, 0) = 0, coalesce(n, 0) DESC, author) AS place FROM authors LEFT JOIN w USING (author)""")
 def _(spark, sf_dir):
-    """TK7: places in the catalog's order, numbered as the sorted rows come."""
+    """TK7: places in the catalog's order."""
     authors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("author"))
     books = table(spark, sf_dir, "part").limit(0).select(F.col("p_partkey").alias("book_id"), F.col("p_partkey").alias("author"))
     written = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_partkey").alias("book_id"), F.col("l_suppkey").alias("author")).agg(F.count("*").alias("n"))
-    ordered = C.author_catalog(authors, books, written).coalesce(1)
-    return ordered.select("author", (F.monotonically_increasing_id() + 1).alias("place"))
+    n = F.col("chunks")
+    ordered = numbered(C.author_catalog(authors, books, written), [], [n == 0, -n, "author"], "place")
+    return ordered.select("author", (F.col("place") + 1).alias("place"))
 
 
 @query("council_order", """WITH g AS (SELECT o_orderpriority AS council, min(nullif(y, 0)) AS year, count(*) AS n FROM (SELECT o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE year(o_orderdate) END AS y FROM orders) GROUP BY 1)
@@ -165,7 +167,7 @@ def _(spark, sf_dir):
     """AG9 with places: a council without a year comes last."""
     year = F.when(F.col("o_orderpriority").startswith("1"), 0).otherwise(F.year("o_orderdate"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("council"), year.alias("y"))
-    return C.councils(rows, "council", F.col("y")).coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    return numbered(C.councils(rows, "council", F.col("y")), [], [F.coalesce("year", F.lit(9999)), "council"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("section_order", "SELECT p_partkey, coalesce(nullif(list_position(['ECONOMY', 'LARGE', 'SMALL'], split_part(p_type, ' ', 1)), 0), 99)::INT AS place FROM part")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ibidem.functions import evidence as E
 from ibidem.functions.language import MODERN, query_language
 from ibidem.functions.text import clean_ocr, fold
+from ibidem.operators.hashed_vectors import hashed_top
 from ibidem.operators.neighbours import wanted_context
 from ibidem.operators.retrieval import bm25_top, fused, nearest_vectors, only_unmatched, two_field_top
 from ibidem.operators.shared import written
@@ -20,23 +21,31 @@ def candidates(claims: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     return bm25_top(claims, chunks, "claim_id", KEY, F.col("quote"), F.col("text"), k)
 
 
-def retrieved(claims: DataFrame, chunks: DataFrame, k: int = 5, translations: DataFrame | None = None, claim_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, legacy_vectors: DataFrame | None = None, always: bool = False) -> DataFrame:
-    """RT2, RT8-RT10: claim_id, doc_id, chunk, text_score, semantic_score, rank of each claim's candidates.
+def retrieved(claims: DataFrame, chunks: DataFrame, k: int = 5, translations: DataFrame | None = None, claim_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, legacy_vectors: DataFrame | None = None, always: bool = False, hashed: bool = False) -> DataFrame:
+    """RT2, RT6, RT8-RT10: claim_id, doc_id, chunk, text_score, semantic_score, rank of each claim's candidates.
 
     Text goes first: the chunks' own, and their translations if there are any. Vectors are sought for the claims (claim_id,
     vector) that text found nothing for, or for every claim if `always`; among those of the chunks (doc_id, chunk, vector), and
-    of a legacy collection only if one is given. Both lists are then joined and ranked by their combined score.
+    of a legacy collection only if one is given. Without vectors, `hashed` ones of the texts themselves can take their place. Both
+    lists are then joined and ranked by their combined score.
     """
     if translations is not None:
         hits = two_field_top(claims, chunks, translations, "claim_id", KEY, "quote", k)
     else:
         hits = candidates(claims, chunks, k)
     hits = written(hits)
+    if hashed:
+        asked = claims if always else only_unmatched(claims, hits, "claim_id")
+        near = hashed_top(asked, chunks, "claim_id", KEY, F.col("quote"), F.col("text"), k)
+        return _ranked(hits, near, k)
     if claim_vectors is None or chunk_vectors is None:
         return hits.select("claim_id", *KEY, F.col("score").alias("text_score"), F.lit(0.0).alias("semantic_score"), "rank")
     asked = claim_vectors if always else only_unmatched(claim_vectors, hits, "claim_id")
     held = chunk_vectors if legacy_vectors is None else chunk_vectors.unionByName(legacy_vectors)
-    near = nearest_vectors(asked, held, "claim_id", KEY, "vector", k)
+    return _ranked(hits, nearest_vectors(asked, held, "claim_id", KEY, "vector", k), k)
+
+
+def _ranked(hits: DataFrame, near: DataFrame, k: int) -> DataFrame:
     both = fused(hits, near, ["claim_id", *KEY])
     w = Window.partitionBy("claim_id").orderBy(F.col("combined").desc(), *KEY)
     return both.select("claim_id", *KEY, "text_score", "semantic_score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= 2 * k)

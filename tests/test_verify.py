@@ -157,3 +157,13 @@ def test_known_authors(spark):
     assert known.select("author").distinct().count() == len(lexicon.AUTHORS) and known.where("weight = 2").count() >= len(lexicon.AUTHORS)
     found = {r.id: (r.author, r.score) for r in metadata.best_author(metadata.lexicon_scores(texts, known)).collect()}
     assert found == {1: ("Augustine", 3), 2: (None, 1), 3: ("Augustine", 3)}
+
+
+def test_hashed_vectors_find_what_text_does_not(spark):
+    """A quotation whose every word is misspelt shares no word with its passage, but most of its signs."""
+    chunks_ = spark.createDataFrame([(1, 0, "blessed are the peacemakers for they shall inherit"), (2, 0, "consider the lilies of the field how they grow"), (3, 0, None)], "doc_id long, chunk int, text string")
+    claims = spark.createDataFrame([(1, "blesseds peacemakerss inheritt", "a"), (2, "consider lilies", "b"), (3, "", "c"), (4, None, "d")], "claim_id long, quote string, attributed_to string")
+    hits = {(r.claim_id, r.doc_id): (r.text_score, r.semantic_score) for r in retrieved(claims, chunks_, hashed=True).collect()}
+    assert set(hits) == {(1, 1), (2, 2)} and hits[1, 1][0] == 0 and hits[1, 1][1] > 0.3 and hits[2, 2][1] == 0
+    books = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, author string")
+    assert {r.claim_id: r.semantic > 0 for r in verify(claims, chunks_, books, hashed=True).collect()} == {1: True, 2: False, 3: False, 4: False}
