@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ibidem.operators.chunk import paged_chunks
 from ibidem.operators.neighbours import numbered_on
+from ibidem.operators.versions import Versions
 
 from .catalog import search_documents
 
@@ -49,3 +52,46 @@ def ingest(books: DataFrame, target: str, batch: str, translations: DataFrame |
         made["vectors"] = write(vector_rows(chunks, vectors, translation_vectors), "vectors")
     made["books"] = write(books.drop("pages"), "books")  # last: a book is listed once its chunks are there
     return {name: df.count() for name, df in made.items()}
+
+
+TABLES = ("books", "chunks", "index", "vectors")
+
+
+def ingest_whole(versions: Versions, books: DataFrame, batch: str, translations: DataFrame | None = None, vectors: DataFrame | None = None, translation_vectors: DataFrame | None = None) -> dict[str, int]:
+    """SNK1 in one transaction: the tables of ingest() for a batch of books, each written apart and counted against what was to be
+    written, and then shown together by one new version. A writer that fails leaves the version before; a batch that is
+    repeated takes the place of what it held. Returns how many rows each table got."""
+    number, rows = versions.current()
+    made, counts = [], {}
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        path, counts[name] = versions.write(df, name)
+        made.append((name, 0, path, number + 1, batch))
+        return versions.read([path], df.schema)
+
+    chunks = write(book_chunks(books.select("doc_id", "pages")), "chunks")
+    write(search_documents(chunks, books, translations), "index")
+    if vectors is not None:
+        write(vector_rows(chunks, vectors, translation_vectors), "vectors")
+    write(books.drop("pages"), "books")
+    versions.publish(number, [tuple(r) for r in rows if r.facts != batch or r.kind not in TABLES] + made)
+    return counts
+
+
+def library(versions: Versions, name: str) -> DataFrame | None:
+    """All rows of a table in the current version."""
+    paths = [r.path for r in versions.current()[1] if r.kind == name]
+    return reduce(DataFrame.unionByName, [versions.read([p]) for p in paths]) if paths else None
+
+
+def rebuild(versions: Versions, name: str, rows: DataFrame, wanted: int | None = None) -> int:
+    """SNK12: a table made anew beside the old one, and swapped in once its count is as wanted (that of the old one, if no
+    number is given); else an error, and the old one stays. The count."""
+    number, held = versions.current()
+    old = library(versions, name)
+    wanted = wanted if wanted is not None or old is None else old.count()
+    path, n = versions.write(rows, name)
+    if wanted is not None and n != wanted:
+        raise ValueError(f"{name} has {n} rows made anew, not {wanted}")
+    versions.publish(number, [tuple(r) for r in held if r.kind != name] + [(name, 0, path, number + 1, "rebuilt")])
+    return n

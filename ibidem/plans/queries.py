@@ -17,10 +17,12 @@ from ibidem.operators.hashed_vectors import hashed_top
 from ibidem.operators.shared import fresh_folder
 from ibidem.operators.text_index import TextIndex
 from ibidem.operators.vector_index import VectorIndex
+from ibidem.operators.versions import Versions
 from ibidem.sources import html as H
 from ibidem.sources.files import spread, table
 
 from . import catalog as C
+from .ingest import ingest_whole, library
 from .registry import query
 from .verify import candidates, verify
 
@@ -153,6 +155,18 @@ def _(spark, sf_dir):
     return R.excerpts(hits, held, key).select("item_id", *key, "excerpt")
 
 
+@query("ingested_index", f"WITH {CHUNKS} SELECT concat(doc_id, '_', chunk) AS id, coalesce(CASE WHEN n_chars % 2 = 0 THEN upper(lang) END, source) AS title, source AS author, c.text FROM c JOIN documents USING (doc_id)")
+def _(spark, sf_dir):
+    """SNK1, PRJ1: the text index's documents after two batches, one of them repeated, each shown whole by a version."""
+    docs = table(spark, sf_dir, "documents")
+    pages = F.array(F.struct(F.lit(1).alias("page_number"), "text")).alias("pages")
+    books = docs.select("doc_id", F.col("source").alias("title"), F.when(F.col("n_chars") % 2 == 0, F.upper("lang")).alias("canonical_title"), F.col("source").alias("author"), "lang", pages)
+    held = Versions.create(spark, fresh_folder(spark))
+    for batch, wanted in (("others", F.col("lang") != "en"), ("english", F.col("lang") == "en"), ("others", F.col("lang") != "en")):
+        ingest_whole(held, books.where(wanted).drop("lang"), batch)
+    return library(held, "index").select("id", "title", "author", "text")
+
+
 DISTANCE = "list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 NEAR = f"""n1 AS (SELECT item_id, v.vec_id AS doc_id, round(greatest(0.0, 1 - {DISTANCE}), 6) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM n1)"""

@@ -8,7 +8,9 @@ from ibidem.functions.text import fold
 from ibidem.operators import neighbours as N
 from ibidem.operators import retrieval as R
 from ibidem.operators import tables as D
-from ibidem.plans.ingest import ingest
+from ibidem.operators.versions import Versions
+from ibidem.plans.ingest import ingest, ingest_whole, rebuild
+from ibidem.plans.ingest import library as shown
 from ibidem.plans.verify import retrieved, verify
 
 PASSAGE = "Quem planta figueiras ao lado do caminho colhe sombra para os viajantes e figos para os vizinhos"
@@ -134,6 +136,29 @@ def test_ingest(spark, tmp_path):
     assert {(r.chunk, r.page) for r in spark.read.parquet(f"{tmp_path}/chunks").collect()} == {(0, 1), (1, 2)}
 
 
+def test_ingest_whole(spark, tmp_path):
+    """A batch shows whole or not at all: a writer that fails half-way, after some tables, leaves the version before."""
+    pages = "array<struct<page_number:int,text:string>>"
+    books = spark.createDataFrame([(1, "raw", "Canon", "A", [(1, filler(300, 1)), (2, filler(300, 2))]), (2, "only raw", None, None, [(1, "")])], f"doc_id long, title string, canonical_title string, author string, pages {pages}")
+    held = Versions.create(spark, str(tmp_path / "library"))
+    assert shown(held, "books") is None
+    vectors = spark.createDataFrame([(1, 0, [1.0])], "doc_id long, chunk int, vector array<double>")
+    for _ in range(2):  # a repeated batch replaces itself
+        assert ingest_whole(held, books, "b1", None, vectors) == {"chunks": 2, "index": 2, "vectors": 1, "books": 2}
+    assert ingest_whole(held, books.where("doc_id = 1").withColumn("doc_id", F.lit(7).cast("long")), "b2")["chunks"] == 2
+    before, state = held.current()[0], {n: sorted(map(str, shown(held, n).collect())) for n in ("books", "chunks", "index", "vectors")}
+    assert len(state["chunks"]) == 4 and len(state["books"]) == 3
+    broken = vectors.withColumn("vector", F.when(F.col("chunk") == 0, F.raise_error(F.lit("lost")).cast("array<double>")).otherwise(F.col("vector")))
+    with pytest.raises(Exception, match="lost"):  # chunks and index have been written by then
+        ingest_whole(held, books, "b1", None, broken)
+    assert held.current()[0] == before and {n: sorted(map(str, shown(held, n).collect())) for n in state} == state
+    with pytest.raises(ValueError, match="made anew"):
+        rebuild(held, "index", shown(held, "index").limit(1))
+    assert held.current()[0] == before
+    assert rebuild(held, "index", shown(held, "index").withColumn("title", F.upper("title"))) == 4
+    assert {r.title for r in shown(held, "index").collect()} == {"CANON"} and shown(held, "books").count() == 3
+
+
 def test_similarity_is_that_of_the_best_candidate(spark, tables):
     """The flagship's similarity against difflib over the same windows."""
     from difflib import SequenceMatcher
