@@ -23,10 +23,10 @@ DIMS, GRAM = 1 << 16, 4
 
 
 def features(text: Column, gram: int = GRAM) -> Column:
-    """The grams of a text's words, with repeats."""
-    words = F.transform(F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.concat(F.lit("_"), w, F.lit("_")))
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - gram + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(gram)))
-    return F.flatten(F.transform(words, cut))
+    """The grams of a text's words, with repeats. Each word has a mark before and marks after, so that the shortest has a gram."""
+    after = "_" * (gram - 2)
+    marked = F.concat(F.lit("_"), F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", f"{after} _"), F.lit(after))
+    return F.regexp_extract_all(marked, F.lit(rf"(?=([^ ]{{{gram}}}))"), F.lit(1))
 
 
 def entries(rows: DataFrame, key: list[str], text: Column, dims: int = DIMS, gram: int = GRAM) -> DataFrame:

@@ -130,8 +130,8 @@ def _(spark, sf_dir):
     return index.top(items, "item_id", key, F.col("text"), 5)
 
 
-HASHED = r"""w AS (SELECT kind, id, list_transform(regexp_extract_all(FOLDED, '[\p{L}\p{N}]+'), lambda x: '_' || x || '_') AS ws FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark)),
-g AS (SELECT kind, id, f, count(*) AS tf FROM (SELECT kind, id, unnest(flatten(list_transform(ws, lambda x: list_transform(range(1, greatest(length(x) - 2, 2)), lambda i: substr(x, i, 4))))) AS f FROM w) GROUP BY ALL),
+HASHED = r"""w AS (SELECT kind, id, list_transform(regexp_extract_all(FOLDED, '[\p{L}\p{N}]+'), lambda x: '_' || x || '__') AS ws FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark)),
+g AS (SELECT kind, id, f, count(*) AS tf FROM (SELECT kind, id, unnest(flatten(list_transform(ws, lambda x: list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))))) AS f FROM w) GROUP BY ALL),
 h AS (SELECT kind, id, tf, CAST(concat('0x', substr(md5(f), 1, 8)) AS BIGINT) AS h FROM g),
 e AS (SELECT kind, id, h % 65536 AS place, sum(CASE WHEN (h // 65536) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM h GROUP BY ALL HAVING abs(v) > 1e-9),
 n AS (SELECT count(*) AS n FROM documents), i AS (SELECT place, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM e, n WHERE kind = 'd' GROUP BY place),

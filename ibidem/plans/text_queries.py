@@ -10,6 +10,7 @@ from ibidem.functions import metadata as M
 from ibidem.functions import text as T
 from ibidem.operators import neighbours as N
 from ibidem.operators.chunk import character_windows, markers
+from ibidem.operators.language_model import LanguageModel
 from ibidem.sources import html as H
 from ibidem.sources.files import spread, table
 
@@ -199,6 +200,26 @@ def _(spark, sf_dir):
     return rows.select("doc_id", "c.*", "kept", "english")
 
 
+HELD_OUT = "CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 = 1"
+
+
+@query("language_model", f"""WITH d AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}]+'), lambda x: '_' || x || '_') AS w FROM documents),
+g AS (SELECT doc_id, lang, held_out, unnest(flatten(list_transform(w, lambda x: list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))))) AS gram FROM d),
+t AS (SELECT gram, lang, count(*) AS n FROM g WHERE NOT held_out GROUP BY ALL), v AS (SELECT count(DISTINCT gram) AS v FROM t),
+l AS (SELECT lang, count(*) AS docs, ln(count(*) / (SELECT count(*) FROM d WHERE NOT held_out)) AS prior FROM d WHERE NOT held_out GROUP BY 1),
+b AS (SELECT lang, prior, (SELECT coalesce(sum(n), 0) FROM t WHERE t.lang = l.lang) + 0.5 * v AS below FROM l, v),
+s AS (SELECT doc_id, b.lang, any_value(prior) + coalesce(sum(c * ln((coalesce(t.n, 0) + 0.5) / below)), 0) AS score
+  FROM (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY ALL) x CROSS JOIN b LEFT JOIN t ON t.gram = x.gram AND t.lang = b.lang GROUP BY ALL),
+m AS (SELECT doc_id, arg_max(lang, score) AS detected FROM s GROUP BY 1)
+SELECT doc_id, held_out, coalesce(detected, (SELECT arg_max(lang, docs) FROM l)) AS detected FROM d LEFT JOIN m USING (doc_id)""")
+def _(spark, sf_dir):
+    """SC43: the language of every document by a model of the letters of two thirds of them."""
+    digest = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text", (digest % 3 == 1).alias("held_out"))
+    model = LanguageModel.learn(docs.where("not held_out"))
+    return model.tell(docs, "doc_id").join(docs.select("doc_id", "held_out"), "doc_id").select("doc_id", "held_out", "detected")
+
+
 LABELS = ["Latin e grego", "Português", "en/fr", "GREEK", "la + grc + la", "xx", " Alemão "]
 
 
