@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .shared import ship
+
 FORMS_A_PASS = 200_000
 #: Patterns that are plain forms, whole or not; others are regular expressions.
 WHOLE, PLAIN = r"^\\b([\p{L}\p{N}_](?:[\p{L}\p{N}_ ]*[\p{L}\p{N}_])?)\\b$", r"^([\p{L}\p{N}_ ]+)$"
@@ -62,6 +64,7 @@ def matches(texts: DataFrame, text: str, forms: list[tuple[str, bool, str]], nam
     """The rows of texts without the text, and the name of each form (form, whole, name) that it holds; a row for each name."""
     import uuid
 
+    ship(texts.sparkSession)
     others = [f for f in texts.schema.fields if f.name != text]
     schema = StructType([*others, StructField(name, StringType())])
     parts = []

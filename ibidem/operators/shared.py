@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,20 @@ def lexicon(df: DataFrame, most: int = 20_000) -> DataFrame:
     if not small(df, most):
         raise ValueError(f"a lexicon of more than {most} rows can't be compared with every text")
     return F.broadcast(df)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, for clusters where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ibidem_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="spark-"), "ibidem_code.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(out)
+    sc._ibidem_shipped = True

@@ -9,6 +9,7 @@ from ibidem.functions import evidence as E
 from ibidem.functions import language as L
 from ibidem.functions import metadata as M
 from ibidem.functions import text as T
+from ibidem.operators import id_sets as I
 from ibidem.operators import neighbours as N
 from ibidem.operators import retrieval as R
 from ibidem.operators import tables as D
@@ -167,6 +168,20 @@ def _(spark, sf_dir):
     return library(held, "index").select("id", "title", "author", "text")
 
 
+@query("ids_missing", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def _(spark, sf_dir):
+    """JN10 by bitmaps: documents without a vector."""
+    return I.missing(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+@query("store_coverage", """SELECT count(DISTINCT doc_id) AS n_ids, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) AS labels_has, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS labels_besides,
+  (SELECT count(DISTINCT vec_id) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS vectors_has, (SELECT count(DISTINCT vec_id) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS vectors_besides FROM documents""")
+def _(spark, sf_dir):
+    """AG18 by bitmaps: what two stores have of the documents."""
+    stores = {"labels": table(spark, sf_dir, "labels"), "vectors": table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")}
+    return I.coverage(table(spark, sf_dir, "documents"), stores, "doc_id")
+
+
 DISTANCE = "list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 NEAR = f"""n1 AS (SELECT item_id, v.vec_id AS doc_id, round(greatest(0.0, 1 - {DISTANCE}), 6) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM n1)"""

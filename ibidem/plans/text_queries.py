@@ -345,8 +345,11 @@ def _(spark, sf_dir):
 ANY_BLOCK = "|".join((*H.MORE_BLOCKS, "div"))
 
 
-@query("html_paragraphs", f"""WITH s AS (SELECT page_id, list_transform(string_split(regexp_replace({NO_CHROME}, '(?i)</?(?:{ANY_BLOCK})(?:\\s[^>]*)?>|<br\\s*/?>', chr(1), 'g'), chr(1)), lambda x: {COLLAPSED.format(DECODED("regexp_replace(x, '<[^>]+>', '', 'g')"))}) AS t FROM pages),
-f AS (SELECT page_id, list_filter(t, lambda x: x <> '') AS t FROM s) SELECT page_id, (unnest(generate_series(1, len(t))) - 1)::INT AS position, unnest(t) AS text FROM f""")
+PARAGRAPHS_SQL = f"""WITH s AS (SELECT page_id, list_transform(string_split(regexp_replace({NO_CHROME}, '(?i)</?(?:{ANY_BLOCK})(?:\\s[^>]*)?>|<br\\s*/?>', chr(1), 'g'), chr(1)), lambda x: {COLLAPSED.format(DECODED("regexp_replace(x, '<[^>]+>', '', 'g')"))}) AS t FROM pages),
+f AS (SELECT page_id, list_filter(t, lambda x: x <> '') AS t FROM s) SELECT page_id, (unnest(generate_series(1, len(t))) - 1)::INT AS position, unnest(t) AS text FROM f"""
+
+
+@query("html_paragraphs", PARAGRAPHS_SQL)
 def _(spark, sf_dir):
     """SRC9."""
     return H.paragraphs(table(spark, sf_dir, "pages"), "page_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ibidem.functions.text import collapse, decode_entities, squeeze_lines
+from ibidem.operators.shared import ship
 
 CHROME = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript")
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "blockquote")
@@ -65,50 +68,58 @@ def row_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return found.groupBy("href").agg(F.min(key).alias(key), F.max(F.get(years, F.size(years) - 1).cast("int")).alias("year"))
 
 
+class ParagraphReader(HTMLParser):
+    """The paragraphs of a page, by events of a parser that knows nesting."""
+
+    def __init__(self, least: int = 1):
+        super().__init__(convert_charrefs=True)
+        self.least, self.depth, self.parts, self.line = least, 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.line).split())
+        self.line.clear()
+        if len(text) >= self.least:
+            self.parts.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in CHROME:
+            self.depth += 1
+        elif tag in MORE_BLOCKS or tag in ("div", "br"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in CHROME:
+            self.depth = max(0, self.depth - 1)
+        elif tag in MORE_BLOCKS or tag == "div":
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.line.append(data)
+
+
+def paragraph_texts(page: str | None, least: int = 1) -> list[str]:
+    reader = ParagraphReader(least)
+    reader.feed(page or "")
+    reader.close()
+    reader.flush()
+    return reader.parts
+
+
 def paragraphs(pages: DataFrame, key: str, html: str = "html", least: int = 1) -> DataFrame:
-    """SRC9: key, position, text of paragraphs by an event parser that knows nesting; a UDF over Arrow batches."""
-    def work(batches):
-        from html.parser import HTMLParser
+    """SRC9: key, position, text of paragraphs; a UDF over Arrow batches."""
+    ship(pages.sparkSession)
 
+    def work(batches):
         import pyarrow as pa
 
-        class Reader(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.depth, self.parts, self.line = 0, [], []
-
-            def flush(self):
-                text = " ".join("".join(self.line).split())
-                self.line.clear()
-                if len(text) >= least:
-                    self.parts.append(text)
-
-            def handle_starttag(self, tag, attrs):
-                if tag in CHROME:
-                    self.depth += 1
-                elif tag in MORE_BLOCKS or tag in ("div", "br"):
-                    self.flush()
-
-            def handle_endtag(self, tag):
-                if tag in CHROME:
-                    self.depth = max(0, self.depth - 1)
-                elif tag in MORE_BLOCKS or tag == "div":
-                    self.flush()
-
-            def handle_data(self, data):
-                if not self.depth:
-                    self.line.append(data)
-
         for batch in batches:
             keys, places, texts = [], [], []
             for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader = Reader()
-                reader.feed(page or "")
-                reader.close()
-                reader.flush()
-                keys += [k] * len(reader.parts)
-                places += range(len(reader.parts))
-                texts += reader.parts
+                parts = paragraph_texts(page, least)
+                keys += [k] * len(parts)
+                places += range(len(parts))
+                texts += parts
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.types[0]), pa.array(places, pa.int32()), pa.array(texts, pa.string())], [key, "position", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
