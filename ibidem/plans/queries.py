@@ -422,13 +422,13 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey").join(counts, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n_chunks"), F.coalesce("q", F.lit(0.0)).alias("size"))
 
 
-@query("reconcile_status", """WITH r AS (SELECT doc_id % 100 AS k, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT doc_id % 100 AS k, count(*) AS n FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 100 < 50 GROUP BY 1), v AS (SELECT vec_id % 110 AS k, count(*) AS n FROM embeddings GROUP BY 1)
+@query("reconcile_status", """WITH r AS (SELECT doc_id % 100 AS k, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT doc_id % 100 AS k, count(*) AS n FROM documents WHERE lang <> 'es' OR n_chars > 1000 GROUP BY 1), v AS (SELECT vec_id % 110 AS k, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT k, coalesce(r.n, 0) AS n_rows, coalesce(t.n, 0) AS n_text, coalesce(v.n, 0) AS n_vectors,
   CASE WHEN coalesce(r.n, 0) = 0 THEN 'no_chunks' WHEN coalesce(t.n, 0) < r.n THEN 'text_incomplete' WHEN coalesce(v.n, 0) < r.n THEN 'vectors_incomplete' WHEN t.n > r.n OR v.n > r.n THEN 'surplus' ELSE 'done' END AS status
 FROM r FULL JOIN t USING (k) FULL JOIN v USING (k)""")
 def _(spark, sf_dir):
     docs, k = table(spark, sf_dir, "documents"), (F.col("doc_id") % 100).alias("k")
-    return D.reconciled(docs.select(k), docs.where("doc_id % 7 <> 0 or doc_id % 100 < 50").select(k), table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 110).alias("k")), "k")
+    return D.reconciled(docs.select(k), docs.where("lang <> 'es' or n_chars > 1000").select(k), table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 110).alias("k")), "k")
 
 
 @query("inventory_rollup", "SELECT p_type, p_brand, count(*) AS n, sum(p_size)::BIGINT AS total, GROUPING_ID(p_type, p_brand)::INT AS level FROM part GROUP BY GROUPING SETS ((p_type), (p_brand), ())")
@@ -594,11 +594,11 @@ def _(spark, sf_dir):
     return D.languages_rollup(table(spark, sf_dir, "documents"), "source", "lang")
 
 
-@query("upsert_books", "SELECT coalesce(n.p_partkey, o.p_partkey) AS p_partkey, coalesce(n.p_name, o.p_name) AS p_name, coalesce(n.p_size, o.p_size) AS p_size FROM (SELECT * FROM part WHERE p_partkey % 3 <> 0) o FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) END AS p_name, p_size + 1 AS p_size FROM part WHERE p_partkey % 2 = 0) n ON n.p_partkey = o.p_partkey")
+@query("upsert_books", "SELECT coalesce(n.p_partkey, o.p_partkey) AS p_partkey, coalesce(n.p_name, o.p_name) AS p_name, coalesce(n.p_size, o.p_size) AS p_size FROM (SELECT * FROM part WHERE p_size > 15) o FULL JOIN (SELECT p_partkey, CASE WHEN p_size < 25 THEN upper(p_name) END AS p_name, p_size + 1 AS p_size FROM part WHERE p_retailprice > 1000) n ON n.p_partkey = o.p_partkey")
 def _(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    new = part.where("p_partkey % 2 = 0").select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.upper("p_name")).alias("p_name"), (F.col("p_size") + 1).alias("p_size"))
-    return D.upsert(part.where("p_partkey % 3 <> 0"), new, ["p_partkey"])
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    new = part.where("p_retailprice > 1000").select("p_partkey", F.when(F.col("p_size") < 25, F.upper("p_name")).alias("p_name"), (F.col("p_size") + 1).alias("p_size"))
+    return D.upsert(part.where("p_size > 15").drop("p_retailprice"), new, ["p_partkey"])
 
 
 @query("delete_cascade", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
@@ -658,26 +658,26 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", M.gated(F.col("o_totalprice"), plan, 3).alias("price"), M.plan_rank(plan).cast("long").alias("rank"))
 
 
-@query("insert_absent", "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 1 FROM customer WHERE c_custkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey % 2 = 0 AND o.c_custkey = customer.c_custkey + 1)")
+@query("insert_absent", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey + 1 FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_acctbal > 0 AND o.c_custkey = customer.c_custkey + 1)")
 def _(spark, sf_dir):
-    ids = table(spark, sf_dir, "customer").select("c_custkey")
-    return D.insert_absent(ids.where("c_custkey % 2 = 0"), ids.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1).alias("c_custkey")), ["c_custkey"])[0]
+    held = table(spark, sf_dir, "customer")
+    return D.insert_absent(held.where("c_acctbal > 0").select("c_custkey"), held.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 1).alias("c_custkey")), ["c_custkey"])[0]
 
 
-@query("path_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 2 = 0 THEN 'ok' ELSE 'fixed' END AS outcome FROM part) GROUP BY 1")
+@query("path_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_size > 40 THEN 'missing' WHEN p_retailprice > 1000 THEN 'ok' ELSE 'fixed' END AS outcome FROM part) GROUP BY 1")
 def _(spark, sf_dir):
     """SNK15: paths of which some have moved and some are gone."""
-    part, name = table(spark, sf_dir, "part").select("p_partkey"), F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf"))
+    part, name = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf"))
     files = part.select(F.concat(F.lit("a/"), name).alias("path"))
-    listing = part.where("p_partkey % 5 <> 0").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "a/").otherwise("b/"), name).alias("path"))
+    listing = part.where("p_size <= 40").select(F.concat(F.when(F.col("p_retailprice") > 1000, "a/").otherwise("b/"), name).alias("path"))
     return D.path_outcomes(files, listing).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("known_names", "SELECT s_suppkey, lower(s_name) IN (SELECT lower(replace(c_name, 'Customer', 'Supplier')) FROM customer WHERE c_custkey % 2 = 0) AS known FROM supplier")
+@query("known_names", "SELECT s_suppkey, lower(s_name) IN (SELECT lower(replace(c_name, 'Customer', 'Supplier')) FROM customer WHERE c_acctbal > 0) AS known FROM supplier")
 def _(spark, sf_dir):
     """JN21: names flagged that are known under a normal form."""
     t = lambda n: table(spark, sf_dir, n)
-    known = t("customer").where("c_custkey % 2 = 0").select(T.fold(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("k")).distinct().withColumn("known", F.lit(True))
+    known = t("customer").where("c_acctbal > 0").select(T.fold(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("k")).distinct().withColumn("known", F.lit(True))
     return t("supplier").join(known, T.fold(F.col("s_name")) == F.col("k"), "left").select("s_suppkey", F.coalesce("known", F.lit(False)).alias("known"))
 
 

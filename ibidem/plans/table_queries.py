@@ -128,11 +128,11 @@ def _(spark, sf_dir):
     return D.choices(table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
-@query("insert_rejected", "SELECT c_custkey + 1 AS c_custkey FROM customer WHERE c_custkey % 3 = 0 AND EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey % 2 = 0 AND o.c_custkey = customer.c_custkey + 1)")
+@query("insert_rejected", "SELECT c_custkey + 1 AS c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM customer o WHERE o.c_acctbal > 0 AND o.c_custkey = customer.c_custkey + 1)")
 def _(spark, sf_dir):
     """SNK6: the rows that an insert turns away."""
-    ids = table(spark, sf_dir, "customer").select("c_custkey")
-    return D.insert_absent(ids.where("c_custkey % 2 = 0"), ids.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1).alias("c_custkey")), ["c_custkey"])[1]
+    held = table(spark, sf_dir, "customer")
+    return D.insert_absent(held.where("c_acctbal > 0").select("c_custkey"), held.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 1).alias("c_custkey")), ["c_custkey"])[1]
 
 
 @query("delete_parents", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
@@ -213,11 +213,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.is_digital(pages).alias("digital"), F.size(S.form_pages(F.regexp_replace("html", "<p>", "\f"), F.lit(12))).cast("long").alias("n_pages"))
 
 
-@query("unread_pages", "SELECT page_id FROM pages WHERE sha1(html) NOT IN (SELECT sha1(html) FROM pages WHERE page_id < 20)")
+@query("unread_pages", "SELECT page_id FROM pages WHERE sha1(html) NOT IN (SELECT sha1(html) FROM pages WHERE contains(url, '/en/'))")
 def _(spark, sf_dir):
     """SRC5: pages that a content-addressed cache doesn't hold."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.sha1("html").alias("sha1"))
-    return S.unread(rows, rows.where("page_id < 20"), "sha1").select("page_id")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.sha1("html").alias("sha1"))
+    return S.unread(rows, rows.where(F.col("url").contains("/en/")), "sha1").select("page_id")
 
 
 @query("inventory_report", """SELECT '{' || '"lang":[' || (SELECT string_agg('{"name":"' || lang || '","n":' || n || ',"bytes":' || b || '}', ',' ORDER BY n DESC, lang) FROM (SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS b FROM documents GROUP BY 1)) || ']}' AS report""")
