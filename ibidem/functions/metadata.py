@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,22 @@ def translator(text: Column) -> Column:
     return F.when((F.length(cut) >= 5) & ~F.lower(cut).rlike(r"unknown|anonymous|copyright"), cut)
 
 
-PUBLISHERS = {"Paulus": r"\bpaulus\b", "Loyola": r"\bloyola\b", "Oxford University Press": r"oxford university", "Brepols": r"\bbrepols\b", "Migne": r"\bmigne\b"}
+#: SC57. Publishers in the order in which they're sought, with the folded forms that tell them, as whole words.
+PUBLISHERS = {
+    "Paulus": ("paulus",), "Loyola": ("editora loyola", "edicoes loyola", "loyola editora"), "Vozes": ("vozes",), "Paulinas": ("paulinas",), "Ecclesiae": ("ecclesiae",),
+    "Editora Família Católica": ("familia catolica",), "Apostolado Sociedade Católica": ("apostolado sociedade catolica",), "Realeza": ("realeza",), "Quadrante": ("quadrante",),
+    "Cultor de Livros": ("cultor de livros",), "Permanência": ("permanencia",), "Cristo Rei": ("cristo rei",), "Cléofas": ("cleofas",), "Molokai": ("molokai",), "Santuário": ("santuario",),
+}
+
+
+def publisher_rules() -> dict[str, str]:
+    """A pattern on folded text for each publisher."""
+    return {name: r"\b(?:" + "|".join(forms) + r")\b" for name, forms in PUBLISHERS.items()}
 
 
 def publisher(text: Column) -> Column:
     """SC57."""
-    return first_rule(F.lower(text), PUBLISHERS)
+    return first_rule(fold(text), publisher_rules())
 
 
 def publisher_label_ok(label: Column) -> Column:
@@ -87,12 +99,39 @@ def path_metadata(path: Column) -> Column:
     )
 
 
-PRAYERS = {"marian": r"\b(mary|maria|rosary|rosario|ave)\b", "eucharist": r"\b(eucharist|eucaristia|communion)\b", "saints": r"\b(saint|santo|santa|sao)\b", "daily": r"\b(morning|evening|manha|noite)\b"}
-
-
-def prayer_kind(text: Column) -> Column:
-    """SC66."""
-    return F.coalesce(first_rule(fold(text), PRAYERS), F.lit("other"))
+#: SC66. Groups of prayers in the order in which they're sought, with keywords of folded titles, within words too;
+#: those of BASE are whole titles.
+PRAYERS = (
+    ("NOV", ("novena", "triduo", "decenario", "trintena")),
+    ("VIACR", ("via-sacra", "via sacra", "sete palavras", "cruz", "sagrada face")),
+    ("SEQ", ("sequencia", "te deum", "gloria a deus nas alturas", "ritos iniciais")),
+    ("EUCA", ("eucarist", "sacramentado", "santissimo", "alma de cristo", "comunhao", "missa", "acolito", "corpus christi", "preciosissimo sangue", "sangue de jesus", "santas chagas", "chagas")),
+    ("ESP", ("espirito santo", "pentecostes", "veni creator", "vem, espirito", "sabedoria de salomao", "divino espirito")),
+    ("DOUT", (
+        "santo agostinho", "santo afonso", "santo alberto", "santo ambrosio", "santo anselmo", "santo atanasio", "santo efram", "santo efrem", "santo hilario", "santo irineu", "sao basilio",
+        "sao bernardo", "sao boaventura", "sao cirilo", "sao gregorio", "sao jeronimo", "sao joao crisostomo", "sao joao da cruz", "sao joao damasceno", "sao joao de avila", "sao leao magno",
+        "sao lourenco de brindisi", "sao pedro crisologo", "sao pedro damiao", "sao roberto belarmino", "sao tomas de aquino", "santa catarina de sena", "santa hildegarda", "santa teresa de avila",
+        "tarde te amei", "gregorio de narek",
+    )),
+    ("BIBLIA", ("biblia", "evangelho", "padre jonas", "palavra de deus", "prologo do evangelho")),
+    ("DIARIA", ("oracao da manha", "oracao da noite", "oferecimento do dia", "exame de consciencia", "ato de contricao", "confissao")),
+    ("BASE", ("ave-maria", "ave maria", "creio", "gloria ao pai", "o credo niceno-constantinopolitano", "oracao do creio", "pai-nosso", "pai nosso", "persignacao", "santo anjo do senhor")),
+    ("JOSE", ("sao jose", "pai adotivo de jesus", "jose dormindo", "coracao de sao jose")),
+    ("MARIA", (
+        "nossa senhora", "maria,", "maria santissima", "mariano", "mariana", "rosario", "salve-rainha", "salve rainha", "angelus", "magnificat", "imaculada", "aparecida", "fatima", "lourdes", "carmo",
+        "perpetuo socorro", "desatadora", "pieta", "virgem", "auxiliadora", "desterro", "guadalupe", "nazare",
+    )),
+    ("SANTOS", ("sao luigi maria",)),
+    ("SANTAS", ("santa ", "santas ", "nha chica", "madre teresa", "teresinha", "rita", "clara", "gianna", "edwiges", "luzia", "margarida", "paulina", "dulce")),
+    ("SANTOS", ("sao ", "santo ", "santos ", "arcanjo", "anjo da guarda", "anjos", "beato", "padre pio", "carlo acutis", "pier giorgio")),
+)
+
+
+def prayer_kind(title: Column) -> Column:
+    """SC66: the group of the first keyword that a title has, DIV if it has none."""
+    plain = fold(title)
+    told = [F.when(plain.isin(*words) if code == "BASE" else reduce(lambda a, b: a | b, [plain.contains(w) for w in words]), code) for code, words in PRAYERS]
+    return F.coalesce(*told, F.lit("DIV"))
 
 
 #: SC68. Keywords by which a request's task is told, within words too.

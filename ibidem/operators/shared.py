@@ -24,8 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A path under the shared folder that nothing else is written to."""
-    return f"{shared_folder(spark).rstrip('/')}/ibidem-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else is written to. clear() deletes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/ibidem-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this application's operators have kept between steps, once its results have been saved; how many
+    there were. Frames that still read from there can't be used any more."""
+    held, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        top = held(path)
+        n += bool(top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(top, True))
+    return n
 
 
 def written(df: DataFrame) -> DataFrame:

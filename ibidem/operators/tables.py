@@ -98,11 +98,14 @@ def multi_label(rows: DataFrame, text: Column, tabs: dict[str, str], rest: str =
     return rows.withColumn("tab", F.explode(F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(rest)))))
 
 
-def accuracy(rows: DataFrame, expected: Column, status: Column, positive: list[str], uncertain: list[str]) -> DataFrame:
-    """AG20: top-1, top-3 (with uncertain outcomes) among the genuine, and false positives among the others."""
+def accuracy(rows: DataFrame, expected: Column, status: Column, positive: list[str], uncertain: list[str], context: Column | None = None, seconds: Column | None = None) -> DataFrame:
+    """AG20: top-1 and top-3 (with uncertain outcomes) among the genuine, false positives and uncertain ones among the others; the
+    share of positive outcomes whose neighbours confirm them, if a context is given, and the mean time, if one is."""
     right, near = status.isin(*positive), status.isin(*positive, *uncertain)
     share = lambda c, of: F.round(F.count_if(c & of) / F.nullif(F.count_if(of), F.lit(0)), 6)
-    return rows.agg(F.count("*").alias("n"), share(right, expected).alias("top1"), share(near, expected).alias("top3"), share(right, ~expected).alias("false_positive"))
+    more = [] if context is None else [share(context, right).alias("context_rate")]
+    more += [] if seconds is None else [F.round(F.avg(seconds), 6).alias("mean_seconds")]
+    return rows.agg(F.count("*").alias("n"), share(right, expected).alias("top1"), share(near, expected).alias("top3"), share(right, ~expected).alias("false_positive"), share(status.isin(*uncertain), ~expected).alias("uncertain"), *more)
 
 
 def languages_rollup(files: DataFrame, key: str, language: str = "language") -> DataFrame:

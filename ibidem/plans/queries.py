@@ -24,7 +24,7 @@ from ibidem.sources.files import spread, table
 
 from . import catalog as C
 from .ingest import ingest_whole, library
-from .registry import query
+from .registry import ORACLES, query
 from .verify import candidates, verify
 
 FOLD = "lower(trim(regexp_replace(strip_accents({0}), '\\s+', ' ', 'g')))"
@@ -543,17 +543,19 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", L.classify_book(group, label, F.col("doc_id") % 2 == 0).alias("c")).select("doc_id", "c.*")
 
 
-@query("accuracy_metrics", f"""WITH v AS ({LEXICAL}), {EXACT}, r AS (SELECT code, claim_id IN (SELECT item_id FROM x1) AS genuine FROM v)
-SELECT count(*) AS n, round(count(*) FILTER (genuine AND code IN ('CONFIRMADA_EXATA')) / count(*) FILTER (genuine), 6) AS top1, round(count(*) FILTER (genuine AND code IN ('CONFIRMADA_EXATA', 'ATRIBUICAO_DUVIDOSA')) / count(*) FILTER (genuine), 6) AS top3,
-  round(count(*) FILTER (NOT genuine AND code IN ('CONFIRMADA_EXATA')) / count(*) FILTER (NOT genuine), 6) AS false_positive FROM r""")
+@query("accuracy_metrics", f"""WITH v AS ({ORACLES["verify_reference"]}), {EXACT}, r AS (SELECT label = 'Confirmada (exata)' AS pos, label = 'Atribuição duvidosa' AS unsure, coalesce(risk = 'low', false) AS context, claim_id IN (SELECT item_id FROM x1) AS genuine FROM v)
+SELECT count(*) AS n, round(count(*) FILTER (genuine AND pos) / count(*) FILTER (genuine), 6) AS top1, round(count(*) FILTER (genuine AND (pos OR unsure)) / count(*) FILTER (genuine), 6) AS top3,
+  round(count(*) FILTER (NOT genuine AND pos) / count(*) FILTER (NOT genuine), 6) AS false_positive, round(count(*) FILTER (NOT genuine AND unsure) / count(*) FILTER (NOT genuine), 6) AS uncertain,
+  round(count(*) FILTER (pos AND context) / nullif(count(*) FILTER (pos), 0), 6) AS context_rate FROM r""")
 def _(spark, sf_dir):
-    """AG20: the verdicts of verify_lexical, held against whether a document contains the item at all."""
+    """AG20: verdicts without string similarity, held against whether a document contains the item at all, and how many of the
+    positive ones their neighbours don't put in doubt."""
     docs = table(spark, sf_dir, "documents")
     found = verify(_claims(spark, sf_dir), chunks(spread(docs.select("doc_id", "text"))), docs.select("doc_id", F.col("source").alias("author")), similarity=False)
     folded = lambda name: spread(table(spark, sf_dir, name)).withColumn("f", T.fold(F.col("text")))
     held = R.containing(folded("benchmark").withColumnRenamed("f", "q"), folded("documents").select("doc_id", "f"), "item_id", ["doc_id"], "q", "f").select(F.col("item_id").alias("claim_id")).distinct().withColumn("genuine", F.lit(True))
-    rows = found.select("claim_id", "code").join(held, "claim_id", "left")
-    return D.accuracy(rows, F.coalesce("genuine", F.lit(False)), F.col("code"), ["CONFIRMADA_EXATA"], ["ATRIBUICAO_DUVIDOSA"])
+    rows = found.select("claim_id", "code", F.coalesce(F.col("reference.risk") == "low", F.lit(False)).alias("context")).join(held, "claim_id", "left")
+    return D.accuracy(rows, F.coalesce("genuine", F.lit(False)), F.col("code"), ["CONFIRMADA_EXATA"], ["ATRIBUICAO_DUVIDOSA"], F.col("context"))
 
 
 @query("history_page", "SELECT event_id, user_id, event_type, (SELECT count(*) FROM events) AS total FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")

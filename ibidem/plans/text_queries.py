@@ -143,7 +143,10 @@ def _(spark, sf_dir):
 ASCII = "regexp_replace(lower(text), '[^ -~]', 'x', 'g')"
 
 
-@query("text_rules", f"""SELECT doc_id, {first_of("lower(text)", M.DOCUMENT_KINDS, "'other'")} AS kind, {first_of("lower(text)", M.PUBLISHERS)} AS publisher, {first_of("strip_accents(lower(text))", M.PRAYERS, "'other'")} AS prayer,
+PRAYER_SQL = "CASE " + " ".join(f"WHEN {FOLD.format('text')} IN ({', '.join(map(quoted, ws))}) THEN '{c}'" if c == "BASE" else f"WHEN len(list_filter([{', '.join(map(quoted, ws))}], lambda k: contains({FOLD.format('text')}, k))) > 0 THEN '{c}'" for c, ws in M.PRAYERS) + " ELSE 'DIV' END"
+
+
+@query("text_rules", f"""SELECT doc_id, {first_of("lower(text)", M.DOCUMENT_KINDS, "'other'")} AS kind, {first_of(FOLD.format("text"), M.publisher_rules())} AS publisher, {PRAYER_SQL} AS prayer,
   CASE {' '.join(f"WHEN contains(lower(text), '{w}') THEN '{k}'" for k, ws in M.ROUTES.items() for w in ws)} ELSE 'general' END AS task, nullif(regexp_extract({ASCII}, '\\b(?:vol(?:ume)?|tom(?:e|o)?|t)[. ]*0*([0-9]{{1,3}})\\b', 1), '')::INT AS volume,
   coalesce(len(list_intersect(list_distinct(string_split(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ')), {list(M.BRAZILIAN)!r})) >= 3, false) AS brazilian FROM documents""")
 def _(spark, sf_dir):

@@ -56,7 +56,8 @@ def test_fold(spark, text):
     (M.publisher, "Paulus, São Paulo", "Paulus"),
     (M.paragraph_kind, "CANON FIRST", "heading"),
     (M.noise_paragraph, "Home > News > Today", True),
-    (M.prayer_kind, "Ave Maria", "marian"),
+    (M.prayer_kind, "Ave Maria", "BASE"), (M.prayer_kind, "Novena da Ave Maria", "NOV"), (M.prayer_kind, "Oração a São José", "JOSE"), (M.prayer_kind, "Santa Rita", "SANTAS"), (M.prayer_kind, "São Bento", "SANTOS"), (M.prayer_kind, "x", "DIV"),
+    (M.publisher, "Edições  Loyola, 1999", "Loyola"), (M.publisher, "Loyola", None), (M.publisher, "Família Católica", "Editora Família Católica"),
     (M.route, "importar este arquivo", "ingest"), (M.route, "Quem disse isto?", "verify"), (M.route, "hello", "general"), (M.pope, "Carta de João Paulo II", "John Paul II"), (M.pope, "Paulus VI", "Paul VI"),
     (M.route, "Implante", "ingest"),  # a short key within a word
 ])

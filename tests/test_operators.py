@@ -132,3 +132,11 @@ def test_stream_equals_batch(spark, tables):
     q.stop()
     batch = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "30 days")["start"].alias("start"), F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
     assert rows(spark.table("monthly")) == rows(batch)
+
+
+def test_clear(spark):
+    from ibidem.operators import shared
+
+    kept = shared.written(spark.range(3))
+    assert kept.count() == 3 and shared.clear(spark) >= 1
+    assert shared.clear(spark) == 0
