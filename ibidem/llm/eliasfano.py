@@ -23,6 +23,8 @@ from .common import file_system, materialize, scratch, ship
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
+#: Numbers of task and shard in a file's name.
+PART = r"shard-(\d+)-(\d+)\.eft"
 HEADER = struct.Struct("<8sQQQqB")  # magic, documents, null doc_ids, ids, least doc_id, bytes an id
 SEQUENCE = struct.Struct("<QQB")  # values, bytes of the high part, low bits a value
 
@@ -206,8 +208,13 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     held = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.eft").load(path)
     held = held.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     rows = materialize(held.mapInArrow(work, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "documents")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, of which a task wrote a few
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Bases: a file follows those of its task, and a task's files those of the tasks before; one row for each task is added up.
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.regexp_extract("file", PART, 1).cast("long"))
+    files = materialize(files.withColumn("shard", F.regexp_extract("file", PART, 2).cast("long")), "files")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n").over(before(Window.partitionBy("part").orderBy("shard"))), F.lit(0))
+    files = files.withColumn("own", own).join(F.broadcast(parts), "part").select("file", (F.col("base") + F.col("own")).alias("base"))
     return rows.join(files, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
