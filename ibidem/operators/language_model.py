@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ibidem.functions.language import code_of, is_latin, script_of
+
 from .shared import small, written
 
 ALPHA, MOST_GRAMS = 0.5, 1_000_000
@@ -55,3 +57,13 @@ class LanguageModel:
         every = F.array(*[F.struct(F.col(f"_{i}").alias("log"), F.lit(-i).alias("order"), F.lit(x).alias("lang")) for i, x in enumerate(self.languages)])
         best = F.array_max(every)
         return sums.select(key, best["lang"].alias("detected"), (1 / F.aggregate(every, F.lit(0.0), lambda a, x: a + F.exp(x["log"] - best["log"]))).alias("certainty"))
+
+    def cascade(self, texts: DataFrame, key: str, text: str = "text", hint: str | None = None) -> DataFrame:
+        """SC43, SC44: key, detected, certainty: a hint, else the script (0.90), else Latin (0.85), else the model with its own
+        certainty; only texts that none of the first three tells are cut into trigrams."""
+        hinted = F.nullif(code_of(F.col(hint)), F.lit("")) if hint else F.lit(None).cast("string")
+        script, latin = script_of(F.col(text)), F.when(is_latin(F.col(text)), "la")
+        sure = F.when(hinted.isNotNull(), 1.0).when(script.isNotNull(), 0.90).when(latin.isNotNull(), 0.85)
+        first = texts.select(key, F.col(text).alias("_text"), F.coalesce(hinted, script, latin).alias("detected"), sure.alias("certainty"))
+        told = self.tell(first.where("detected is null"), key, "_text")
+        return first.where("detected is not null").select(key, "detected", "certainty").unionByName(told)

@@ -41,3 +41,11 @@ def test_held_out(spark):
         profile = rows.select(F.avg(F.coalesce(profile_of(F.col("text")) == F.col("lang"), F.lit(False)).cast("int"))).first()[0]
         print(told, profile)
         assert told >= least and told >= profile
+
+
+def test_cascade(spark):
+    model = LanguageModel.learn(spark.createDataFrame([("en", "the cat and the dog"), ("de", "der hund und die katze")], "lang string, text string"))
+    rows = [(1, "der hund", "English"), (2, "ἀρχή λόγος", None), (3, "et in non est sed qui per quod", None), (4, "die katze", None), (5, "the dog", "")]
+    got = {r.id: (r.detected, r.certainty) for r in model.cascade(spark.createDataFrame(rows, "id long, text string, hint string"), "id", hint="hint").collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "en", 2: "grc", 3: "la", 4: "de", 5: "en"}
+    assert got[1][1] == 1 and got[2][1] == 0.9 and got[3][1] == 0.85 and 0.5 < got[4][1] <= 1
