@@ -232,8 +232,11 @@ def deduplicate(docs: DataFrame, threshold: int = 2, most: int = 256, most_keys:
     of = _rooted(marked.withColumnRenamed("_id", "doc_id"), threshold, most).select("fp", "root")
     known = materialize(marked.join(of, "fp").groupBy("root", "fp", *keys).agg(F.count("*").alias("n")), "rows")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "fp", "_x", "_y")
-    chosen = known.groupBy(F.col("root").alias("_root")).agg(F.min(order).alias("_best"))
-    told = known.join(chosen, F.col("root") == F.col("_root")).withColumn("_stays", order == F.col("_best"))
+    best = known.groupBy("root").agg(F.min(order).alias("_best")).select(*[F.col(f"_best.{n}").alias(f"_best{n}") for n in keys], F.lit(True).alias("_stays"))
+    same_key = F.col("_x") == F.col("_best_x")  # by key, not by root, which a third of all rows may have
+    for n in ("_y", "_id"):
+        same_key = same_key & F.col(n).eqNullSafe(F.col(f"_best{n}"))
+    told = known.join(best, same_key, "left").withColumn("_stays", F.coalesce("_stays", F.lit(False)))
     named = [F.col(n).alias(f"_of{n}") for n in keys]
     marks = materialize(told.where("not _stays or n > 1").select(*named, "_stays"), "marks")
     marks = F.broadcast(marks) if marks.count() <= most_keys else marks
