@@ -294,11 +294,12 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
 def leave_out(root: Node) -> None:
     """Decides by density sums which of the marked nodes are parts of the page, to be left out, and which are wrappers."""
     order = _order(root)
-    own: dict[int, int] = {}  # characters outside links below a node
-    for x in reversed(order):
-        own[id(x)] = 0 if x.name == "a" else sum(_length(y) if isinstance(y, str) else own.get(id(y), 0) for y in x.parts)
-        if x.kind == NAMED:
-            x.kind = PLAIN if own[id(x)] >= ENOUGH else MARKED
+    if any(x.kind == NAMED for x in order):
+        own: dict[int, int] = {}  # characters outside links below a node
+        for x in reversed(order):
+            own[id(x)] = 0 if x.name == "a" else sum(_length(y) if isinstance(y, str) else own.get(id(y), 0) for y in x.parts)
+            if x.kind == NAMED:
+                x.kind = PLAIN if own[id(x)] >= ENOUGH else MARKED
     order = weigh(root)
     if all(x.kind == PLAIN for x in order):
         return
