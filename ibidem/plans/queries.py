@@ -666,12 +666,12 @@ def _(spark, sf_dir):
     return D.insert_absent(held.where("c_acctbal > 0").select("c_custkey"), held.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 1).alias("c_custkey")), ["c_custkey"])[0]
 
 
-@query("path_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_size > 40 THEN 'missing' WHEN p_retailprice > 1000 THEN 'ok' ELSE 'fixed' END AS outcome FROM part) GROUP BY 1")
+@query("path_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_size > 40 THEN 'missing' WHEN p_size > 20 THEN 'ok' ELSE 'fixed' END AS outcome FROM part) GROUP BY 1")
 def _(spark, sf_dir):
     """SNK15: paths of which some have moved and some are gone."""
-    part, name = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf"))
+    part, name = table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf"))
     files = part.select(F.concat(F.lit("a/"), name).alias("path"))
-    listing = part.where("p_size <= 40").select(F.concat(F.when(F.col("p_retailprice") > 1000, "a/").otherwise("b/"), name).alias("path"))
+    listing = part.where("p_size <= 40").select(F.concat(F.when(F.col("p_size") > 20, "a/").otherwise("b/"), name).alias("path"))
     return D.path_outcomes(files, listing).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
