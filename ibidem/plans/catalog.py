@@ -99,10 +99,11 @@ def alias_books(saints: DataFrame, books: DataFrame, text: str = "text") -> Data
 
 
 def editions(files: DataFrame, key: str) -> DataFrame:
-    """JN25: per book its files by volume, distinct editions, and flags of risk."""
-    out = files.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("volume", F.lit(9999)).alias("volume"), "file"))).alias("files"), F.sort_array(F.collect_set("edition")).alias("editions"))
-    flags = F.filter(F.array(F.when(F.size("editions") > 1, "several editions"), F.when(F.size("editions") == 0, "no edition"), F.when(F.exists("files", lambda f: f["volume"] == 9999), "volume unknown")), lambda x: x.isNotNull())
-    return out.withColumn("risks", flags)
+    """JN25: per book its files by volume (unknown ones, as 9999, last), distinct editions, and flags of risk."""
+    place = F.struct(F.col("volume").isNull().alias("unknown"), F.coalesce("volume", F.lit(9999)).alias("volume"), "file")
+    out = files.groupBy(key).agg(F.array_sort(F.collect_list(place)).alias("files"), F.sort_array(F.collect_set("edition")).alias("editions"))
+    flags = F.filter(F.array(F.when(F.size("editions") > 1, "several editions"), F.when(F.size("editions") == 0, "no edition"), F.when(F.exists("files", lambda f: f["unknown"]), "volume unknown")), lambda x: x.isNotNull())
+    return out.withColumn("risks", flags).withColumn("files", F.transform("files", lambda f: f.dropFields("unknown")))
 
 
 def expected_rows(spark, expected: list[tuple], schema: str, actual: DataFrame, key: str, missing: str = "not_imported") -> DataFrame:
