@@ -24,6 +24,12 @@ def extract(text: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
 
 
+def one_run(text: Column) -> Column:
+    """A text with an x for every sign that isn't printable ASCII, line ends too: such a sign is a word's sign, so a number beside
+    it doesn't stand alone."""
+    return F.regexp_replace(text, r"[^ -~]", "x")
+
+
 def first_year(text: Column) -> Column:
     """SC58."""
     return extract(text, r"\b(1[0-9]{3}|20[0-9]{2})\b").cast("int")

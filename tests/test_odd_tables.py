@@ -35,3 +35,15 @@ def test_paragraphs_with_cut_references(spark, tmp_path, name):
     page = "<h1>one &amp; two&amp</h1><p>a &quot;b&quot; &amp;lt; &am</p><p>&copy; c&lt</p><p>&copy;&nbsp;d &amp"
     own, told = sides(spark, tmp_path, name, pages=([(1, "u", page)], "page_id long, url string, html string"))
     assert own == told and len(own) == 4
+
+
+def test_years_at_line_ends(spark, tmp_path):
+    texts = ["+1 (758) 555-1449\nIn 1500 it", "1897\n", "in 1897", "é1449 1450é", "a\t1449", "1449 2001", None]
+    own, told = sides(spark, tmp_path, "years_in_text", documents=([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS))
+    assert own == told and len(own) == len(texts)
+
+
+def test_volumes_at_line_ends(spark, tmp_path):
+    texts = ["vol. 12\nof", "vol. 12 of", "Tome 7é", "t\n4 vol 5"]
+    own, told = sides(spark, tmp_path, "text_rules", documents=([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS))
+    assert own == told and len(own) == len(texts)
