@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import similarity, top_k
+from .best import dense_top
+from .retrieval import similarity
 from .shared import small, written
 from .versions import Versions
 
@@ -136,8 +137,21 @@ class VectorIndex:
             parts.append(met.select(query_key, "key", F.round(similarity(F.col("_q"), F.col("vector"), self.metric), 6).alias("score")))
         return reduce(DataFrame.unionByName, parts)
 
-    def top(self, queries: DataFrame, query_key: str, vector: str, k: int, probes: int, block: int = BLOCK) -> DataFrame:
+    def top(self, queries: DataFrame, query_key: str, vector: str, k: int, probes: int, block: int | None = None) -> DataFrame:
         """query_key, key, score (rounded to 6 places), rank of the k most similar vectors in the lists that are probed;
-        ties go by key."""
-        scored = self.candidates(queries, query_key, vector, probes, block)
-        return top_k(scored, query_key, [F.col("score").desc(), "key"], k)
+        ties go by key. Queries meet their lists in blocks, as matrices, and only the best of each task leave it."""
+        centres, few = self.centres, min(probes, len(self.centres))
+
+        def probed(matrix):
+            import numpy as np
+
+            if few == len(centres):
+                return np.ones((len(matrix), few), bool)
+            centre = np.array(centres)
+            found = matrix @ centre.T - (centre * centre).sum(axis=1) / 2
+            out = np.zeros(found.shape, bool)
+            np.put_along_axis(out, np.argpartition(-found, few - 1, axis=1)[:, :few], True, axis=1)
+            return out
+
+        own = queries.select(query_key, F.col(vector).cast("array<float>").alias("_q"))
+        return dense_top(own, self.vectors(), query_key, ["key"], "vector", k, self.metric, block, probed)
