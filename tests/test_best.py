@@ -55,3 +55,24 @@ def test_pairs_stay_in_tasks(spark):
     frame = nearest_vectors(held.withColumnRenamed("k", "q"), held, "q", "k", "v", 3)
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan and frame.count() == 150
+
+
+def test_bm25_top(spark):
+    """The best documents against all scores, with copies, ties, empty and null texts, and words in every text; scores are formed
+    where documents are read, so pairs aren't rows of the plan."""
+    from pyspark.sql import functions as F
+
+    from ibidem.operators import retrieval as R
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("a b c d e f g h the the the".split()) for _ in range(draw.randint(1, 9))) for _ in range(120)]
+    texts += [texts[0]] * 30 + ["", None, "zzz", "the a the a"]
+    docs = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts)], "d long, c long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:30], "zzz the the", "nothing", "", None])], "q long, text string")
+    frame = R.bm25_top(asked, docs, "q", ["d", "c"], F.col("text"), F.col("text"), 4)
+    every = R.bm25(asked, docs, "q", ["d", "c"], F.col("text"), F.col("text")).withColumn("score", F.round("score", 6))
+    want = R.top_k(every, "q", [F.col("score").desc(), "d", "c"], 4)
+    rows = lambda f: sorted(tuple(r[c] for c in ("q", "d", "c", "score", "rank")) for r in f.collect())
+    assert rows(frame) == rows(want) and len({r[0] for r in rows(frame)}) == 31
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
