@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ibidem.functions.evidence import tokens
 
-from .retrieval import B, K1, MOST_TERMS, top_k
+from .best import sparse_top
+from .retrieval import B, K1, MOST_TERMS, terms_table, top_k, weighed
 from .shared import small, written
 from .versions import Versions
 
@@ -104,16 +105,33 @@ class TextIndex:
 
     def top(self, queries: DataFrame, query_key: str, key: list[str], query: Column, k: int) -> DataFrame:
         """TK1: query_key, key, score (rounded to 6 places) and rank of the k best documents of each query; ties go by key."""
-        scored = self.scores(queries, query_key, key, query).withColumn("score", F.round("score", 6))
-        return top_k(scored, query_key, [F.col("score").desc(), *key], k)
+        wanted, met, weights, mean = self._met(queries, query_key, key, query)
+        if met is None or not small(wanted, MOST_TERMS):
+            scored = self.scores(queries, query_key, key, query).withColumn("score", F.round("score", 6))
+            return top_k(scored, query_key, [F.col("score").desc(), *key], k)
+        # Postings meet again by document, once, and the best documents of each task leave it: scores aren't shuffled.
+        numbers = self.spark.createDataFrame(terms_table(wanted.select("term").distinct().orderBy("term").toArrow()["term"]))
+        asked = wanted.join(weights, "term").join(numbers, "term").select(query_key, "at", (F.col("qtf") * F.col("idf")).alias("weight"))
+        held = met.join(F.broadcast(numbers), "term").groupBy(*key).agg(F.max("dl").alias("dl"), F.array_sort(F.collect_list(F.struct("at", "tf"))).alias("_e"))
+        held = held.select(*key, "dl", F.col("_e.at").alias("at"), F.col("_e.tf").alias("tf"))
+        return sparse_top(written(weighed(held, mean)), written(asked), query_key, key, k)
 
     def scores(self, queries: DataFrame, query_key: str, key: list[str], query: Column) -> DataFrame:
         """query_key, key, score by BM25 of every document that shares a term with a query."""
+        wanted, met, weights, mean = self._met(queries, query_key, key, query)
+        if met is None:
+            return wanted.select(query_key, *[F.lit(None).alias(c) for c in key], F.lit(0.0).alias("score")).limit(0)
+        few, asked = small(wanted, MOST_TERMS), wanted.join(weights, "term")
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+        return met.join(F.broadcast(asked) if few else asked, "term").groupBy(query_key, *key).agg(F.sum(part).alias("score"))
+
+    def _met(self, queries: DataFrame, query_key: str, key: list[str], query: Column) -> tuple:
+        """The queries' terms (query_key, term, qtf); the live postings of these, or None; (term, idf); the documents' mean length."""
         _, rows = self.versions.current()
         wanted = queries.select(query_key, F.explode(tokens(query, self.least)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
         held = [r for r in rows if r.kind == "postings"]
         if not held:
-            return wanted.select(query_key, *[F.lit(None).alias(c) for c in key], F.lit(0.0).alias("score")).limit(0)
+            return wanted, None, None, 0.0
         facts = self._facts(rows)
         few = small(wanted, MOST_TERMS)
         met = self._postings(held)
@@ -127,9 +145,7 @@ class TextIndex:
         mean = facts["tokens"] / max(facts["n"], 1)
         df = met.groupBy("term").agg(F.count("*").alias("df"))
         weights = df.select("term", F.log(1 + (F.lit(facts["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        asked = wanted.join(weights, "term")
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-        return met.join(F.broadcast(asked) if few else asked, "term").groupBy(query_key, *key).agg(F.sum(part).alias("score"))
+        return wanted, met, weights, mean
 
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
