@@ -76,3 +76,20 @@ def test_bm25_top(spark):
     assert rows(frame) == rows(want) and len({r[0] for r in rows(frame)}) == 31
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_character_windows_of_a_long_text(spark):
+    """The windows of a text of a million signs take time in proportion to it, and are those of a loop."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ibidem.operators.chunk import character_windows
+
+    for text, n in (("aé😀\nb" * 9, 7), ("", 5), ("abc", 40), ("x" * 41, 40), ("abcdef", 1)):
+        got = spark.createDataFrame([(text, n)], "t string, n int").select(character_windows(F.col("t"), F.col("n"))).first()[0]
+        assert got == [text[s : s + n] for s in range(0, max(len(text) - n, 0) + 1, max(1, n // 4))]
+    long = spark.range(1).select(F.repeat(F.lit("abcdé"), 200_000).alias("t"))
+    began = time.time()
+    assert long.select(F.size(character_windows(F.col("t"), F.lit(40)))).first()[0] == 99_997
+    assert time.time() - began < 15
