@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship, table
 
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 20_000_000
 BROADCAST_PAIRS = 4_000_000
 SPACES = "\t\n\v\f\r "
 #: What some library takes for white space: no segment begins right after one of these.
 BLANK = frozenset(map(ord, SPACES)) | {0x85, 0xA0, 0x1680, 0x180E, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF} | set(range(0x1C, 0x20)) | set(range(0x2000, 0x200C))
 BLOCKS = "block long, doc_ids array<long>, ends array<long>, codes binary, segments array<string>"
-COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, groups array<string>, pairs array<long>, borders array<long>, codes binary, times binary"
+COMPOSED = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, groups array<string>, pairs array<long>, borders array<long>, codes array<binary>, times array<binary>"
 WEIGHED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 #: What ends each side of a group in an alignment; an id beyond it needs 32 bits.
 END = 0xFFFF
 #: Distinct segments whose alignments are read at a time, and segments of the documents that are composed at a time.
-SEGMENTS, SLICE = 30_000, 100_000
+SEGMENTS, SLICE = 10_000, 30_000
 #: Links of one group that are written out one by one; larger groups are counted by kinds of token first.
 LISTED = 4096
 
@@ -63,9 +63,8 @@ class Tokenizers:
         self.bytes_a = {i: bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.bytes_b = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.blank = self.b.piece_to_id("▁")
-        cut = json.loads(self.a.to_str())
-        step = cut["pre_tokenizer"] or {}
-        regular = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and cut["normalizer"] is None
+        step = json.loads(self.a.pre_tokenizer.__getstate__()) if self.a.pre_tokenizer else {}  # without the vocabulary, which is large
+        regular = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and self.a.normalizer is None
         if max(*self.bytes_a, len(self.bytes_b)) > END:
             raise ValueError("an id takes more than 16 bits")
         self.safe = "".join(c for c in SPACES if not self._merged(c)) if regular else ""
@@ -196,7 +195,7 @@ def unpacked(data: bytes):
 
     n = int.from_bytes(data[:8], "little")
     planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _list(values, kind):
@@ -364,17 +363,17 @@ def _compose(left, right, with_groups: bool):
     names, ends = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "ends"))
     ends, codes = ends.to_numpy(), unpacked(left.column("codes")[0].as_py())
     made, a = [], 0
-    while a < len(ends):  # some documents at a time
+    while a < len(ends):  # some documents at a time; their pairs are packed before the next come
         start = int(ends[a - 1]) if a else 0
         b = max(a + 1, int(np.searchsorted(ends, start + SLICE, side="right")))
-        made.append(_compose_some(own, codes[start : ends[b - 1]], np.diff(ends[a:b], prepend=start), with_groups))
+        *few, pair, times = _compose_some(own, codes[start : ends[b - 1]].astype(np.int64), np.diff(ends[a:b], prepend=start), with_groups)
+        made.append((*few, packed(pair), packed(times)))
         a = b
     kinds = [*(pa.int64() for _ in range(4)), pa.string(), pa.string()]
     lists = [pa.chunked_array([x[k] for x in made], t).combine_chunks() for k, t in enumerate(kinds)]
-    n_pairs, pair, times = (np.concatenate([x[k] for x in made]) for k in (6, 7, 8))
-    borders = np.concatenate([[0], np.cumsum(n_pairs)])
+    borders = np.concatenate([[0], np.cumsum(np.concatenate([x[6] for x in made]))])
     columns = [left.column("block"), _list(names, pa.int64()), *(_list(x, k) for x, k in zip([*lists, own.pairs, borders], [*kinds, pa.int64(), pa.int64()], strict=True))]
-    return columns + [pa.array([packed(x)], pa.binary()) for x in (pair, times)]
+    return columns + [_list(pa.array([x[k] for x in made], pa.binary()), pa.binary()) for k in (7, 8)]
 
 
 def _compose_some(own: Alignments, codes, sizes, with_groups: bool) -> tuple:
@@ -427,9 +426,11 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
         for part in parts:
             for pairs, codes in zip(part.column(0), part.column(1), strict=True):
-                n = np.bincount(unpacked(codes.as_py()), minlength=len(pairs.values))  # a document has a pair once
+                n = np.zeros(len(pairs.values), np.int64)
+                for few in codes.values:
+                    n += np.bincount(unpacked(few.as_py()), minlength=len(n))  # a document has a pair once
                 keep = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.values.to_numpy()[keep]), pa.array(n[keep].astype(np.int64))], ["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.values.to_numpy()[keep]), pa.array(n[keep])], ["pair", "n"])
 
     counted = rows.select("pairs", "codes").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counted = materialize(counted.select("pair", "n", F.shiftright("pair", 32).alias("a")), "pairs")
@@ -438,15 +439,22 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
 
 def _weigh(block, n, best):
-    """Rows of a block's documents, from the counts of its pairs."""
+    """Rows of a block's documents, from the counts of its pairs; some documents' pairs are unpacked at a time."""
     import numpy as np
     import pyarrow as pa
 
-    columns = {c: block.column(c).combine_chunks().flatten() for c in block.column_names if c not in ("block", "codes", "times")}
-    code, times = (unpacked(block.column(c)[0].as_py()) for c in ("codes", "times"))
-    of = np.repeat(np.arange(len(columns["doc_ids"])), np.diff(columns["borders"].to_numpy()))
-    added = lambda values: pa.array(np.bincount(of, values, minlength=len(columns["doc_ids"])).astype(np.int64))
-    columns |= {"doc_id": columns["doc_ids"], "n_best": added(np.where(best[code], times, 0)), "count_sum": added(times * n[code])}
+    columns = {c: block.column(c).combine_chunks().flatten() for c in block.column_names if c != "block"}
+    borders, start = columns["borders"].to_numpy(), 0
+    n_best, count_sum = np.zeros((2, len(columns["doc_ids"])), np.int64)
+    for few in zip(columns["codes"], columns["times"], strict=True):
+        code, times = (unpacked(x.as_py()).astype(np.int64) for x in few)
+        size = np.diff(np.clip(borders, start, start + len(code)))
+        own = np.flatnonzero(size)
+        first, start = np.cumsum(size[own]) - size[own], start + len(code)
+        if len(own):  # the pairs of a document follow one another
+            n_best[own] = np.add.reduceat(np.where(best[code], times, 0), first)
+            count_sum[own] = np.add.reduceat(times * n[code], first)
+    columns |= {"doc_id": columns["doc_ids"], "n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
     names = [f.split()[0] for f in WEIGHED.split(", ")]
     return pa.Table.from_arrays([columns[c] for c in names], names)
 

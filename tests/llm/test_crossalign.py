@@ -138,3 +138,17 @@ def test_large_groups(monkeypatch, both, spark):
     for name in ("n_a", "n_b", "n_groups", "pairs", "pair", "times", "edges"):
         assert getattr(few, name).tolist() == getattr(many, name).tolist()
     assert few.n_groups[3] == 0 and want
+
+
+def test_pairs_by_slice(both, monkeypatch):
+    """The pairs of a block's documents are packed some documents at a time, so no array follows the whole block."""
+    segments, counts = C.split(pa.array([f"word{i % 7} other{i} text" for i in range(400)]), both.safe)
+    coded = segments.dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    left = pa.table({"block": [0], "doc_ids": [list(range(400))], "ends": [counts.cumsum().tolist()], "codes": [C.packed(coded.indices.to_numpy())]})
+    right = pa.table({"code": range(len(found)), "aligned": pa.array([both.align(s, *ids) for s, ids in zip(found, both.encode(found), strict=True)], pa.binary())})
+    sizes, packed = [], C.packed
+    monkeypatch.setattr(C, "SLICE", 100)
+    monkeypatch.setattr(C, "packed", lambda numbers: sizes.append(len(numbers)) or packed(numbers))
+    C._compose(left, right, False)
+    assert len(sizes) > 20 and max(sizes) < sum(sizes) / 10
