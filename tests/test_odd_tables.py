@@ -47,3 +47,15 @@ def test_volumes_at_line_ends(spark, tmp_path):
     texts = ["vol. 12\nof", "vol. 12 of", "Tome 7é", "t\n4 vol 5"]
     own, told = sides(spark, tmp_path, "text_rules", documents=([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS))
     assert own == told and len(own) == len(texts)
+
+
+def test_hashed_vectors_of_odd_texts(spark, tmp_path, monkeypatch):
+    """Repeated and missing keys, empty texts, texts without words and signs beyond the basic plane, cut some signs at a time."""
+    from ibidem.operators import hashed_vectors as H
+
+    monkeypatch.setattr(H, "SIGNS", 40)
+    texts = ["The quick brown fox", "the quick, brown fox!", "brown foxes", "", None, "...", "a", "𝒜𝒷 quick\nfox", "über den quick", "the the the fox", "fox\tquick é"]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(2, "quick birds", "en", "s", 1), (2, None, "en", "s", 1), (None, "quick fox", "en", "s", 1)]
+    items = [(0, "quick fox"), (1, "the brown"), (2, "zebra"), (3, ""), (4, "𝒜𝒷")]
+    own, told = sides(spark, tmp_path, "hashed_vectors_top5", documents=(docs, DOCUMENTS), benchmark=(items, "item_id long, text string"))
+    assert own == told and any(r[0] is None for r in own)
