@@ -9,15 +9,20 @@ from ibidem.functions.metadata import century, publisher_label_ok
 from ibidem.functions.text import fold, slug
 from ibidem.operators.lexicon_match import matches
 
+#: Rows of pairs of a book and an author that a task groups, so its memory doesn't grow with their number.
+PAIRS = 1_000_000
+
 
 def author_catalog(authors: DataFrame, books: DataFrame, chunk_authors: DataFrame) -> DataFrame:
     """AG8: per known author (author), books of their own (book_id, author), books with chunks of theirs (book_id, author, n)
     that aren't their own, and all their chunks; authors without any stay, with zeros, last."""
     own = books.groupBy("author").agg(F.count("*").alias("direct"))
-    within = chunk_authors.groupBy("book_id", "author").agg(F.sum("n").alias("n"))
-    collected = within.join(books.select("book_id", "author"), ["book_id", "author"], "left_anti").groupBy("author").agg(F.count("*").alias("collected"))
-    total = within.groupBy("author").agg(F.sum("n").alias("chunks"))
-    out = authors.select("author").distinct().join(own, "author", "left").join(collected, "author", "left").join(total, "author", "left")
+    pair = ["book_id", "author"]
+    parts = max(1, -(-chunk_authors.count() // PAIRS))
+    within = chunk_authors.select(*pair, "n").repartition(parts, *pair).groupBy(*pair).agg(F.sum("n").alias("n"))
+    shared = books.select(*pair).distinct().repartition(parts, *pair).withColumn("_own", F.lit(True))
+    told = within.join(shared, pair, "left").groupBy("author").agg(F.sum("n").alias("chunks"), F.count(F.when(F.col("_own").isNull(), 1)).alias("collected"))
+    out = authors.select("author").distinct().join(own, "author", "left").join(told, "author", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("direct", "collected", "chunks")]
     return out.select("author", *zero).orderBy((F.col("chunks") == 0), F.col("chunks").desc(), "author")
 
