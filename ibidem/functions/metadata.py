@@ -14,9 +14,19 @@ from .lexicon import POPES
 from .text import fold, letters_only, roman, title_from_file
 
 
-def first_rule(text: Column, rules: dict[str, str]) -> Column:
-    """The name of the first rule whose pattern occurs."""
-    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in rules.items()])
+def first_rule(text: Column, rules: dict[str, str], parts: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The name of the first rule whose pattern occurs; parts: strings of which a rule's pattern needs one, which are sought first."""
+    met = lambda name: has_any(text, parts[name]) & text.rlike(rules[name]) if parts else text.rlike(rules[name])
+    return F.coalesce(*[F.when(met(name), name) for name in rules])
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some strings. Those with the same four first signs are sought only where these are."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[:4], []).append(word)
+    either = lambda few: reduce(lambda a, b: a | b, [text.contains(w) for w in few])
+    return reduce(lambda a, b: a | b, [either(few) if len(few) == 1 else text.contains(head) & either(few) for head, few in groups.items()])
 
 
 def extract(text: Column, *patterns: str) -> Column:
@@ -45,11 +55,18 @@ def volume(text: Column) -> Column:
     return extract(F.lower(text), r"\b(?:vol(?:ume)?|tom(?:e|o)?|t)[. ]*0*([0-9]{1,3})\b").cast("int")
 
 
+def volume_in(lower: Column) -> Column:
+    """SC58 of a whole text in lower case, whose signs beyond printable ASCII are a word's; most texts have no such number at all."""
+    return F.when(lower.rlike(r"[lemot][. ]*[0-9]"), volume(one_run(lower)))
+
+
 DOCUMENT_KINDS = {"encyclical": r"enc[yi]clic", "bull": r"\bbula?l?\b", "exhortation": r"exhorta", "constitution": r"constitu", "letter": r"\b(letter|carta|epistle)\b", "council": r"\b(council|conc[ií]lio)\b"}
+#: What a text must hold for these patterns to occur.
+KIND_PARTS = {"encyclical": ("clic",), "bull": ("bul",), "exhortation": ("exhorta",), "constitution": ("constitu",), "letter": ("letter", "carta", "epistle"), "council": ("council", "conc")}
 
 
-def document_kind(text: Column) -> Column:
-    return F.coalesce(first_rule(F.lower(text), DOCUMENT_KINDS), F.lit("other"))
+def document_kind(text: Column, lower: Column | None = None) -> Column:
+    return F.coalesce(first_rule(F.lower(text) if lower is None else lower, DOCUMENT_KINDS, KIND_PARTS), F.lit("other"))
 
 
 def pope(text: Column) -> Column:
@@ -82,9 +99,9 @@ def publisher_rules() -> dict[str, str]:
     return {name: r"\b(?:" + "|".join(forms) + r")\b" for name, forms in PUBLISHERS.items()}
 
 
-def publisher(text: Column) -> Column:
+def publisher(text: Column, folded: Column | None = None) -> Column:
     """SC57."""
-    return first_rule(fold(text), publisher_rules())
+    return first_rule(fold(text) if folded is None else folded, publisher_rules(), PUBLISHERS)
 
 
 def publisher_label_ok(label: Column) -> Column:
@@ -133,10 +150,10 @@ PRAYERS = (
 )
 
 
-def prayer_kind(title: Column) -> Column:
+def prayer_kind(title: Column, folded: Column | None = None) -> Column:
     """SC66: the group of the first keyword that a title has, DIV if it has none."""
-    plain = fold(title)
-    told = [F.when(plain.isin(*words) if code == "BASE" else reduce(lambda a, b: a | b, [plain.contains(w) for w in words]), code) for code, words in PRAYERS]
+    plain = fold(title) if folded is None else folded
+    told = [F.when(plain.isin(*words) if code == "BASE" else has_any(plain, words), code) for code, words in PRAYERS]
     return F.coalesce(*told, F.lit("DIV"))
 
 
@@ -147,9 +164,9 @@ ROUTES = {
 }
 
 
-def route(task: Column) -> Column:
+def route(task: Column, lower: Column | None = None) -> Column:
     """SC68: the first task of which a keyword occurs, within words too."""
-    plain = F.lower(task)
+    plain = F.lower(task) if lower is None else lower
     return F.coalesce(*[F.when(plain.contains(word), name) for name, words in ROUTES.items() for word in words], F.lit("general"))
 
 
@@ -273,10 +290,12 @@ def fuzzy_kind(names: DataFrame, kinds: DataFrame, name: str = "name") -> DataFr
 BRAZILIAN = ("você", "vocês", "equipe", "ônibus", "trem", "fato", "contato", "registro", "gênero", "acadêmico", "econômico", "esporte")
 
 
-def is_brazilian(text: Column, markers=BRAZILIAN, least: int = 3) -> Column:
+def is_brazilian(text: Column, markers=BRAZILIAN, least: int = 3, lower: Column | None = None) -> Column:
     """SC54: at least so many of the markers occur as words."""
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " "))
-    return F.coalesce(F.size(F.array_intersect(words, F.array(*[F.lit(m) for m in markers]))) >= least, F.lit(False))
+    lower = F.lower(text) if lower is None else lower
+    words = F.array_distinct(F.split(F.regexp_replace(lower, r"[^\p{L}]+", " "), " "))
+    held = reduce(lambda a, b: a + b, [lower.contains(m).cast("int") for m in markers]) >= least  # within words too, before texts are cut
+    return F.coalesce(held & (F.size(F.array_intersect(words, F.array(*[F.lit(m) for m in markers]))) >= least), F.lit(False))
 
 
 def parsed_record(text: Column) -> Column:

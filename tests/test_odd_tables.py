@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -59,3 +60,54 @@ def test_hashed_vectors_of_odd_texts(spark, tmp_path, monkeypatch):
     items = [(0, "quick fox"), (1, "the brown"), (2, "zebra"), (3, ""), (4, "𝒜𝒷")]
     own, told = sides(spark, tmp_path, "hashed_vectors_top5", documents=(docs, DOCUMENTS), benchmark=(items, "item_id long, text string"))
     assert own == told and any(r[0] is None for r in own)
+
+
+def test_languages_of_odd_texts(spark, tmp_path):
+    texts = ["the of and", "Est non sed qui quod cum. per_ad ut", "λόγος εἰμί", "que e o", "le la 3les des", "", None, "...", " the ", "é est", "αβ the", "le le the the", "THE_of of2the"]
+    docs = [(i, t, "en" if i % 2 else "es", "s", 1) for i, t in enumerate(texts)]
+    own, told = sides(spark, tmp_path, "language_certainty", documents=(docs, DOCUMENTS))
+    assert own == told and len(own) == len(texts)
+
+
+def test_rules_of_odd_texts(spark, tmp_path):
+    texts = ["Encyclical", "encíclica", "BULL bula", "bulb", "a letter", "letters", "concílio I", "concilio", "Paulus", "paulusx", "Editora  Loyola", "edicoes loyola é", "fato registro contato", "fato fatos registro, contatos", "vol. 012", "tomo 3", "t.7 vol 4", "xt 5", "são josé", "santo tomás", "santo agostinho", "ave  maria", "Santa\x85 Rita", "a\t b\n\n c", "\x1fécruz", None, ""]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    for name in ("text_rules", "normalize_text"):
+        own, told = sides(spark, tmp_path, name, documents=(docs, DOCUMENTS))
+        assert own == told and len(own) == len(texts)
+
+
+@pytest.mark.parametrize("quoted", [0, 1_000_000])
+def test_quotes_of_odd_texts(spark, tmp_path, monkeypatch, quoted):
+    """By an automaton of whole quotations, and by hashes of runs beside short quotations in blocks."""
+    from ibidem.operators import retrieval as R
+
+    monkeypatch.setattr(R, "QUOTED", quoted)
+    texts = ["one two three four five six seven", "ONE  two\nthree four five six seven eight", "Öne two", "two", None, "𝒜 two three four five six 𝒷", "xone two three four five six sevenx"]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(3, "two", "en", "s", 1), (None, "one two", "en", "s", 1)]
+    items = [(0, "one two three four five six seven"), (1, "two"), (2, "one two"), (3, "two"), (4, None), (5, "𝒜 two three four five six 𝒷"), (6, "nine")]
+    own, told = sides(spark, tmp_path, "exact_quote_hits", documents=(docs, DOCUMENTS), benchmark=(items, "item_id long, text string"))
+    assert own == told and len(own) > 20
+
+
+def test_names_without_texts(spark):
+    """The rows of names don't carry texts: 500 names a text of 100 000 signs are more than an array of strings holds."""
+    from ibidem.operators import lexicon_match as L
+
+    text = " ".join(f"n{i}" for i in range(500)).ljust(100_000)
+    texts = spark.range(60).withColumn("t", F.lit(text)).coalesce(1)
+    assert L.matches(texts, "t", [(f"n{i}", True, f"n{i}") for i in range(500)]).count() == 60 * 500
+
+
+def test_author_catalog_by_bounded_groups(spark, tmp_path, monkeypatch):
+    """Pairs of a book and an author are grouped in tasks of so many at most, whatever their number."""
+    from ibidem.plans import catalog as C
+
+    monkeypatch.setattr(C, "PAIRS", 10)
+    suppliers, parts = [(i,) for i in range(1, 6)], [(i,) for i in range(1, 21)]
+    lines = [(i * 7 % 20 + 1, i % 5 + 1) for i in range(90)] + [(None, 2), (3, None), (None, 2)]
+    own, told = sides(spark, tmp_path, "author_catalog", supplier=(suppliers, "s_suppkey long"), part=(parts, "p_partkey long"), lineitem=(lines, "l_partkey long, l_suppkey long"))
+    assert own == told and len(own) == 5
+    rows = spark.createDataFrame([(i % 20, i % 3, 1) for i in range(95)], "book_id long, author long, n long")
+    plan = C.author_catalog(rows.select("author"), rows.select("book_id", "author").limit(5), rows)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
